@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from .packing import op6_pack
+from .topk import OP7_SQL, op7_topk
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op6_pack": op6_pack,
+    "op7_topk": op7_topk,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
+    "op7_topk": OP7_SQL,
 }
