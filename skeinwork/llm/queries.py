@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op6_pack
+from .suffix import op10_suffix
 from .topk import OP7_SQL, op7_topk
 from .warc import OP2_SQL, op2_warc
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op6_pack": op6_pack,
     "op7_topk": op7_topk,
+    "op10_suffix": op10_suffix,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
