@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op4_html
 from .packing import op6_pack
 from .suffix import op10_suffix
 from .topk import OP7_SQL, op7_topk
@@ -9,6 +10,7 @@ from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op4_html": op4_html,
     "op6_pack": op6_pack,
     "op7_topk": op7_topk,
     "op10_suffix": op10_suffix,
