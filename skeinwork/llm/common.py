@@ -178,7 +178,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
     out = full[at]
     for i in np.flatnonzero((counts > 0) & (counts < width)):
         w = words[first[i] : first[i + 1]]
-        out[out_first[i]] = (w * WORD_CODES[: len(w)]).sum(dtype=np.uint64) + WORD_CODES[31] * np.uint64(len(w))
+        out[out_first[i]] = (np.append(w, np.uint64(len(w))) * np.append(WORD_CODES[: len(w)], WORD_CODES[31])).sum(dtype=np.uint64)
     return mix(out), out_first
 
 

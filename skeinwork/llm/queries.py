@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .html import op4_html
+from .ngram_join import op1_jaccard
 from .packing import op6_pack
 from .suffix import op10_suffix
 from .topk import OP7_SQL, op7_topk
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
     "op4_html": op4_html,
     "op6_pack": op6_pack,
