@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .html import op4_html
 from .ngram_join import op1_jaccard
 from .packing import op6_pack
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_warc": op2_warc,
     "op4_html": op4_html,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pack": op6_pack,
     "op7_topk": op7_topk,
     "op10_suffix": op10_suffix,
