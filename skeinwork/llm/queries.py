@@ -6,6 +6,7 @@ from .decontaminate import op5_decontaminate
 from .html import op4_html
 from .ngram_join import op1_jaccard
 from .packing import op6_pack
+from .quality import op8_quality
 from .suffix import op10_suffix
 from .topk import OP7_SQL, op7_topk
 from .warc import OP2_SQL, op2_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_pack": op6_pack,
     "op7_topk": op7_topk,
+    "op8_quality": op8_quality,
     "op10_suffix": op10_suffix,
 }
 ORACLES = {
