@@ -246,11 +246,11 @@ def keep_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text_col: str = "text", digest_only: bool = False) -> DataFrame:
-    """docs with kept (binary), n_bytes, n_removed, n_spans, kept_sha256; input columns of those names give way.
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text; input columns of those names give way.
 
-    With digest_only no kept text is returned.
+    kept_text leaves out what a cut inside a character leaves of it. With digest_only it isn't returned.
     """
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     base = docs.drop(*made, "row_id", "_text", "_spans")
     texts = numbered(base, text_col)
     spans = find_repeats(texts, width, hot)
@@ -260,7 +260,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text_col: str = "
     joined = rows.join(lists, "row_id", "left")
     names = carried.columns
     out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields)
-    schema = out_type + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ("" if digest_only else ", kept binary")
+    schema = out_type + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ("" if digest_only else ", kept_text string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.pieces(batches, "_text", 4 * SLAB):
@@ -270,9 +270,9 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text_col: str = "
                 left, removed, runs = keep_bytes(text, [(x["start"], x["stop"]) for x in found.as_py() or []])
                 n_bytes.append(len(text)), n_removed.append(removed), n_spans.append(runs)
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+                kept.append(None if digest_only else left.decode("utf-8", "ignore"))
             arrays = [part.column(c) for c in names] + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays(arrays + ([] if digest_only else [pa.array(kept, pa.binary())]), names + made[: 4 if digest_only else 5])
+            yield pa.RecordBatch.from_arrays(arrays + ([] if digest_only else [pa.array(kept, pa.string())]), names + made[: 4 if digest_only else 5])
 
     return joined.select(*carried.columns, "_text", "_spans").mapInArrow(apply, schema)
 
