@@ -38,7 +38,8 @@ LEADER_HASHES = 4
 #: Shingles that sort last. Which ones they are changes work, never results.
 FREQUENT = 200_000
 LIST_BLOCK = 2_000
-INDEX_ROWS = 1_500_000
+#: Index entries, 28 bytes each, that a task holds at once; more memory a task allows more.
+INDEX_ROWS = 400_000
 SEEDS = np.random.default_rng(7).integers(1, 2**63, LEADER_HASHES, dtype=np.uint64)
 
 
