@@ -248,15 +248,15 @@ def judge(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame
     frame = spark.createDataFrame(levels, "l string, b int, n long, q1 double, q3 double, reach double, mid double")
     small = len(levels) <= 100_000
     hint = F.broadcast if small else (lambda x: x)
-    by_cell = frame.filter(f"b >= 0 AND n >= {CELL_ROWS}").select(F.struct("q1", "q3", "reach", "mid").alias("c0"), F.col("l").alias("l0"), F.col("b").alias("b0"))
-    by_lang = frame.filter(f"b = -1 AND n >= {CELL_ROWS}").select(F.struct("q1", "q3", "reach", "mid").alias("c1"), F.col("l").alias("l1"))
+    by_cell = frame.filter(f"b >= 0 AND n >= {CELL_ROWS}").select(F.struct("q1", "q3", "reach", "mid").alias("__kn_c0"), F.col("l").alias("__kn_l0"), F.col("b").alias("__kn_b0"))
+    by_lang = frame.filter(f"b = -1 AND n >= {CELL_ROWS}").select(F.struct("q1", "q3", "reach", "mid").alias("__kn_c1"), F.col("l").alias("__kn_l1"))
     everything = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in zip(("q1", "q3", "reach", "mid"), cells[("", -2)][1:], strict=True)])
-    out = scored.withColumn("_lang", lang).withColumn("_band", F.expr(BAND))
-    out = out.join(hint(by_cell), (F.col("_lang") == F.col("l0")) & (F.col("_band") == F.col("b0")), "left").join(hint(by_lang), F.col("_lang") == F.col("l1"), "left")
-    out = out.withColumn("_cell", F.coalesce("c0", "c1", everything))
+    out = scored.withColumn("__kn_lang", lang).withColumn("__kn_band", F.expr(BAND))
+    out = out.join(hint(by_cell), (F.col("__kn_lang") == F.col("__kn_l0")) & (F.col("__kn_band") == F.col("__kn_b0")), "left").join(hint(by_lang), F.col("__kn_lang") == F.col("__kn_l1"), "left")
+    out = out.withColumn("__kn_cell", F.coalesce("__kn_c0", "__kn_c1", everything))
     # a mean over n characters spreads as 1 / sqrt(n): where the band has no quantiles of its own, shorter texts get more room
-    room = F.expr("CASE WHEN c0 IS NOT NULL THEN 1D ELSE greatest(1D, pow(2D, (_cell.mid - _band) / 2)) END")
-    out = out.withColumn("low", F.exp(F.col("_cell.q1") - F.col("_cell.reach") * room)).withColumn("high", F.exp(F.col("_cell.q3") + F.col("_cell.reach") * room))
+    room = F.expr("CASE WHEN __kn_c0 IS NOT NULL THEN 1D ELSE greatest(1D, pow(2D, (__kn_cell.mid - __kn_band) / 2)) END")
+    out = out.withColumn("low", F.exp(F.col("__kn_cell.q1") - F.col("__kn_cell.reach") * room)).withColumn("high", F.exp(F.col("__kn_cell.q3") + F.col("__kn_cell.reach") * room))
     out = out.withColumn("kept", F.expr("coalesce(perplexity BETWEEN low AND high, false)"))
     return out.select(*[c for c in docs.columns if c not in MADE], *MADE)
 
