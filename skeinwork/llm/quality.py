@@ -163,7 +163,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def add_scores(docs: DataFrame, tables: Tables, shard: int, shards: int, text_col: str) -> DataFrame:
-    """docs with n_scored, all characters, and total, the log probabilities of the shard's."""
+    """docs with n_scored, all characters, and __kn_total, the log probabilities of the shard's."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     names = docs.columns
 
@@ -176,10 +176,10 @@ def add_scores(docs: DataFrame, tables: Tables, shard: int, shards: int, text_co
             mine = shard_of(keys, shards) == shard
             logs[mine] = model.log_probability(keys[mine])
             sums = np.concatenate([[0.0], np.cumsum(logs[place])])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], [*names, "n_scored", "total"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], [*names, "n_scored", "__kn_total"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, n_scored long, total double")
+    return docs.mapInArrow(run, f"{kinds}, n_scored long, __kn_total double")
 
 
 class Model:
@@ -196,18 +196,18 @@ class Model:
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with n_scored and perplexity."""
-        base = docs.drop(*MADE, "total")
+        base = docs.drop(*MADE)
         if self.shards == 1:
             out = add_scores(base, self.tables(0), 0, 1, text_col)
         else:
-            numbered = base.withColumn("_row", F.monotonically_increasing_id())
+            numbered = base.withColumn("__kn_row", F.monotonically_increasing_id())
             sums = None
             for s in range(self.shards):
-                one = common.cut(add_scores(numbered.select("_row", text_col), self.tables(s), s, self.shards, text_col).select("_row", "n_scored", "total"), "partial")
+                one = common.cut(add_scores(numbered.select("__kn_row", text_col), self.tables(s), s, self.shards, text_col).select("__kn_row", "n_scored", "__kn_total"), "partial")
                 sums = one if sums is None else sums.unionByName(one)
-            sums = sums.groupBy("_row").agg(F.first("n_scored").alias("n_scored"), F.sum("total").alias("total"))
-            out = numbered.join(sums, "_row").drop("_row")
-        return out.withColumn("perplexity", F.expr("CASE WHEN n_scored > 0 THEN exp(-total / n_scored) END")).drop("total")
+            sums = sums.groupBy("__kn_row").agg(F.first("n_scored").alias("n_scored"), F.sum("__kn_total").alias("__kn_total"))
+            out = numbered.join(sums, "__kn_row").drop("__kn_row")
+        return out.withColumn("perplexity", F.expr("CASE WHEN n_scored > 0 THEN exp(-__kn_total / n_scored) END")).drop("__kn_total")
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
