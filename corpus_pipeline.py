@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from skeinwork.llm import common, decontaminate, ngram_join, packing, quality, suffix
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """docs with columns beyond those of documents under names that no operator uses."""
+    return docs.select(*[F.col(c).alias(c if c in OWN else f"extra column {i}") for i, c in enumerate(docs.columns)])
+
+
+def restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col(c if c in OWN else f"`extra column {i}`").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.judge(docs, common.table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return restored(quality.judge(shielded(docs), common.table(spark, sf_dir, "labels")).filter("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what repeats; n_chars follows."""
-    out = suffix.dedup(docs)
+    out = suffix.dedup(shielded(docs))
     changed = F.col("n_removed") > 0
     out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return restored(out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
