@@ -40,6 +40,8 @@ FREQUENT = 200_000
 LIST_BLOCK = 2_000
 #: Index entries, 28 bytes each, that a task holds at once; more memory a task allows more.
 INDEX_ROWS = 400_000
+#: Ids of documents to look at again that are sent to tasks, 8 bytes each; more are joined.
+SENT_IDS = 500_000
 SEEDS = np.random.default_rng(7).integers(1, 2**63, LEADER_HASHES, dtype=np.uint64)
 
 
@@ -106,7 +108,8 @@ class Join:
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """(a, b, n_a, n_b, inter) of pairs (a, b) of set ids, from whole texts."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.sets.select("sid", "doc_id"), "sid")
+        need = self.keep(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.sets.select("sid", "doc_id"), "sid").select("doc_id").distinct(), "needed")
+        need = F.broadcast(need) if need.count() <= SENT_IDS else need
         width = self.width
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +118,10 @@ class Join:
                 blobs = [t[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(t, first)), pa.array(blobs, pa.binary())], ["sid", "tokens"])
 
-        texts = self.docs.join(need.select("doc_id", "sid"), "doc_id").select("doc_id", "text", F.col("sid").alias("want"))
-        # a doc_id may stand at several texts: only the one whose set is wanted counts, once
-        sets = texts.select("doc_id", "text").mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-        sets = self.keep(sets, "token-sets")
+        # several documents may have one set: it counts once
+        sets = self.docs.join(need, "doc_id").select("text").mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+        sets, path = common.store(sets, "token-sets")
+        common.free_shuffles(self.spark)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -130,7 +133,11 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *cols], ["a", "b", "n_a", "n_b", "inter"])
 
         both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-        return self.keep(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, n_a long, n_b long, inter long"), "overlaps")
+        out = self.keep(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, n_a long, n_b long, inter long"), "overlaps")
+        del sets, both
+        common.delete_folder(self.spark, path)
+        common.free_shuffles(self.spark)
+        return out
 
     def similar_sizes(self, a: str, b: str) -> str:
         return f"{self.den} * {a} >= {self.num} * {b} AND {self.den} * {b} >= {self.num} * {a}"
