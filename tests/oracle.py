@@ -6,6 +6,9 @@ import duckdb
 import pandas as pd
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
@@ -27,5 +30,7 @@ def same(spark, sf_dir, query, sql):
     names = [c[0] for c in cur.description]
     want = [dict(zip(names, r, strict=True)) for r in cur.fetchall()]
     assert sorted(names) == sorted(df.columns)
+    kinds = {c[0]: TYPES[str(c[1])] for c in cur.description}
+    assert {n: t.removesuffix("_ntz") for n, t in df.dtypes} == kinds
     key = lambda rows: sorted(repr([(n, plain(r[n])) for n in sorted(names)]) for r in rows)
     assert key(got) == key(want)
