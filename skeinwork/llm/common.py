@@ -6,10 +6,7 @@ with a chance of about n * n / 2**65 among n of them.
 
 from __future__ import annotations
 
-import atexit
-import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
+
 #: Bytes of text that a task holds in numpy form at once; one longer text is taken alone.
 SLAB_BYTES = 2 << 20
 ROW_BATCH = 2000
@@ -28,24 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is
-    unset and the master is local (tests), a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_root()
-
-
-@functools.cache
-def _local_root() -> str:
-    made = tempfile.TemporaryDirectory(prefix="skeinwork-")
-    atexit.register(made.cleanup)
-    return f"file://{made.name}"
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
