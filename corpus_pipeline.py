@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            common.delete_folder(spark, before)
+        before = path
     return docs
