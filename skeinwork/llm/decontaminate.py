@@ -88,10 +88,10 @@ class Block:
 def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
     """The longest [a, b) with at least `share` equal words that begins and ends with one; the first of equals."""
     score = np.concatenate([[0.0], np.cumsum(equal - share)])
-    # prefix minima from the left and maxima from the right bound where a stretch may begin and end
-    low = np.minimum.accumulate(score)
+    # the least score at which a stretch may begin up to a place, the greatest at which one may end from a place on
+    low = np.minimum.accumulate(np.where(np.append(equal, False), score, np.inf))
+    high = np.maximum.accumulate(np.where(np.append(False, equal), score, -np.inf)[::-1])[::-1]
     best, at, j = (0, 0), 0, 0
-    high = np.maximum.accumulate(score[::-1])[::-1]
     while at < len(score) and j < len(score):
         if high[j] >= low[at] - 1e-9:
             if j - at > best[1] - best[0]:
@@ -99,9 +99,7 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
             j += 1
         else:
             at += 1
-    a, b = best
-    inner = np.flatnonzero(equal[a:b])
-    return (a + int(inner[0]), a + int(inner[-1]) + 1) if len(inner) else (0, 0)
+    return best
 
 
 def overlaps_of(words: np.ndarray, block: Block, least: int, share: float) -> list[tuple[int, int, int, int, int]]:

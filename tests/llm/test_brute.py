@@ -45,9 +45,10 @@ def variants(seed, n=90):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 2000])
-def test_jaccard_links(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
+@pytest.mark.parametrize(("block", "hub_list", "hub_factor"), [(3, 2, 0), (2000, 32, 8)])
+def test_jaccard_links(spark, monkeypatch, block, hub_list, hub_factor):
+    for name, value in (("LIST_BLOCK", block), ("HUB_LIST", hub_list), ("HUB_FACTOR", hub_factor)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = variants(block)
     sets = [shingles(t) for t in texts]
     up = list(range(len(texts)))
