@@ -11,6 +11,9 @@
    range of its members' sizes and positions. Lists are sorted by size, and blocks
    of a list that size or position rule out are skipped; long lists are split into
    pairs of blocks that different tasks compare.
+   Before, while lists hold many more pairs than entries, each entry is compared with its
+   list's hub only, and what links becomes one component: groups of near copies
+   shrink to one label in a few rounds, each as large as the lists, not their squares.
 4. Clusters found are compared by their leaders. Where those do not link, the
    answer for members is bounded from the leaders' overlap and the members' differences
    from their leaders; only members that the bound leaves open are compared.
@@ -38,6 +41,10 @@ LEADER_HASHES = 4
 #: Shingles that sort last. Which ones they are changes work, never results.
 FREQUENT = 200_000
 LIST_BLOCK = 2_000
+#: Rounds of comparing lists' entries with their hubs before all that is left is compared.
+HUB_TURNS = 2
+#: Lists of so many entries have hubs, and hubs are used while such lists hold so many times more pairs than there are entries.
+HUB_LIST, HUB_FACTOR = 32, 8
 #: Index entries, 28 bytes each, that a task holds at once; more memory a task allows more.
 INDEX_ROWS = 400_000
 #: Ids of documents to look at again that are sent to tasks, 8 bytes each; more are joined.
@@ -118,8 +125,8 @@ class Join:
                 blobs = [t[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(t, first)), pa.array(blobs, pa.binary())], ["sid", "tokens"])
 
-        # several documents may have one set: it counts once
-        sets = self.docs.join(need, "doc_id").select("text").mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+        # one document stands for each set; an id that repeats only repeats what is found
+        sets = self.docs.join(need, "doc_id").select("text").mapInArrow(tokens, "sid long, tokens binary")
         sets, path = common.store(sets, "token-sets")
         common.free_shuffles(self.spark)
 
@@ -155,10 +162,28 @@ class Join:
         info = self.sets.select("sid", "doc_id", "n").join(members, "sid", "left").join(star_components.select(F.col("node").alias("sid"), "component"), "sid", "left")
         info = self.keep(info.select("sid", "doc_id", "n", F.coalesce("cluster", "sid").alias("cluster"), F.coalesce("component", "sid").alias("component"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("new", F.lit(0)).alias("new")), "clusters")
         common.free_shuffles(self.spark)
-        pairs = self.candidates(info, np.array([r.sid for r in often], np.int64).view(np.uint64))
+        entries = self.index(info, np.array([r.sid for r in often], np.int64).view(np.uint64))
         common.free_shuffles(self.spark)
-        links = self.decide(pairs, info)
-        joined = common.components(links.unionByName(stars.select("a", "b")))
+        centres = info.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("component"))
+        labelled = self.keep(entries.join(centres, "cluster"), "labelled")
+        links = stars.select("a", "b")
+        # while lists hold many more pairs than entries, hubs join what is alike first; then all that is left is compared
+        for turn in range(HUB_TURNS):
+            n, left = self.pairs_left(labelled)
+            if left <= HUB_FACTOR * n:
+                break
+            pairs = self.keep(self.hub_pairs(labelled, turn), "hub-pairs")
+            over = self.overlaps(pairs)
+            good = over.filter(self.linked("inter", "n_a", "n_b")).select("a", "b")
+            if good.isEmpty():
+                break
+            links = links.unionByName(good)
+            merged_into = common.components(links).select(F.col("node").alias("cluster"), F.col("component").alias("to"))
+            labelled = self.keep(labelled.join(merged_into, "cluster", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "labelled")
+        pairs = self.list_pairs(labelled)
+        if not pairs.isEmpty():
+            links = links.unionByName(self.decide(pairs, info))
+        joined = common.components(links)
         label = info.select("sid", "doc_id").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
         least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         by_set = self.keep(label.join(least, "component").select("sid", "component_id"), "labels")
@@ -178,8 +203,8 @@ class Join:
         own = stars.join(roots.select(F.col("sid").alias("b")), "b").select("a", F.struct("b", (F.col("n_b") - F.col("inter")).alias("gone"), (F.col("n_a") - F.col("inter")).alias("new")).alias("to"))
         return self.keep(own.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("sid"), F.col("to.b").alias("cluster"), F.col("to.gone").alias("gone"), F.col("to.new").alias("new")), "members")
 
-    def candidates(self, info: DataFrame, often: np.ndarray) -> DataFrame:
-        """Pairs (a, b), a < b, of clusters in different components that share an indexed shingle."""
+    def index(self, info: DataFrame, often: np.ndarray) -> DataFrame:
+        """(token, cluster, least, most, place): entries of shingles that several clusters have."""
         width, num, den = self.width, self.num, self.den
         shared = self.spark.sparkContext.broadcast((np.sort(often), np.argsort(often, kind="stable")))
 
@@ -254,8 +279,25 @@ class Join:
 
         dealt = rows.mapInArrow(deal, "bucket long, entries binary").repartition(buckets, "bucket")
         entries = self.keep(dealt.mapInArrow(shared_tokens, "token long, cluster long, least long, most long, place long"), "entries")
-        label = info.filter("sid = cluster").select("cluster", "component")
-        entries = entries.join(label, "cluster")
+        return entries
+
+    def hub_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
+        """(a, b): every entry of a list with the list's hub, where components differ: as many as entries at most."""
+        weight = F.struct(F.col("members") if turn == 0 else F.lit(0), F.xxhash64("cluster", F.lit(turn)))
+        hub = entries.groupBy("token").agg(F.max_by(F.struct("cluster", "component", "least", "most"), weight).alias("hub"), F.count(F.lit(1)).alias("m")).filter(F.col("m") >= HUB_LIST)
+        both = entries.join(hub, "token").filter("component <> hub.component").filter(f"{self.den} * most >= {self.num} * hub.least AND {self.den} * hub.most >= {self.num} * least")
+        return both.select(F.least("cluster", "hub.cluster").alias("a"), F.greatest("cluster", "hub.cluster").alias("b")).distinct()
+
+    def pairs_left(self, entries: DataFrame) -> tuple[int, int]:
+        """Entries, and pairs of them in one long list whose components differ."""
+        own = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+        lists = own.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        r = lists.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= HUB_LIST, (F.col("n") * F.col("n") - F.col("same")) / 2)).alias("pairs")).first()
+        return int(r.n or 0), int(r.pairs or 0)
+
+    def list_pairs(self, entries: DataFrame) -> DataFrame:
+        """(a, b): all pairs of clusters in different components that share a list and that nothing rules out."""
+        num, den = self.num, self.den
         lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))
         entries = entries.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("blocks")).cast("int"))
         entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", "component", "least", "most", "place")
@@ -276,7 +318,7 @@ class Join:
             if rest is not None and rest.num_rows:
                 yield pair_up(rest, num, den)
 
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = entries.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "least", "most")
         pairs = ordered.mapInArrow(skip_lists, "a long, b long").distinct()
         return self.keep(pairs, "pairs")
