@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ORDER = 4
-SLAB = 1 << 20
+SLAB = 1 << 19
 #: Rows of the model in one shard, 16 bytes each.
 SHARD_ROWS = 4_000_000
 #: Trusted ids that are sent to tasks rather than joined; the result is the same.
