@@ -1,17 +1,21 @@
-"""Benchmark overlap by spaced seeds.
-
-A seed is a fixed mask over a run of words; its hash leaves the masked-out words out,
-so an overlap with a few substituted words still meets at some mask and position.
-Hashes of all masks at all places of test items are joined with those of all
-documents; around every hit the two texts are laid on each other along the hit's
-diagonal and the aligned words compared, substitutions counted, over the longest
+"""Benchmark overlap by seeds that no overlap can avoid.
+
+A seed is a fixed mask over a run of words; its hash leaves the masked-out words out.
+An overlap of n >= 12 words with n // 5 substitutions has 4 equal words in a row: its
+equal words lie in at most n // 5 + 1 runs, of more than 3 words on average. Only 15
+words with 3 substitutions can stand as 3, 3, 3 and 3, which the second mask meets.
+Hashes of both masks at all places of test items are joined with those of all
+documents. Around every hit the two texts are compared word by word along the hit's
+diagonal; where some 12 to 23 words about it are equal to `share` (every longer overlap
+holds such a part), the whole diagonal is, substitutions counted, over the longest
 stretch whose share of equal words stays at `share`.
 
 Test items come in blocks of bounded size, one after the other, so each block's
 hashes are sent to all tasks with a known bound and documents are never shuffled.
 
-Defined cases: null and empty texts overlap nothing; items shorter than the seeds'
-span match where all their words stand in a row; null ids are kept as they are; a
+Defined cases: null and empty texts overlap nothing; items of fewer words than an
+overlap needs match as a whole, with `share` of their words equal, in place and at
+either end too (below 5 words that is all of them); null ids are kept as they are; a
 row per document row and item is returned, the longest overlap of the pair, ties to
 the first; other columns are not read.
 """
@@ -28,12 +32,15 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Places of a seed that count, 1, and that are ignored, 0.
-MASKS = ("110110110110", "101101101101", "011011011011", "111111000000", "000000111111", "111000111000")
-SPAN = len(MASKS[0])
+MASKS = ("1111", "1110111")
+#: Seeds of pieces of short items, by words.
+PIECES = ("1", "11", "111", "1111")
+#: Hits that are compared at once.
+HITS = 1 << 15
 #: Words that an overlap needs, or the whole item where that has fewer.
 LEAST_WORDS = 12
 SHARE = 0.8
-#: Words of test items in one block: at most 6 hashes of 16 bytes each.
+#: Words of test items in one block: at most 2 hashes of 16 bytes each.
 BLOCK_WORDS = 400_000
 OVERLAP = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
 
@@ -50,39 +57,106 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return common.mix(out ^ common.mix(np.array([int(mask, 2)], np.uint64)))
 
 
-class Block:
-    """Test items with their hashes, sorted, for lookup."""
+class Seeds:
+    """Hashes of one mask at places of test items, sorted, for lookup."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        raw, off = common.utf8(pa.array([t or "" for _, t in items], pa.string()))
-        self.words, self.first = common.word_hashes(raw, off)
-        counts = np.diff(self.first)
-        owner = np.repeat(np.arange(len(items)), counts)
-        keys, places, kinds = [], [], []
-        for k, mask in enumerate(MASKS):
-            h = seed_hashes(self.words, mask)
-            at = np.arange(len(h))
-            inside = owner[at] == owner[at + SPAN - 1] if len(h) else np.zeros(0, bool)
-            keys.append(h[inside]), places.append(at[inside]), kinds.append(np.full(inside.sum(), k))
-        self.short = [(i, self.words[self.first[i] : self.first[i + 1]]) for i in np.flatnonzero((counts > 0) & (counts < SPAN))]
-        for i, w in self.short:
-            keys.append(common.mix(w[:1] + np.uint64(1))), places.append(self.first[i : i + 1]), kinds.append(np.full(1, len(MASKS)))
-        keys, places = np.concatenate(keys), np.concatenate(places).astype(np.int64)
+    def __init__(self, mask: str, words: np.ndarray, places: np.ndarray):
+        self.mask = mask
+        keys = seed_hashes(words, mask)[places]
         order = np.argsort(keys, kind="stable")
         self.keys, self.places = keys[order], places[order]
         # one bit for each of 2**20 hash prefixes: most words of clean text stop here
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.owner = owner
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, place in the block's words) of equal hashes."""
+    def hits(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in words, place in the block's words) of equal hashes inside one document, HITS or so at a time."""
+        h = seed_hashes(words, self.mask)
         at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
+        at = at[owner[at] == owner[at + len(self.mask) - 1]]
         a, b = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        n = b - a
-        which = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.places[which]
+        at, a, n = at[b > a], a[b > a], (b - a)[b > a]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(at):
+            base = ends[i] - n[i]
+            j = max(i + 1, int(np.searchsorted(ends, base + HITS, side="right")))
+            which = np.repeat(a[i:j] - (ends[i:j] - n[i:j]), n[i:j]) + np.arange(base, ends[j - 1])
+            yield np.repeat(at[i:j], n[i:j]), self.places[which]
+            i = j
+
+
+class Block:
+    """Test items with their seeds."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int = LEAST_WORDS, share: float = SHARE):
+        self.ids = [i for i, _ in items]
+        self.least, self.share = least, share
+        raw, off = common.utf8(pa.array([t or "" for _, t in items], pa.string()))
+        self.words, self.first = common.word_hashes(raw, off)
+        self.counts = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(items)), self.counts)
+        long = self.counts >= least
+        self.seeds = []
+        for mask in MASKS:
+            at = np.arange(max(0, len(self.words) - len(mask) + 1))
+            at = at[long[self.owner[at]] & (self.owner[at] == self.owner[at + len(mask) - 1])]
+            if len(at):
+                self.seeds.append(Seeds(mask, self.words, at))
+        # with k substitutions one of k + 1 pieces has none
+        pieces: dict[str, list[int]] = {}
+        for i in np.flatnonzero((self.counts > 0) & ~long).tolist():
+            n = int(self.counts[i])
+            parts = n - needed(n, share) + 1
+            for k in range(parts):
+                pieces.setdefault(PIECES[min(n // parts, len(PIECES)) - 1], []).append(int(self.first[i]) + k * (n // parts))
+        self.pieces = [Seeds(mask, self.words, np.array(at)) for mask, at in sorted(pieces.items())]
+
+    def equal_at(self, words: np.ndarray, first: np.ndarray, owner: np.ndarray, at: np.ndarray, place: np.ndarray, reach: range) -> np.ndarray:
+        """Of each hit, whether the words at each distance in reach are equal and inside both texts."""
+        d, i = owner[at], self.owner[place]
+        low = np.maximum(first[d] - at, self.first[i] - place)[:, None]
+        high = np.minimum(first[d + 1] - at, self.first[i + 1] - place)[:, None]
+        step = np.arange(reach.start, reach.stop)
+        same = words[np.clip(at[:, None] + step, 0, len(words) - 1)] == self.words[np.clip(place[:, None] + step, 0, len(self.words) - 1)]
+        return same & (step >= low) & (step < high)
+
+    def diagonals(self, words: np.ndarray, first: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
+        """(document, item, place of the item's first word in the document) worth a whole comparison."""
+        out: set[tuple[int, int, int]] = set()
+        # a stretch of 2 * least words or more has a half that qualifies too
+        most = 2 * self.least - 1
+        shortest = len(MASKS[0])
+        reach = range(shortest - most, most)
+        for seeds in self.seeds:
+            for at, place in seeds.hits(words, owner):
+                equal = self.equal_at(words, first, owner, at, place, reach)
+                some = equal.sum(1) >= needed(self.least, self.share)
+                at, place, equal = at[some], place[some], equal[some]
+                sums = np.zeros((len(at), len(reach) + 1), np.int16)
+                np.cumsum(equal, axis=1, out=sums[:, 1:])
+                good = np.zeros(len(at), bool)
+                for n in range(self.least, most + 1):
+                    # those that hold the seed's first words
+                    a = np.arange(most - n, most - shortest + 1)
+                    good |= (sums[:, a + n] - sums[:, a]).max(1) >= needed(n, self.share)
+                at, place = at[good], place[good]
+                out.update(zip(owner[at].tolist(), self.owner[place].tolist(), (at - first[owner[at]] - place + self.first[self.owner[place]]).tolist(), strict=True))
+        for seeds in self.pieces:
+            for at, place in seeds.hits(words, owner):
+                d, i = owner[at], self.owner[place]
+                begin = at - (place - self.first[i])
+                inside = (begin >= first[d]) & (begin + self.counts[i] <= first[d + 1])
+                d, i, begin = d[inside], i[inside], begin[inside]
+                equal = self.equal_at(words, first, owner, begin, self.first[i], range(0, self.least)).sum(1)
+                good = equal >= needed(self.counts[i], self.share)
+                out.update(zip(d[good].tolist(), i[good].tolist(), (begin - first[d])[good].tolist(), strict=True))
+        return out
+
+
+def needed(n, share: float):
+    """How many of n words make the share."""
+    return np.ceil(np.multiply(n, share) - 1e-9).astype(int)
 
 
 def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
@@ -102,28 +176,19 @@ def longest_stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
     return best
 
 
-def overlaps_of(words: np.ndarray, block: Block, least: int, share: float) -> list[tuple[int, int, int, int, int]]:
-    """(item, doc_start, item_start, n_words, n_equal): the longest overlap with each item."""
-    diagonals: set[tuple[int, int]] = set()
-    for mask in MASKS:
-        at, place = block.hits(seed_hashes(words, mask))
-        diagonals.update(zip(block.owner[place].tolist(), (at - (place - block.first[block.owner[place]])).tolist(), strict=True))
-    if block.short:
-        at, place = block.hits(common.mix(words + np.uint64(1)))
-        for p, q in zip(at.tolist(), place.tolist(), strict=True):
-            item = int(block.owner[q])
-            own = block.words[block.first[item] : block.first[item + 1]]
-            if len(own) < SPAN and np.array_equal(words[p : p + len(own)], own):
-                diagonals.add((item, p))
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for item, shift in sorted(diagonals):
-        own = block.words[block.first[item] : block.first[item + 1]]
-        a, b = max(0, -shift), min(len(own), len(words) - shift)
-        equal = own[a:b] == words[a + shift : b + shift]
-        x, y = longest_stretch(equal, share)
-        if y - x >= min(least, len(own)) and (item not in best or y - x > best[item][2]):
-            best[item] = (a + x + shift, a + x, y - x, int(equal[x:y].sum()))
-    return [(item, *v) for item, v in sorted(best.items())]
+def overlaps_of(words: np.ndarray, first: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int, int]]:
+    """(document, item, doc_start, item_start, n_words, n_equal): the longest overlap of each document with each item."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for d, item, shift in sorted(block.diagonals(words, first, owner)):
+        doc, own = words[first[d] : first[d + 1]], block.words[block.first[item] : block.first[item + 1]]
+        a, b = max(0, -shift), min(len(own), len(doc) - shift)
+        equal = own[a:b] == doc[a + shift : b + shift]
+        # a short item counts as a whole
+        x, y = longest_stretch(equal, block.share) if len(own) >= block.least else (0, len(own))
+        if y - x >= min(block.least, len(own)) and ((d, item) not in best or y - x > best[d, item][2]):
+            best[d, item] = (a + x + shift, a + x, y - x, int(equal[x:y].sum()))
+    return [(d, item, *v) for (d, item), v in sorted(best.items())]
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -148,20 +213,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc
         shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(shared.value)
+            block = Block(shared.value, least, share)
             for part in common.pieces(batches, "text"):
                 raw, off = common.utf8(part.column("text"))
                 words, first = common.word_hashes(raw, off)
-                near = np.zeros(len(words) + 1, bool)
-                for mask in MASKS:
-                    h = seed_hashes(words, mask)
-                    near[: len(h)] |= block.seen[(h >> np.uint64(44)).astype(np.int64)] & np.isin(h, block.keys)
-                if block.short:
-                    near[:-1] |= np.isin(common.mix(words + np.uint64(1)), block.keys)
-                touched = np.unique(np.searchsorted(first, np.flatnonzero(near), side="right") - 1)
-                ids, found = part.column("doc_id").to_pylist(), []
-                for d in touched[touched < len(ids)].tolist():
-                    found += [(ids[d], block.ids[item], *rest) for item, *rest in overlaps_of(words[first[d] : first[d + 1]], block, least, share)]
+                ids = part.column("doc_id").to_pylist()
+                found = [(ids[d], block.ids[item], *rest) for d, item, *rest in overlaps_of(words, first, block)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [x.split()[0] for x in OVERLAP.split(", ")])
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -176,6 +177,42 @@ def test_overlaps_with_substitutions(spark):
     assert got == held
 
 
+def overlaps_by_text(texts, items):
+    import pyarrow as pa
+
+    words, first = common.word_hashes(*common.utf8(pa.array(texts, pa.string())))
+    return decontaminate.overlaps_of(words, first, decontaminate.Block(list(enumerate(items))))
+
+
+def with_substitutions(words, at):
+    return [f"other{i}" if i in at else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("n", range(12, 21))
+def test_every_substitution_pattern_is_found(n):
+    item = [f"word{i}" for i in range(n)]
+    # an overlap begins and ends with an equal word
+    patterns = [p for k in range(n // 5 + 1) for p in itertools.combinations(range(1, n - 1), k)]
+    texts = [" ".join(["before", *with_substitutions(item, p), "after"]) for p in patterns]
+    got = overlaps_by_text(texts, [" ".join(item)])
+    assert got == [(d, 0, 1, 0, n, n - len(p)) for d, p in enumerate(patterns)]
+
+
+@pytest.mark.parametrize("n", range(12, 24))
+def test_masks_meet_every_window(n):
+    met = lambda p: any(all(b == "0" or at + i not in p for i, b in enumerate(m)) for m in decontaminate.MASKS for at in range(n - len(m) + 1))
+    assert all(met(p) for p in itertools.combinations(range(n), n // 5))
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_short_items_with_substitutions(n):
+    item = [f"word{i}" for i in range(n)]
+    patterns = [p for k in range(n // 5 + 2) for p in itertools.combinations(range(n), k)]
+    texts = [" ".join(["before", *with_substitutions(item, p), "after"]) for p in patterns]
+    got = overlaps_by_text(texts, [" ".join(item)])
+    assert got == [(d, 0, 1, 0, n, n - len(p)) for d, p in enumerate(patterns) if len(p) <= n // 5]
+
+
 def test_longest_stretch_against_all():
     rng = np.random.default_rng(2)
     for _ in range(200):
