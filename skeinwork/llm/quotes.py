@@ -6,7 +6,9 @@ case and white space) and hashed, and joined with the hashes of what messages of
 same conversation say themselves: their whole text, their paragraphs and their
 lines. The original is the first message with the passage; a message replies to the
 original of its outermost passage, of several to the one with the most words found.
-Passages of which only lines are found are linked through these.
+Passages that are not found as a whole are linked through their paragraphs, which
+quoted lines without words part, then through lines of some length, then through
+paragraphs of fewer words than that.
 
 Replies are followed up to the message that starts the thread by doubling steps, so
 a chain of n replies takes log2(n) joins. Sorting by conversation, thread and turn
@@ -36,7 +38,7 @@ MARKS = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 #: Lines that announce a quotation, when one follows.
 ANNOUNCES = re.compile(r"^\s*(?:On\b.{0,300}\bwrote|Am\b.{0,300}\bschrieb.{0,100}|Le\b.{0,300}\ba écrit|El\b.{0,300}\bescribió|.{0,200}\b(?:wrote|writes|said|schrieb|escribió|a écrit))\s*:\s*$|^\s*-{2,}\s*(?:Original Message|Ursprüngliche Nachricht|Message d'origine|Mensaje original)\s*-{2,}\s*$", re.IGNORECASE)
 LEAST_WORDS = 3
-WHOLE, LINE = 0, 1
+WHOLE, PARAGRAPH, LINE, SHORT = 0, 1, 2, 3
 
 
 def normal(lines: list[str]) -> str:
@@ -78,18 +80,20 @@ def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     return "\n".join(own).strip("\n").strip(), [(n, x) for n, x in passages if any(y.strip() for y in x)]
 
 
-def said(text: str) -> set[int]:
-    """Hashes of what a message says: whole, paragraphs, lines."""
-    lines = text.split("\n")
-    parts, block = [normal(lines)], []
+def paragraphs(lines: list[str]) -> Iterator[str]:
+    block: list[str] = []
     for line in [*lines, ""]:
         if line.strip():
-            parts.append(normal([line]))
             block.append(line)
         elif block:
-            parts.append(normal(block))
+            yield normal(block)
             block = []
-    return {name(p) for p in parts if p}
+
+
+def said(text: str) -> set[int]:
+    """Hashes of what a message says: whole, paragraphs, lines."""
+    lines = text.split("\n")
+    return {name(p) for p in [normal(lines), *paragraphs(lines), *(normal([line]) for line in lines)] if p}
 
 
 def quoted(passages: list[tuple[int, list[str]]]) -> list[tuple[int, int, int, int]]:
@@ -98,6 +102,10 @@ def quoted(passages: list[tuple[int, list[str]]]) -> list[tuple[int, int, int, i
     for level, lines in passages:
         whole = normal(lines)
         out.add((level, WHOLE, name(whole), len(whole.split())))
+        for part in paragraphs(lines):
+            if part != whole:
+                n = len(part.split())
+                out.add((level, PARAGRAPH if n >= LEAST_WORDS else SHORT, name(part), n))
         for line in lines:
             one = normal([line])
             if one and len(one.split()) >= LEAST_WORDS:
@@ -128,7 +136,7 @@ def reply_links(rows: DataFrame) -> DataFrame:
     wanted = asks.select("conv_id", "hash").distinct()
     first = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("said").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
     found = asks.join(first.join(wanted, ["conv_id", "hash"]), ["conv_id", "hash"]).filter("parent_turn < turn")
-    # outermost level, then whole passages before lines, then most words, then the earliest original
+    # outermost level, then whole passages before paragraphs before lines, then most words, then the earliest original
     votes = found.groupBy("conv_id", "turn", "level", "kind", "parent_turn").agg(F.sum("words").alias("words"))
     best = votes.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "kind", (-F.col("words")).alias("less"), "parent_turn")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.parent_turn").alias("parent_turn"))

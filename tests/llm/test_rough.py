@@ -95,6 +95,16 @@ def test_quotes(spark):
     assert quotes.reply_order(df.limit(0)).count() == 0
 
 
+def test_quoted_paragraphs_wrapped_anew(spark):
+    import textwrap
+
+    parts = [" ".join(f"{name}{i}" for i in range(40)) for name in ("first", "second", "third")]
+    fill = lambda texts, width, mark: "\n\n".join(textwrap.fill(t, width) for t in texts).replace("\n", "\n" + mark)
+    rows = [(1, 0, "user", "Hi,\n\nunrelated"), (1, 1, "user", "Hi,\n\n" + fill(parts, 72, "")), (1, 2, "user", "> " + fill(parts[:2], 64, "> ") + "\nI agree"), (1, 3, "user", "> Hi,\n>\n> " + fill(parts[1:], 64, "> ") + "\nI do not"), (1, 4, "user", "> Hi,\n>\n> what nobody said\nbut greets")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.parent_turn for r in quotes.reply_order(df).collect()} == {0: None, 1: None, 2: 1, 3: 1, 4: 0}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, rough, nothing, sf_dir, k):
     name, stage = corpus_pipeline.STAGES[k]
