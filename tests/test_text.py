@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import text as x
 from skeinwork.operators import budget, lines, messages, retrieval
+from skeinwork.plans import registry
 
 VECTORS = [(1, "const x = 1", "un"), (2, "  return x;", "mr"), (3, "}", "rd"), (42, "function hi() {", "tz"), (1, "", "st"), (5, "  ", "th"), (15, 'import { readFile } from "fs"', "dr"), (20, '    "hello world"', "uc"), (100, "", "th"), (2, "  return;", "tr"), (10, "hello", "tv")]
 
@@ -14,6 +15,14 @@ def test_line_hash(no, line, want):
     assert x.line_hash(no, line) == want
 
 
+def test_every_line_is_anchored(spark, tmp_path):
+    texts = {1: "\n".join(f"  const x{i} = {i};" for i in range(12)) + "\n\n}", 2: "", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i, f"{i}{x.line_hash(i, t)}|{t}") for d, text in texts.items() if text is not None for i, t in enumerate(text.split("\n"), 1)}
+    got = [tuple(r) for r in registry.QUERIES["f11_anchored_lines"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) == 15 and set(got) == want
+
+
 def test_functions(spark):
     row = spark.createDataFrame([("a\r\nb\n", "file:src/a.ts:Foo", "file:src/a.ts", "12un|x", "getUserData from authService")], "t string, n string, m string, a string, q string").select(x.line_ending(F.col("t")), x.to_lf(F.col("t")), x.node_path(F.col("n")), x.node_symbol(F.col("n")), x.node_symbol(F.col("m")), x.parse_anchor(F.col("a")), retrieval.query_tokens(F.col("q")), x.glob_match(F.lit("Claims-9"), "claims-*")).first()
     assert row[:5] == ("crlf", "a\nb\n", "src/a.ts", "Foo", None)
