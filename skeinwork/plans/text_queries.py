@@ -131,8 +131,12 @@ def _(spark, d):
 EVENTS = "WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)\n"
 
 
+def stream_path(spark, name):
+    return f"{storage.shared_root(spark)}/{name}-{storage.uuid.uuid4().hex[:12]}"
+
+
 def streamed(spark, stream, name):
-    return st.run_available(stream, f"{storage.shared_root(spark)}/{name}-{storage.uuid.uuid4().hex[:12]}", "append")
+    return st.run_available(stream, stream_path(spark, name), "append")
 
 
 @query("z01_debounce_sessions", EVENTS + "SELECT user_id, burst::BIGINT AS burst, count(*) AS n FROM b GROUP BY 1, 2")
@@ -158,7 +162,7 @@ def _(spark, d):
 
 @query("z_stream_tumbling")
 def _(spark, d):
-    return streamed(spark, st.tumbling(st.events_stream(spark, d)), "tumbling")
+    return st.run_whole(st.tumbling(st.events_stream(spark, d)), stream_path(spark, "tumbling"))
 
 
 @query("z04_anchor_state")

@@ -28,6 +28,16 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_whole(stream: DataFrame, path: str) -> DataFrame:
+    """Like run_available for an aggregate: its rows as they stand at the end, windows still open too."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    # complete mode gives all rows each time, so the last batch's stand
+    q = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-log").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def debounced(changes: DataFrame, key: str = "user_id", gap: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
     """One row per key and burst of changes with no gap as long as `gap`: (key, first, last, n)."""
     return changes.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("w")
