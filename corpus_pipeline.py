@@ -9,6 +9,8 @@ from skeinwork.llm import common, decontaminate, ngram_join, packing, quality, s
 
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
+#: A column that no shielded table has.
+ROW = "row number"
 
 
 def shielded(docs: DataFrame) -> DataFrame:
@@ -26,12 +28,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays; so does every row without an id."""
-    leads = ngram_join.jaccard_classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    # a repeated id stands for one document: the least of its rows stays
-    rest = docs.filter("doc_id IS NOT NULL").join(leads, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    kept = rest.select("doc_id", "row.*").select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    """Of each group of linked rows that with the smallest id stays, or one without an id where none has one."""
+    rows = shielded(docs).withColumn(ROW, F.monotonically_increasing_id())
+    groups = ngram_join.jaccard_classes(rows, ROW).select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    leads = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("lead")).select(F.col("lead")[ROW].alias(ROW))
+    return restored(rows.join(leads, ROW, "left_semi"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    """Rows that hold a benchmark item go, whatever their ids."""
+    rows = shielded(docs).withColumn(ROW, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+    clean = decontaminate.drop_contaminated(rows, common.table(spark, sf_dir, "benchmark"))
+    return restored(clean.withColumn("doc_id", F.col(f"`{ROW}`")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

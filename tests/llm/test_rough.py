@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.llm import common, decontaminate, html, ngram_join, packing, quality, quotes, suffix, topk, toxicity, warc
 
@@ -112,3 +113,16 @@ def test_stages(spark, rough, nothing, sf_dir, k):
         out = stage(spark, docs, sf_dir)
         assert k == 4 or out.columns == docs.columns
         assert (out.count() == 0) == docs.isEmpty()
+
+
+def test_rows_are_judged_by_their_own_texts(spark, sf_dir):
+    item = common.table(spark, sf_dir, "benchmark").first().text
+    own = {k: " ".join(f"{k}{i}" for i in range(40)) for k in ("a", "b", "c")}
+    held = " ".join(f"d{i}" for i in range(20)) + " " + item
+    rows = [(1, own["a"]), (2, own["a"]), (2, own["b"]), (3, held), (3, own["c"]), (None, own["a"]), (None, held + " once more with many other words behind it, so that it is not a near copy " + own["c"][::-1])]
+    docs = common.cut(spark.createDataFrame(rows, "doc_id long, text string"), "ids").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long")).withColumn("row", F.lit(1))
+    key = lambda rows: sorted((r[0] or -1, r[1]) for r in rows)
+    first = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert first.columns == docs.columns and key(first.collect()) == key([rows[0], *rows[2:5], rows[6]])
+    second = corpus_pipeline.drop_benchmark(spark, common.cut(first, "first"), sf_dir)
+    assert second.dtypes == docs.dtypes and key(second.collect()) == key([rows[0], rows[2], rows[4]])
