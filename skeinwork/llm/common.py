@@ -1,7 +1,9 @@
 """What the operators of this package share: shared-folder tables and vectorised text hashing.
 
-Hashing is 64 bits wide: two different words, shingles or sets are taken for equal
-with a chance of about n * n / 2**65 among n of them.
+Words are hashed by a random 64-bit value for each byte at each place, so no two
+words are alike by structure: two different ones among n are taken for equal with a
+chance of about n * n / 2**65. The rolling polynomial modulo 2**64 further down is not
+such a hash; it serves to choose places in texts and never decides that texts are equal.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from ..storage import shared_root
 
 #: Bytes of text that a task holds in numpy form at once; one longer text is taken alone.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 ROW_BATCH = 2000
 
 
@@ -91,7 +93,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-LOWER_CODE = BYTE_CODE[LOWER]
+#: Places in a span whose byte values have a code of their own in a table; further ones are computed.
+TABLE_PLACES = 64
+PLACE_CODE = _RNG.integers(0, 2**64, TABLE_PLACES * 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -127,6 +131,27 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start] + (end - start).astype(np.uint64))
 
 
+def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The hash of every span [start, end) of bytes; spans may be empty. Lanes are independent hashes."""
+    size = (end - start).astype(np.int64)
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    place = np.arange(total, dtype=np.int64) - np.repeat(ends - size, size)
+    cell = np.repeat(start.astype(np.int64), size)
+    cell += place
+    cell = raw[cell] + (place << 8)
+    far = np.flatnonzero(place >= TABLE_PLACES)
+    beyond = mix(cell[far].astype(np.uint64) * BASE)
+    cell[far] = 0
+    code = PLACE_CODE[cell]
+    code[far] = beyond
+    if lane:
+        code = mix(code + np.uint64(lane) * BASE)
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(code, out=sums[1:])
+    return mix((sums[ends] - sums[ends - size]) + size.astype(np.uint64) * BASE)
+
+
 def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where words `[^\\x20\\x09-\\x0D]+` start and end, and the first word of each text (one entry more)."""
     word = np.zeros(len(raw) + 2, bool)
@@ -142,7 +167,7 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word with A-Z lower-cased, and the first word of each text (one entry more)."""
     start, end, first = words_of(raw, off)
-    return span_hash(prefix_sums(LOWER_CODE[raw]), start, end), first
+    return bytes_hash(LOWER[raw], start, end), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

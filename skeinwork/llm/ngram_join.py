@@ -1,31 +1,34 @@
 """Exact self-join of documents on word shingles by Jaccard similarity, as link classes.
 
 1. Every text becomes its set of distinct shingle hashes; equal sets are one set.
-2. Highly similar sets: sets with an equal minimum under one of a few hash functions
-   are compared with the smallest of their group. Where they link, the set joins that
-   leader's cluster if the leader itself is in none. Only cluster and component are
-   carried on: within a component nothing more needs comparing.
+2. Families: sets that share the smallest hash of some of a few hash ranges name the most
+   widely shared set among them their hub. A set is sent to its hub once; where the two
+   are similar it joins the hub's family and leaves only its differences from the hub.
+   Answers inside a family are derived from those: |x & y| is the hub's size less what
+   x and y lack, plus what they lack and what they add in common. Members that link
+   with the hub are one class without further work; the others are compared in blocks
+   of similar size, a pair of blocks a task, and only links that join classes leave a task.
 3. Index: sets order their shingles by corpus frequency (frequent ones, counted over
    all documents, last), then hash. Any two sets that link share one of their first
-   n - ceil(t * n) + 1 shingles. A cluster enters a shingle's list once, with the
-   range of its members' sizes and positions. Lists are sorted by size, and blocks
-   of a list that size or position rule out are skipped; long lists are split into
-   pairs of blocks that different tasks compare.
-   Before, while lists hold many more pairs than entries, each entry is compared with its
-   list's hub only, and what links becomes one component: groups of near copies
-   shrink to one label in a few rounds, each as large as the lists, not their squares.
-4. Clusters found are compared by their leaders. Where those do not link, the
-   answer for members is bounded from the leaders' overlap and the members' differences
-   from their leaders; only members that the bound leaves open are compared.
+   n - ceil(t * n) + 1 shingles. A family enters a shingle's list once, with the
+   range of its members' sizes and its least position. Lists are sorted by size and cut
+   into blocks; from sizes and positions two blocks may be known to hold no link, and are
+   skipped whole. Long lists are split into pairs of parts that different tasks compare.
+4. Families found in one list are compared by their hubs. The overlap of the hubs and
+   the members' differences bound what members can share; where the bound leaves that
+   open, the smaller family's members become guests of the larger one's hub and are
+   compared with its members as in 2.
 
 Defined cases: null and empty texts have an empty set and link with nothing, texts
 with fewer words than the shingle width are one shingle; rows without id get no
 component and link nothing; repeated rows are documents of their own with the same
-component; other columns are not read.
+component; a text of any length is taken whole, by itself if it is longer than a slab;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +40,21 @@ from . import common
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 4, 5
-LEADER_HASHES = 4
+#: Ranges of hash values whose smallest member a set is known by.
+RANGES = 8
 #: Shingles that sort last. Which ones they are changes work, never results.
 FREQUENT = 200_000
 LIST_BLOCK = 2_000
-#: Rounds of comparing lists' entries with their hubs before all that is left is compared.
-HUB_TURNS = 2
-#: Lists of so many entries have hubs, and hubs are used while such lists hold so many times more pairs than there are entries.
-HUB_LIST, HUB_FACTOR = 32, 8
-#: Index entries, 28 bytes each, that a task holds at once; more memory a task allows more.
+#: Entries of a list that are skipped or compared together.
+SKIP_BLOCK = 16
+#: Index entries, 28 bytes each, that a task holds at once.
 INDEX_ROWS = 400_000
-#: Ids of documents to look at again that are sent to tasks, 8 bytes each; more are joined.
-SENT_IDS = 500_000
-SEEDS = np.random.default_rng(7).integers(1, 2**63, LEADER_HASHES, dtype=np.uint64)
+#: Ids of documents to look at again that are sent to tasks; more are joined.
+SENT_IDS = 200_000
+#: Sets that one copy of a hub is compared with.
+HUB_SETS = 500
+#: Shingles and members of a block of a family.
+BLOCK_MASS, BLOCK_SETS = 400_000, 1_000
 
 
 def sets_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +65,14 @@ def sets_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else shingles, np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
-def set_ids(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; 0 for the empty one."""
-    n = np.diff(first)
-    sums = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(common.mix(tokens ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=sums[1:])
-    return np.where(n > 0, common.signed(common.mix((sums[first[1:]] - sums[first[:-1]]) + n.astype(np.uint64))), 0)
+def set_names(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set; 0 for the empty one."""
+    n, out = np.diff(first), []
+    for salt in (0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B):
+        sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(common.mix(tokens ^ np.uint64(salt)), out=sums[1:])
+        out.append(np.where(n > 0, common.signed(common.mix((sums[first[1:]] - sums[first[:-1]]) + n.astype(np.uint64))), 0))
+    return out[0], out[1]
 
 
 def prefix_size(n, numerator: int, denominator: int):
@@ -73,29 +80,32 @@ def prefix_size(n, numerator: int, denominator: int):
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sid, k) and, with n null, of in-slab counts (sid: shingle, count)."""
+    """Rows of documents (doc_id, n, sid, sid2, k) and, with n null, of in-slab counts (sid: shingle, times)."""
+    edges = (np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - int(math.log2(RANGES)))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.pieces(batches, "text"):
             tokens, first = sets_of(part.column("text"), width)
             n = np.diff(first)
-            k = np.zeros((len(n), LEADER_HASHES), np.int64)
-            if n.any():
-                at = first[:-1][n > 0]
-                for j, seed in enumerate(SEEDS):
-                    k[n > 0, j] = common.signed(np.minimum.reduceat(common.mix(tokens ^ seed), at))
-            ks = pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), LEADER_HASHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(set_ids(tokens, first)), ks, pa.nulls(len(n), pa.int64())], NAMES)
+            sid, sid2 = set_names(tokens, first)
+            keys = []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = tokens[a:b]
+                at = np.searchsorted(own, edges)
+                keys.append(common.signed(np.unique(own[at[at < len(own)]])))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sid), pa.array(sid2), lists, pa.nulls(len(n), pa.int64())], NAMES)
             seen, times = np.unique(tokens, return_counts=True)
             seen, times = seen[times > 1], times[times > 1]
-            if len(seen):
-                m = len(seen)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(common.signed(seen)), pa.nulls(m, pa.list_(pa.int64())), pa.array(times.astype(np.int64))], NAMES)
+            if m := len(seen):
+                none = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(common.signed(seen)), none, pa.nulls(m, pa.list_(pa.int64())), pa.array(times.astype(np.int64))], NAMES)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, k array<long>, times long")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, sid2 long, k array<long>, times long")
 
 
-NAMES = ["doc_id", "n", "sid", "k", "times"]
+NAMES = ["doc_id", "n", "sid", "sid2", "k", "times"]
+COMPARED = "x long, hub long, n long, n_hub long, inter long, gone binary, new binary"
 
 
 class Join:
@@ -111,100 +121,144 @@ class Join:
 
     def linked(self, inter: str, a: str, b: str) -> str:
         """|A & B| * den >= num * |A | B|."""
-        return f"{self.den} * {inter} >= {self.num} * ({a} + {b} - {inter})"
-
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, n_a, n_b, inter) of pairs (a, b) of set ids, from whole texts."""
-        need = self.keep(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.sets.select("sid", "doc_id"), "sid").select("doc_id").distinct(), "needed")
-        need = F.broadcast(need) if need.count() <= SENT_IDS else need
-        width = self.width
-
-        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in common.pieces(batches, "text"):
-                t, first = sets_of(part.column("text"), width)
-                blobs = [t[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(t, first)), pa.array(blobs, pa.binary())], ["sid", "tokens"])
-
-        # one document stands for each set; an id that repeats only repeats what is found
-        sets = self.docs.join(need, "doc_id").select("text").mapInArrow(tokens, "sid long, tokens binary")
-        sets, path = common.store(sets, "token-sets")
-        common.free_shuffles(self.spark)
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    out.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *cols], ["a", "b", "n_a", "n_b", "inter"])
-
-        both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-        out = self.keep(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, n_a long, n_b long, inter long"), "overlaps")
-        del sets, both
-        common.delete_folder(self.spark, path)
-        common.free_shuffles(self.spark)
-        return out
+        return f"{self.num + self.den} * ({inter}) >= {self.num} * ({a} + {b})"
 
     def similar_sizes(self, a: str, b: str) -> str:
         return f"{self.den} * {a} >= {self.num} * {b} AND {self.den} * {b} >= {self.num} * {a}"
 
     def run(self) -> DataFrame:
-        seen = self.keep(describe(self.docs, self.width), "sets")
+        seen = self.keep(describe(self.docs, self.width), "described")
         rows = seen.filter("n IS NOT NULL")
-        self.sets = self.keep(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("k").alias("k")), "distinct-sets")
+        least = F.min(F.struct("doc_id", "n", "k")).alias("one")
+        distinct = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2").agg(least)
+        # a set's number is fixed by the stored table
+        self.sets = self.keep(distinct.select(F.monotonically_increasing_id().alias("x"), "sid", "sid2", "one.*"), "sets")
         # FREQUENT bounds what is sent: 16 bytes each
-        often = seen.filter("times IS NOT NULL").groupBy("sid").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "sid").limit(FREQUENT).select("sid").collect()
-        common.free_shuffles(self.spark)
-        stars = self.stars()
-        star_components = common.components(stars.select("a", "b"))
-        members = self.clusters(stars)
-        info = self.sets.select("sid", "doc_id", "n").join(members, "sid", "left").join(star_components.select(F.col("node").alias("sid"), "component"), "sid", "left")
-        info = self.keep(info.select("sid", "doc_id", "n", F.coalesce("cluster", "sid").alias("cluster"), F.coalesce("component", "sid").alias("component"), F.coalesce("gone", F.lit(0)).alias("gone"), F.coalesce("new", F.lit(0)).alias("new")), "clusters")
+        often = seen.filter("times IS NOT NULL").groupBy("sid").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "sid").limit(FREQUENT).select("sid").toArrow().column(0)
+        often = np.concatenate([c.to_numpy() for c in often.chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
         common.free_shuffles(self.spark)
-        entries = self.index(info, np.array([r.sid for r in often], np.int64).view(np.uint64))
-        common.free_shuffles(self.spark)
-        centres = info.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("component"))
-        labelled = self.keep(entries.join(centres, "cluster"), "labelled")
-        links = stars.select("a", "b")
-        # while lists hold many more pairs than entries, hubs join what is alike first; then all that is left is compared
-        for turn in range(HUB_TURNS):
-            n, left = self.pairs_left(labelled)
-            if left <= HUB_FACTOR * n:
-                break
-            pairs = self.keep(self.hub_pairs(labelled, turn), "hub-pairs")
-            over = self.overlaps(pairs)
-            good = over.filter(self.linked("inter", "n_a", "n_b")).select("a", "b")
-            if good.isEmpty():
-                break
-            links = links.unionByName(good)
-            merged_into = common.components(links).select(F.col("node").alias("cluster"), F.col("component").alias("to"))
-            labelled = self.keep(labelled.join(merged_into, "cluster", "left").withColumn("component", F.coalesce("to", "component")).drop("to"), "labelled")
-        pairs = self.list_pairs(labelled)
+        members, links = self.families()
+        spans = self.keep(members.groupBy(F.col("hub").alias("family")).agg((F.count(F.lit(1)) + 1).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("inter")).alias("new"), F.max(F.expr(f"NOT ({self.linked('inter', 'n', 'n_hub')})")).alias("open")), "families")
+        pairs = self.candidates(members, often)
         if not pairs.isEmpty():
-            links = links.unionByName(self.decide(pairs, info))
-        joined = common.components(links)
-        label = info.select("sid", "doc_id").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
-        least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        by_set = self.keep(label.join(least, "component").select("sid", "component_id"), "labels")
-        out = rows.join(by_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NULL THEN NULL ELSE coalesce(component_id, doc_id) END").alias("component_id"))
+            links += self.across(pairs, members, spans)
+        joined = common.components(self.union(links))
+        label = self.sets.select("x", "sid", "sid2", "doc_id").join(joined.withColumnRenamed("node", "x"), "x", "left").select("sid", "sid2", "doc_id", F.coalesce("component", "x").alias("component"))
+        label = self.keep(label, "labels")
+        first = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        by_set = label.join(first, "component").select("sid", "sid2", "component_id")
+        out = rows.select("doc_id", "n", "sid", "sid2").join(by_set, ["sid", "sid2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NULL THEN NULL ELSE coalesce(component_id, doc_id) END").alias("component_id"))
         return self.keep(out, "classes")
 
-    def stars(self) -> DataFrame:
-        """Verified links (a, b, n_a, n_b, inter) of sets with leaders of their minimum-hash groups."""
-        base = self.sets.select("sid", "n", F.posexplode("k").alias("j", "key"))
-        lead = base.groupBy("j", "key").agg(F.min(F.struct("sid", "n")).alias("lead"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-        pairs = base.join(lead, ["j", "key"]).filter("sid <> lead.sid").filter(self.similar_sizes("n", "lead.n")).select(F.col("sid").alias("a"), F.col("lead.sid").alias("b")).distinct()
-        return self.keep(self.overlaps(self.keep(pairs, "star-pairs")).filter(self.linked("inter", "n_a", "n_b")), "stars")
+    @staticmethod
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out
 
-    def clusters(self, stars: DataFrame) -> DataFrame:
-        """(sid, cluster, gone, new): sets and the leader that they join, with what each lacks of and adds to it."""
-        roots = stars.select(F.col("b").alias("sid")).distinct().join(stars.select(F.col("a").alias("sid")).distinct(), "sid", "left_anti")
-        own = stars.join(roots.select(F.col("sid").alias("b")), "b").select("a", F.struct("b", (F.col("n_b") - F.col("inter")).alias("gone"), (F.col("n_a") - F.col("inter")).alias("new")).alias("to"))
-        return self.keep(own.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("sid"), F.col("to.b").alias("cluster"), F.col("to.gone").alias("gone"), F.col("to.new").alias("new")), "members")
+    def families(self) -> tuple[DataFrame, list[DataFrame]]:
+        """COMPARED rows of sets that are at least half like their hub, and the links (a, b) inside families."""
+        base = self.sets.select("x", "n", F.explode("k").alias("key"))
+        times = base.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        held = self.keep(base.join(times, "key"), "keys")
+        weight = held.groupBy("x").agg(F.sum("times").alias("weight"))
+        heavy = held.join(weight, "x")
+        lead = heavy.groupBy("key").agg(F.max(F.struct("weight", "x", "n")).alias("lead"))
+        votes = heavy.join(lead, "key").filter("x <> lead.x").filter(self.similar_sizes("n", "lead.n")).groupBy("x", F.col("lead.x").alias("hub"), F.col("lead.weight").alias("weight")).agg(F.count(F.lit(1)).alias("votes"))
+        choice = self.keep(votes.groupBy("x").agg(F.max(F.struct("votes", "weight", "hub")).alias("to")).select("x", "to.hub", "to.votes"), "choices")
+        # one shared smallest hash in eight is chance or a shared passage; small sets have few
+        keys = self.sets.select("x", F.size("k").alias("keys"))
+        chosen = choice.join(keys, "x").filter("4 * votes >= keys").select("x", "hub")
+        hubs = chosen.select(F.col("hub").alias("x")).distinct()
+        compared = self.compare(chosen.join(hubs, "x", "left_anti"), False)
+        members = self.keep(compared.filter("3 * inter >= n + n_hub"), "members")
+        like_hub = self.linked("inter", "n", "n_hub")
+        links = [compared.filter(like_hub).select(F.col("x").alias("a"), F.col("hub").alias("b"))]
+        kinds = members.withColumn("kind", F.when(F.expr(like_hub), 1).otherwise(0))
+        links.append(self.blocks(kinds, [(0, 0), (0, 1)]))
+        return members, links
+
+    def compare(self, pairs: DataFrame, differences: bool) -> DataFrame:
+        """COMPARED rows of pairs (x, hub) of sets, from whole texts; with their differences where the two are half alike, or always."""
+        of = self.sets.select("x", "sid", "sid2", "doc_id")
+        pairs = self.keep(pairs.select("x", "hub"), "pairs")
+        hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_SETS).cast("int").alias("chunks"))
+        guests = pairs.join(hubs, "hub").join(of, "x").select("doc_id", "sid", "sid2", "x", "hub", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int").alias("chunk"))
+        copies = hubs.join(of.withColumnRenamed("x", "hub"), "hub").select("doc_id", "sid", "sid2", F.lit(None).cast("long").alias("x"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        need = self.keep(guests.unionByName(copies), "needed")
+        need = F.broadcast(need) if need.count() <= SENT_IDS else need
+        # the hub's copy comes first, as nulls do
+        sent = self.docs.join(need, "doc_id").select("hub", "chunk", "x", "sid", "sid2", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "x")
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, hub = None, np.zeros(0, np.uint64)
+            for part in common.pieces(batches, "text"):
+                tokens, first = sets_of(part.column("text"), width)
+                names = np.stack(set_names(tokens, first), 1).tolist()
+                cols = [part.column(c).to_pylist() for c in ("hub", "chunk", "x", "sid", "sid2")]
+                out: list[tuple] = []
+                for i, (h, chunk, x, sid, sid2) in enumerate(zip(*cols, strict=True)):
+                    if names[i] != [sid, sid2]:
+                        continue  # another text with this id
+                    own = tokens[first[i] : first[i + 1]]
+                    if x is None:
+                        at, hub = (h, chunk), own.copy()
+                    elif at == (h, chunk):
+                        place = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+                        hit = hub[place] == own
+                        inter = int(hit.sum())
+                        gone = new = None
+                        if differences or 3 * inter >= len(own) + len(hub):
+                            lacks = np.ones(len(hub), bool)
+                            lacks[place[hit]] = False
+                            gone, new = np.flatnonzero(lacks).astype("<u4").tobytes(), own[~hit].tobytes()
+                        out.append((x, h, len(own), len(hub), inter, gone, new))
+                if out:
+                    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in COMPARED.split(", ")])
+
+        out = self.keep(sent.mapInArrow(run, COMPARED), "compared")
+        common.free_shuffles(self.spark)
+        return out
+
+    def blocks(self, kinds: DataFrame, meet: list[tuple[int, int]]) -> DataFrame:
+        """Links (a, b) between members of one hub whose kinds meet, as many as join what is linked; from COMPARED rows with a kind."""
+        num, den = self.num, self.den
+        step = math.log(den / num) * 1.0001 if num < den else 1.0
+        room = F.greatest(F.lit(4), F.least(F.lit(BLOCK_SETS), (F.lit(float(BLOCK_MASS)) / F.pow(F.lit(math.exp(step)), F.col("size"))).cast("int")))
+        sized = kinds.withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("int"))
+        parts = sized.groupBy("hub", "kind", "size").agg(F.count(F.lit(1)).alias("m")).select("hub", "kind", "size", F.ceil(F.col("m") / room).cast("int").alias("parts"))
+        parts = self.keep(parts, "parts")
+        unit = parts.select("hub", "kind", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        side = lambda s: unit.select("hub", F.struct("kind", "size", "part").alias(s))
+        wanted = " OR ".join(f"(u.kind = {a} AND v.kind = {b}" + (" AND (u.size < v.size OR u.size = v.size AND u.part <= v.part))" if a == b else ")") for a, b in meet)
+        tasks = side("u").join(side("v"), "hub").filter(f"({wanted}) AND abs(u.size - v.size) <= 1")
+        tasks = self.keep(tasks.withColumn("task", F.monotonically_increasing_id()), "tasks")
+        if tasks.isEmpty():
+            return self.sets.limit(0).select(F.col("x").alias("a"), F.col("x").alias("b"))
+        dealt = sized.join(parts, ["hub", "kind", "size"]).withColumn("unit", F.struct("kind", "size", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))).drop("kind", "size", "parts")
+        first = dealt.join(tasks.select("hub", F.col("u").alias("unit"), "task"), ["hub", "unit"]).withColumn("side", F.lit(0))
+        second = dealt.join(tasks.filter("u <> v").select("hub", F.col("v").alias("unit"), "task"), ["hub", "unit"]).withColumn("side", F.lit(1))
+        both = first.unionByName(second).select("task", "side", "x", "n", "n_hub", "gone", "new")
+
+        def derive(t: pa.Table) -> pa.Table:
+            a, b = block_links(t, num, den)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return self.keep(both.groupBy("task").applyInArrow(derive, "a long, b long"), "family-links")
+
+    def candidates(self, members: DataFrame, often: np.ndarray) -> DataFrame:
+        """(a, b, shared): pairs of families, by their hubs, that share a list and that nothing rules out."""
+        info = self.sets.select("x", "sid", "sid2", "doc_id", "n").join(members.select("x", "hub"), "x", "left").select("sid", "sid2", "doc_id", "n", F.coalesce("hub", "x").alias("cluster"))
+        entries = self.index(info, often)
+        pairs = self.list_pairs(entries)
+        common.free_shuffles(self.spark)
+        return pairs
 
     def index(self, info: DataFrame, often: np.ndarray) -> DataFrame:
-        """(token, cluster, least, most, place): entries of shingles that several clusters have."""
+        """(token, cluster, least, most, place): entries of shingles that several families have."""
         width, num, den = self.width, self.num, self.den
         shared = self.spark.sparkContext.broadcast((np.sort(often), np.argsort(often, kind="stable")))
 
@@ -212,7 +266,7 @@ class Join:
             names, places = shared.value
             for part in common.pieces(batches, "text"):
                 t, first = sets_of(part.column("text"), width)
-                ids = set_ids(t, first)
+                sid, sid2 = set_names(t, first)
                 rank = np.zeros(len(t), np.int64)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, t), len(names) - 1)
@@ -224,15 +278,15 @@ class Join:
                         p = p[np.argsort(r, kind="stable")]
                     blobs.append(p[: prefix_size(b - a, num, den)].tobytes() if b > a else b"")
                 keep = np.flatnonzero(np.diff(first) > 0)
-                batch = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids), pa.array(blobs, pa.binary())], ["doc_id", "sid", "prefix"])
+                batch = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sid), pa.array(sid2), pa.array(blobs, pa.binary())], ["doc_id", "sid", "sid2", "prefix"])
                 yield batch.take(pa.array(keep))
 
         total = info.agg(F.sum(F.floor(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
         buckets = max(1, -(-int(total) // INDEX_ROWS))
-        rows = self.docs.mapInArrow(prefixes, "doc_id long, sid long, prefix binary").join(info, ["sid", "doc_id"]).select("prefix", "cluster", "n")
+        rows = self.docs.mapInArrow(prefixes, "doc_id long, sid long, sid2 long, prefix binary").join(info, ["sid", "sid2", "doc_id"]).select("prefix", "cluster", "n")
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Entries by bucket of their shingle; a cluster's entries of one task are one."""
+            """Entries by bucket of their shingle; a family's entries of one task are one."""
             held, size = [], 0
 
             def flush() -> Iterator[pa.RecordBatch]:
@@ -261,7 +315,7 @@ class Join:
                 yield from flush()
 
         def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Entries of shingles that more than one cluster has. One bucket's blobs come together."""
+            """Entries of shingles that more than one family has. One bucket's blobs come together."""
             held: list[np.ndarray] = []
             for batch in batches:
                 held += [np.frombuffer(x.as_buffer(), ENTRY) for x in batch.column("entries")]
@@ -278,38 +332,26 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(common.signed(x["token"])), pa.array(np.ascontiguousarray(x["cluster"])), *(pa.array(x[c].astype(np.int64)) for c in ("least", "most", "place"))], ["token", "cluster", "least", "most", "place"])
 
         dealt = rows.mapInArrow(deal, "bucket long, entries binary").repartition(buckets, "bucket")
-        entries = self.keep(dealt.mapInArrow(shared_tokens, "token long, cluster long, least long, most long, place long"), "entries")
-        return entries
-
-    def hub_pairs(self, entries: DataFrame, turn: int) -> DataFrame:
-        """(a, b): every entry of a list with the list's hub, where components differ: as many as entries at most."""
-        weight = F.struct(F.col("members") if turn == 0 else F.lit(0), F.xxhash64("cluster", F.lit(turn)))
-        hub = entries.groupBy("token").agg(F.max_by(F.struct("cluster", "component", "least", "most"), weight).alias("hub"), F.count(F.lit(1)).alias("m")).filter(F.col("m") >= HUB_LIST)
-        both = entries.join(hub, "token").filter("component <> hub.component").filter(f"{self.den} * most >= {self.num} * hub.least AND {self.den} * hub.most >= {self.num} * least")
-        return both.select(F.least("cluster", "hub.cluster").alias("a"), F.greatest("cluster", "hub.cluster").alias("b")).distinct()
-
-    def pairs_left(self, entries: DataFrame) -> tuple[int, int]:
-        """Entries, and pairs of them in one long list whose components differ."""
-        own = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-        lists = own.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        r = lists.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= HUB_LIST, (F.col("n") * F.col("n") - F.col("same")) / 2)).alias("pairs")).first()
-        return int(r.n or 0), int(r.pairs or 0)
+        return self.keep(dealt.mapInArrow(shared_tokens, "token long, cluster long, least long, most long, place long"), "entries")
 
     def list_pairs(self, entries: DataFrame) -> DataFrame:
-        """(a, b): all pairs of clusters in different components that share a list and that nothing rules out."""
+        """(a, b): all pairs of families that share a list and that sizes and positions allow."""
         num, den = self.num, self.den
-        lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("blocks"))
-        entries = entries.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("blocks")).cast("int"))
-        entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", "component", "least", "most", "place")
+        lists = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+        long_lists = lists.filter("blocks > 1")
+        # short lists, nearly all, go as they are
+        split = entries.join(long_lists, "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("blocks")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cluster", "least", "most", "place")
+        zero = F.lit(0)
+        short = entries.join(long_lists, "token", "left_anti").select("token", zero.alias("i"), zero.alias("j"), zero.alias("own"), "cluster", "least", "most", "place")
 
         def skip_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest: pa.Table | None = None
-            names = ["token", "i", "j", "own", "cluster", "component", "least", "most", "place"]
             for batch in batches:
                 t = pa.Table.from_batches([batch])
                 if rest is not None:
                     t = pa.concat_tables([rest, t])
-                token, i, j = (t.column(c).to_numpy() for c in names[:3])
+                token, i, j = (t.column(c).to_numpy() for c in ("token", "i", "j"))
                 new = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
                 done = int(new[-1]) if len(new) else 0
                 rest = t.slice(done)
@@ -318,38 +360,47 @@ class Join:
             if rest is not None and rest.num_rows:
                 yield pair_up(rest, num, den)
 
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = entries.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "least", "most")
-        pairs = ordered.mapInArrow(skip_lists, "a long, b long").distinct()
-        return self.keep(pairs, "pairs")
-
-    def decide(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
-        """Links (a, b) that the candidate pairs of clusters hold."""
-        over = self.overlaps(pairs)
-        good = over.filter(self.linked("inter", "n_a", "n_b")).select("a", "b")
-        span = info.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.max("new").alias("new"), F.min("n").alias("least"), F.max("n").alias("most"))
-        open_ = over.filter(f"NOT ({self.linked('inter', 'n_a', 'n_b')})")
-        for side in "ab":
-            open_ = open_.join(span.select(F.col("cluster").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("m", "new", "least", "most")]), side)
-        bound = f"{self.num + self.den} * (inter + new_a + new_b) >= {self.num} * (least_a + least_b)"
-        open_ = self.keep(open_.filter("m_a > 1 OR m_b > 1").filter(bound).select("a", "b", "inter"), "open")
-        if open_.isEmpty():
-            return good
-        # |x & y| is at most the leaders' overlap and what x and y add to them
-        part = info.select(F.col("sid"), "cluster", "n", "new")
-        x = open_.join(part.select(F.col("sid").alias("x"), F.col("cluster").alias("a"), F.col("n").alias("n_x"), F.col("new").alias("new_x")), "a")
-        xy = x.join(part.select(F.col("sid").alias("y"), F.col("cluster").alias("b"), F.col("n").alias("n_y"), F.col("new").alias("new_y")), "b")
-        xy = xy.filter(f"{self.num + self.den} * (inter + new_x + new_y) >= {self.num} * (n_x + n_y)").filter(self.similar_sizes("n_x", "n_y")).filter("NOT (x = a AND y = b)")
-        inner = self.overlaps(self.keep(xy.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "members-left"))
-        return good.unionByName(inner.filter(self.linked("inter", "n_a", "n_b")).select("a", "b"))
-
-
-#: An index entry: shingle, cluster, its members' least and most sizes, least position.
+        ordered = split.unionByName(short).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "least", "most")
+        return self.keep(ordered.mapInArrow(skip_lists, "a long, b long").distinct(), "candidates")
+
+    def across(self, pairs: DataFrame, members: DataFrame, spans: DataFrame) -> list[DataFrame]:
+        """Links (a, b) between sets of different families, of candidate pairs of families."""
+        # the family in more pairs is the hub, so that fewer texts travel
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("degree"))
+        both = pairs.join(degree.select(F.col("x").alias("a"), F.col("degree").alias("d_a")), "a").join(degree.select(F.col("x").alias("b"), F.col("degree").alias("d_b")), "b")
+        over = self.compare(both.select(F.expr("if(d_a > d_b, b, a)").alias("x"), F.expr("if(d_a > d_b, a, b)").alias("hub")), False)
+        like = self.linked("inter", "n", "n_hub")
+        links = [over.filter(like).select(F.col("x").alias("a"), F.col("hub").alias("b"))]
+        wide = over.select("x", "hub", "n", "n_hub", "inter")
+        for c in ("x", "hub"):
+            span = spans.select(F.col("family").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("m", "least", "most", "new", "open")])
+            own = "n" if c == "x" else "n_hub"
+            wide = wide.join(span, c, "left").withColumns({f"m_{c}": F.coalesce(f"m_{c}", F.lit(1)), f"least_{c}": F.least(f"least_{c}", own), f"most_{c}": F.greatest(f"most_{c}", own), f"new_{c}": F.coalesce(f"new_{c}", F.lit(0)), f"open_{c}": F.coalesce(f"open_{c}", F.lit(False))})
+        possible = f"{self.linked('inter + new_x + new_hub', 'least_x', 'least_hub')} AND {self.den} * most_x >= {self.num} * least_hub AND {self.den} * most_hub >= {self.num} * least_x"
+        left = wide.filter("m_x > 1 OR m_hub > 1").filter(f"NOT ({like} AND NOT open_x AND NOT open_hub)").filter(possible)
+        big = F.expr("struct(if(m_x > m_hub, x, hub) AS hub, if(m_x > m_hub, hub, x) AS guest, if(m_x > m_hub, new_x, new_hub) AS new, if(m_x > m_hub, least_x, least_hub) AS least, inter)")
+        left = self.keep(left.select(big.alias("p")).select("p.*"), "left-open")
+        if left.isEmpty():
+            return links
+        # members of the smaller family that the bound leaves open visit the larger one's hub
+        family = members.select("x", F.col("hub").alias("guest"), "n", (F.col("n") - F.col("inter")).alias("own"))
+        alone = self.sets.select("x", F.col("x").alias("guest"), "n", F.lit(0).cast("long").alias("own"))
+        visits = left.join(family.unionByName(alone), "guest").filter(self.linked("inter + new + own", "least", "n"))
+        visits = self.keep(visits.groupBy("x", "hub").agg(F.max("new").alias("most_new"), F.min("least").alias("least")), "visits")
+        met = self.compare(visits, True)
+        links.append(met.filter(like).select(F.col("x").alias("a"), F.col("hub").alias("b")))
+        guests = met.join(visits, ["x", "hub"]).filter(self.linked("inter + most_new", "n", "least")).drop("most_new", "least").withColumn("kind", F.lit(0))
+        hosts = members.join(guests.select("hub").distinct(), "hub", "left_semi").withColumn("kind", F.lit(1))
+        links.append(self.blocks(guests.unionByName(hosts), [(0, 1)]))
+        return links
+
+
+#: An index entry: shingle, family, its members' least and most sizes, least position.
 ENTRY = np.dtype([("token", "<u8"), ("cluster", "<i8"), ("least", "<u4"), ("most", "<u4"), ("place", "<u4")])
 
 
 def merged(e: np.ndarray) -> np.ndarray:
-    """Sorted by shingle and cluster; entries of one shingle and cluster are one."""
+    """Sorted by shingle and family; entries of one shingle and family are one."""
     e = e[np.lexsort((e["cluster"], e["token"]))]
     if len(e) < 2:
         return e
@@ -365,32 +416,123 @@ def merged(e: np.ndarray) -> np.ndarray:
 def pair_up(t: pa.Table, num: int, den: int) -> pa.RecordBatch:
     """Candidate pairs of whole lists sorted by size.
 
-    The list is compared with itself shifted by 1, 2, ...; entries whose partner at
-    some distance is too large are done with, as every later one is larger: the rest
-    of their list is skipped.
+    Lists are cut into blocks of SKIP_BLOCK entries. A block is compared with those 0, 1,
+    2, ... further on; from where the sizes are too large the rest of its list is skipped,
+    and blocks whose positions leave too few shingles for a link are skipped one by one.
     """
-    token, i, j, own, cluster, component, least, most, place = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "own", "cluster", "component", "least", "most", "place"))
+    token, i, j, own, cluster, least, most, place = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "own", "cluster", "least", "most", "place"))
+    n = len(token)
+    room = 1 + most - place
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if n else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    within = np.arange(n) - starts[which] if n else which
+    block = np.flatnonzero(within % SKIP_BLOCK == 0)
+    size = np.diff(np.append(block, n))
     found: list[np.ndarray] = []
-    alive, step = np.arange(len(token) - 1), 1
+    if n:
+        low, high, space, line = np.minimum.reduceat(least, block), np.maximum.reduceat(most, block), np.maximum.reduceat(room, block), which[block]
+    alive, step = np.arange(len(block)), 0
+    cell = np.arange(SKIP_BLOCK)
     while len(alive):
         a, b = alive, alive + step
-        on = (token[a] == token[b]) & (i[a] == i[b]) & (j[a] == j[b]) & (den * most[a] >= num * least[b])
+        on = (line[a] == line[b]) & (den * high[a] >= num * low[b])
         a, b = a[on], b[on]
-        # blocks (i, j) with i < j hold pairs across the two only
-        meet = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
-        room = 1 + np.minimum(most[a] - place[a], most[b] - place[b])
-        meet &= (num + den) * room >= num * (least[a] + least[b])
-        if meet.any():
-            x, y = cluster[a[meet]], cluster[b[meet]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        open_ = (num + den) * np.minimum(space[a], space[b]) >= num * (low[a] + low[b])
+        p, q = a[open_], b[open_]
+        for at in range(0, len(p), 2048):
+            p1, q1 = p[at : at + 2048], q[at : at + 2048]
+            x = np.broadcast_to((block[p1][:, None] + cell)[:, :, None], (len(p1), SKIP_BLOCK, SKIP_BLOCK))
+            y = np.broadcast_to((block[q1][:, None] + cell)[:, None, :], x.shape)
+            ok = (cell < size[p1][:, None])[:, :, None] & (cell < size[q1][:, None])[:, None, :]
+            x, y = x[ok], y[ok]
+            # blocks (i, j) with i < j hold pairs across the two only
+            meet = (x < y) & ((i[x] == j[x]) | (own[x] != own[y])) & (den * most[x] >= num * least[y]) & (den * most[y] >= num * least[x])
+            meet &= (num + den) * np.minimum(room[x], room[y]) >= num * (least[x] + least[y])
+            x, y = cluster[x[meet]], cluster[y[meet]]
+            if len(x):
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
         step += 1
-        alive = a[a + step < len(token)]
-        if sum(map(len, found[1:])) > 2_000_000:
+        alive = a[a + step < len(block)]
+        if len(found) > 1 and sum(map(len, found)) > 1_000_000:
             found = [np.unique(np.concatenate(found), axis=0)]
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
 
+def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """|x & y| for all x of a and y of b, lists of sets."""
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, code = np.unique(flat, return_inverse=True)
+    left = owner < len(a)
+    width = int(code.max()) + 1 if len(code) else 0
+    useful = (np.bincount(code[left], minlength=width) > 0) & (np.bincount(code[~left], minlength=width) > 0)
+    number = np.cumsum(useful) - 1
+    held = useful[code] if width else np.zeros(0, bool)
+    code, owner, left = number[code[held]], owner[held], left[held]
+    order = np.argsort(code, kind="stable")
+    code, owner, left = code[order], owner[order], left[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    total = int(useful.sum())
+    for low in range(0, total, 2048):
+        s = slice(*np.searchsorted(code, [low, low + 2048]))
+        c, o, w = code[s] - low, owner[s], left[s]
+        x, y = np.zeros((len(a), min(2048, total - low)), np.float32), np.zeros((len(b), min(2048, total - low)), np.float32)
+        x[o[w], c[w]] = 1
+        y[o[~w] - len(a), c[~w]] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def block_links(t: pa.Table, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Links (a, b), a spanning forest of them, between the two sides of a pair of blocks of one hub, or within the only one."""
+    side = t.column("side").to_numpy()
+    ids, n, n_hub = (t.column(c).to_numpy() for c in ("x", "n", "n_hub"))
+    gone = [np.frombuffer(x.as_buffer(), "<u4") for x in t.column("gone")]
+    new = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("new")]
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1)
+    alone = not len(b)
+    if alone:
+        b = a
+    if not len(a):
+        return [], []
+    pick = lambda lists, rows: [lists[k] for k in rows]
+    inter = in_common(pick(gone, a), pick(gone, b)) + in_common(pick(new, a), pick(new, b))
+    lost = np.fromiter(map(len, gone), np.int64, len(gone))
+    inter += n_hub[a][:, None] - lost[a][:, None] - lost[b][None, :]
+    linked = (num + den) * inter >= num * (n[a][:, None] + n[b][None, :])
+    linked &= ids[a][:, None] != ids[b][None, :]
+    # breadth first: every member reached gives one link
+    out_a, out_b = [], []
+    fresh_a, fresh_b = np.ones(len(a), bool), np.ones(len(b), bool)
+    for root in np.flatnonzero(linked.any(1)):
+        if not fresh_a[root]:
+            continue
+        fresh_a[root] = False
+        if alone:
+            fresh_b[root] = False
+        todo = [(0, int(root))]
+        while todo:
+            which, k = todo.pop()
+            if alone or which == 0:
+                hit = np.flatnonzero(linked[k] & fresh_b)
+                fresh_b[hit] = False
+                out_a += [int(ids[a[k]])] * len(hit)
+                out_b += ids[b[hit]].tolist()
+                todo += [(0 if alone else 1, int(h)) for h in hit]
+                if alone:
+                    fresh_a[hit] = False
+            else:
+                hit = np.flatnonzero(linked[:, k] & fresh_a)
+                fresh_a[hit] = False
+                out_a += [int(ids[b[k]])] * len(hit)
+                out_b += ids[a[hit]].tolist()
+                todo += [(0, int(h)) for h in hit]
+    return out_a, out_b
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

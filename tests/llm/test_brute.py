@@ -46,11 +46,27 @@ def variants(seed, n=90):
     return out
 
 
-@pytest.mark.parametrize(("block", "hub_list", "hub_factor"), [(3, 2, 0), (2000, 32, 8)])
-def test_jaccard_links(spark, monkeypatch, block, hub_list, hub_factor):
-    for name, value in (("LIST_BLOCK", block), ("HUB_LIST", hub_list), ("HUB_FACTOR", hub_factor)):
+def family(seed, n=120):
+    """One text with so many edits each that copies link with some others and not with one centre."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(1 + i % 4):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(6)}"
+        out.append(" ".join(t[rng.randrange(3) :]))
+    return out
+
+
+SMALL = {"LIST_BLOCK": 3, "HUB_SETS": 2, "BLOCK_MASS": 300, "BLOCK_SETS": 3, "SKIP_BLOCK": 2, "SENT_IDS": 0}
+
+
+@pytest.mark.parametrize(("seed", "small", "make"), [(3, True, variants), (2000, False, variants), (5, True, family), (6, False, family)])
+def test_jaccard_links(spark, monkeypatch, seed, small, make):
+    for name, value in SMALL.items() if small else ():
         monkeypatch.setattr(ngram_join, name, value)
-    texts = variants(block)
+    texts = make(seed)
     sets = [shingles(t) for t in texts]
     up = list(range(len(texts)))
 
@@ -71,6 +87,15 @@ def test_jaccard_links(spark, monkeypatch, block, hub_list, hub_factor):
     assert len({root(i) for i in up}) < len(up)
 
 
+def test_words_of_two_letters_in_even_order(spark):
+    """A word and its complement that polynomials modulo 2**64 take for equal."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = common.cut(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), "texts")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == {1: 1, 2: 2}
+
+
 @pytest.mark.parametrize(("hot", "alphabet"), [(20_000, "ab"), (2, "ab"), (20_000, "abcdefghij")])
 def test_repeats(spark, hot, alphabet):
     rng = random.Random(hot)
