@@ -1,16 +1,19 @@
 """Exact top-k inner products by norm buckets.
 
 Candidates are dealt by length into buckets, longest first. A query carries a
-proven lower bound of its k-th score, taken from the longest vectors. In a bucket
-that bound becomes a local cosine threshold: above 1 the bucket is skipped; where
-it is low, only vectors long enough are tried; where it is high, only those whose
-value at the query's largest coordinate lies in the feasible range. What remains is
-verified by exact integer products.
+proven lower bound of its k-th score, taken from the longest vectors, and so the least
+length that a candidate of use must have. Queries are dealt into blocks by that length;
+only the lengths of buckets and blocks meet first, and vectors travel for pairs
+that can hold a result. In a bucket the bound becomes a local cosine threshold: above 1
+the query is skipped; where it is low, only vectors long enough are tried; where it is
+high, only those whose value at the query's largest coordinate lies in the feasible
+range. What remains is verified by exact integer products.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
-rows with null ids, take no part; of rows that repeat an id the greatest vector
-counts, once; vectors of different dimension never meet; an empty table gives no
-rows. Scores beyond a long are clipped to it.
+rows with null ids, take no part; rows that repeat an id are queries and candidates of
+their own, a row never being its own candidate; equal scores go by id; vectors of
+different dimension never meet; an empty table gives no rows; other columns are not
+read. Scores beyond a long are clipped to it.
 """
 
 from __future__ import annotations
@@ -30,36 +33,24 @@ QUERY_ROWS = 1024
 SEED_ROWS = 4096
 #: At local cosine thresholds above it, coordinate pruning is chosen.
 COORDINATE_FROM = 0.5
-SPREAD = 8
-BLOCK = "block long, dim long, n long, longest double, ids binary, cells binary, kind string"
+BLOCK = "block long, dim long, n long, longest double, rows binary, ids binary, cells binary, kind string, low binary, need double"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<double> of whole numbers, dim, len), one row per id."""
+    """(row, vec_id, v array<double> of whole numbers, dim, len); row tells rows apart once the result is stored."""
     fine = f"{vector_col} IS NOT NULL AND {id_col} IS NOT NULL AND forall({vector_col}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))"
-    base = vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.expr(f"transform({vector_col}, x -> cast(floor({scale} * cast(x AS double)) AS double))").alias("v"))
-    base = base.groupBy("vec_id").agg(F.max("v").alias("v"))
+    base = vectors.filter(fine).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.expr(f"transform({vector_col}, x -> cast(floor({scale} * cast(x AS double)) AS double))").alias("v"))
     return base.select("*", F.size("v").cast("long").alias("dim"), F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))").alias("len"))
 
 
-def packed(ids: np.ndarray, m: np.ndarray, block: int) -> dict:
-    top = np.abs(m).max(initial=0)
-    kind = next((k for k, most in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if top <= most), "<f8")
-    return {"block": block, "dim": m.shape[1], "n": len(ids), "longest": float(np.sqrt((m * m).sum(1)).max(initial=0)), "ids": ids.astype("<i8").tobytes(), "cells": m.astype(kind).tobytes(), "kind": kind}
-
-
-def unpacked(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[prefix + "ids"], "<i8")
-    return ids, np.frombuffer(row[prefix + "cells"], row[prefix + "kind"]).reshape(len(ids), row[prefix + "dim"]).astype(np.float64)
-
-
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
     lists = batch.column("v")
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in blocks of one dimension, in the order they come."""
+    """Rows (row, vec_id, v, dim, low) in blocks of one dimension, in the order they come; need is the least length that
+    a candidate of any of the block's rows must have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -71,10 +62,25 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 for at in range(a, b, size):
                     part = batch.slice(at, min(size, b - at))
-                    yield pa.RecordBatch.from_pylist([packed(part.column("vec_id").to_numpy(), matrix(part), made)])
+                    m, low = matrix(part), part.column("low").to_numpy()
+                    top = np.abs(m).max(initial=0)
+                    kind = next((k for k, most in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if top <= most), "<f8")
+                    lengths = np.sqrt((m * m).sum(1))
+                    ids, own = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
+                    yield pa.RecordBatch.from_pylist([{"block": made, "dim": m.shape[1], "n": len(ids), "longest": float(lengths.max(initial=0)), "rows": own.astype("<i8").tobytes(), "ids": ids.astype("<i8").tobytes(), "cells": m.astype(kind).tobytes(), "kind": kind, "low": low.astype("<f8").tobytes(), "need": float(needed(low, lengths).min(initial=np.inf))}])
                     made += 1
 
-    return rows.select("vec_id", "v", "dim").mapInArrow(run, BLOCK)
+    return rows.select("row", "vec_id", "v", "dim", "low").mapInArrow(run, BLOCK)
+
+
+def needed(low: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The least length of a candidate whose product with a vector of that length can reach low."""
+    return np.where(low > 0, low / np.maximum(lengths, 1e-300) * (1 - 1e-9), 0.0)
+
+
+def unpacked(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row[prefix + "ids"], "<i8")
+    return np.frombuffer(row[prefix + "rows"], "<i8"), ids, np.frombuffer(row[prefix + "cells"], row[prefix + "kind"]).reshape(len(ids), row[prefix + "dim"]).astype(np.float64)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -95,7 +101,7 @@ def best(query: np.ndarray, cand: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def probe(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, c: np.ndarray, c_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probe(q: np.ndarray, q_rows: np.ndarray, low: np.ndarray, c: np.ndarray, c_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, candidate place, score) of what can reach the queries' bounds in one bucket."""
     q_len, c_len = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     order = np.argsort(-c_len, kind="stable")
@@ -106,8 +112,7 @@ def probe(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, c: np.ndarray, c_id
     by_coordinate = np.flatnonzero((local > COORDINATE_FROM) & (local <= 1 + 1e-9))
     out = [[], [], []]
     if by_length.size:
-        need = np.where(low[by_length] > 0, low[by_length] / np.maximum(q_len[by_length], 1e-300) * (1 - 1e-9), 0)
-        enough = np.searchsorted(-c_len, -need, side="right")
+        enough = np.searchsorted(-c_len, -needed(low[by_length], q_len[by_length]), side="right")
         s = products(q[by_length], c[: enough.max()])
         a, b = np.nonzero((s >= low[by_length][:, None]) & (np.arange(s.shape[1]) < enough[:, None]))
         for got, x in zip(out, (by_length[a], b, s[a, b]), strict=True):
@@ -133,55 +138,72 @@ def probe(q: np.ndarray, q_ids: np.ndarray, low: np.ndarray, c: np.ndarray, c_id
                     into.append(x)
     a, b, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
     b = order[b] if len(b) else b.astype(np.int64)
-    other = q_ids[a] != c_ids[b] if len(a) else np.zeros(0, bool)
+    other = q_rows[a] != c_rows[b] if len(a) else np.zeros(0, bool)
     return a[other], b[other], s[other]
 
 
 def search(vectors: DataFrame, is_query: str, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows that meet `is_query`, over vec_id, the k best of all other rows."""
     spark = vectors.sparkSession
-    base = common.cut(quantised(vectors, id_col, vector_col, scale), "vectors")
-    queries = base.filter(is_query)
-    n_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = common.store(df, name)
+        folders.append(path)
+        return out
+
+    base = keep(quantised(vectors, id_col, vector_col, scale), "vectors")
     # at most SEED_ROWS long vectors, so the bound is proved whatever the table's size
-    seeds = base.orderBy(F.desc("len"), "vec_id").limit(SEED_ROWS).select("vec_id", "v", "dim").collect()
+    seeds = base.orderBy(F.desc("len"), "row").limit(SEED_ROWS).select("row", "v", "dim").collect()
     seed_rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r.dim for r in seeds}:
         own = [r for r in seeds if r.dim == dim]
-        seed_rows[dim] = np.array([r.vec_id for r in own]), np.array([r.v for r in own], np.float64).reshape(len(own), dim)
+        seed_rows[dim] = np.array([r.row for r in own]), np.array([r.v for r in own], np.float64).reshape(len(own), dim)
     shared = spark.sparkContext.broadcast(seed_rows)
 
-    def prepare(group: pa.Table) -> pa.Table:
-        ids, dim = group.column("vec_id").to_numpy(), group.column("dim")[0].as_py()
-        q = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        low = np.full(len(ids), -np.inf)
-        if dim in shared.value:
-            c_ids, c = shared.value[dim]
-            s = products(q, c).astype(np.float64)
-            s[ids[:, None] == c_ids[None, :]] = -np.inf
-            if s.shape[1] > k:
-                low = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        row = packed(ids, q, 0) | {"part": group.column("part")[0].as_py(), "low": low.astype("<f8").tobytes(), "least": float(low.min())}
-        return pa.Table.from_pylist([row])
-
-    query_blocks = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long")).groupBy("part", "dim").applyInArrow(prepare, BLOCK + ", part long, low binary, least double")
-    query_blocks = query_blocks.select("part", "dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("kind").alias("q_kind"), F.col("dim").alias("q_dim"), "low", "least", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-    buckets = blocks(base.repartitionByRange("dim", F.desc("len"), "vec_id").sortWithinPartitions("dim", F.desc("len")), BUCKET_ROWS)
-    buckets = buckets.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SPREAD)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = buckets.join(query_blocks, ["part", "salt", "dim"]).filter("q_longest * longest * (1 + 1e-9) >= least")
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, own = batch.column("dim").to_numpy(), batch.column("row").to_numpy()
+            low = np.full(len(dims), -np.inf)
+            for dim in np.unique(dims):
+                if dim not in shared.value:
+                    continue
+                c_rows, c = shared.value[dim]
+                for places in np.array_split(of := np.flatnonzero(dims == dim), max(1, -(-len(of) // QUERY_ROWS))):
+                    s = products(matrix(batch.take(pa.array(places))), c).astype(np.float64)
+                    s[own[places][:, None] == c_rows[None, :]] = -np.inf
+                    if s.shape[1] > k:
+                        low[places] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            need = needed(low, batch.column("len").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(need)], [*batch.schema.names, "low", "need"])
+
+    queries = base.filter(is_query).mapInArrow(bound, "row long, vec_id long, v array<double>, dim long, len double, low double, need double")
+    query_blocks = keep(blocks(queries.repartitionByRange("dim", "need", "row").sortWithinPartitions("dim", "need"), QUERY_ROWS), "query-blocks")
+    ordered = base.withColumn("low", F.lit(0.0)).repartitionByRange("dim", F.desc("len"), "row").sortWithinPartitions("dim", F.desc("len"))
+    buckets = keep(blocks(ordered, BUCKET_ROWS), "buckets")
+    # lengths alone decide which bucket meets which block of queries
+    meet = buckets.select("block", "dim", "longest").join(query_blocks.select(F.col("block").alias("q_block"), "dim", "need"), "dim").filter("longest >= need").select("block", "q_block")
+    names = ("dim", "rows", "ids", "cells", "kind", "low")
+    pairs = keep(meet, "meetings").repartition("block", "q_block").join(buckets.select("block", *names[:-1]), "block")
+    pairs = pairs.join(query_blocks.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in names]), "q_block")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                (q_ids, q), (c_ids, c) = unpacked(row, "q_"), unpacked(row)
-                a, b, s = probe(q, q_ids, np.frombuffer(row["low"], "<f8"), c, c_ids)
-                keep = best(a, c_ids[b], s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[a[keep]], c_ids[b[keep]], s[keep])], ["query_id", "vec_id", "score"])
+                (q_rows, q_ids, q), (c_rows, c_ids, c) = unpacked(row, "q_"), unpacked(row)
+                a, b, s = probe(q, q_rows, np.frombuffer(row["q_low"], "<f8"), c, c_rows)
+                best_ones = best(a, c_ids[b], s, k)
+                a, b = a[best_ones], b[best_ones]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_rows[a], q_ids[a], c_ids[b], s[best_ones])], ["query", "query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(verify, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInArrow(verify, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = common.cut(out, "nearest")
+    for path in folders:
+        common.delete_folder(spark, path)
+    return out
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +211,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+s AS (SELECT a.nr, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.nr <> b.nr),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 20
 """

@@ -84,7 +84,10 @@ def test_topk(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [-9.0, 0.5]), (None, [9.0, 9.0]), (20, [0.0, 0.0]), (7, [1.0, 2.0, 3.0]), (40, []), (1, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS len", "2 AS dim")
     got = {q: [(r.vec_id, r.score) for r in sorted(topk.search(df, "vec_id % 20 = 0", 2).collect(), key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20, 40)}
-    assert got == {0: [(1, 64 * 64 * 5), (2, 64 * 64 * 5)], 20: [(0, 0), (1, 0)], 40: []}
+    assert got == {0: [(1, 64 * 64 * 5), (1, 64 * 64 * 5)], 20: [(0, 0), (1, 0)], 40: []}
+    twice = spark.createDataFrame([(0, [1.0]), (1, [5.0]), (1, [3.0]), (2, [4.0]), (0, [2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score // 4096) for r in topk.search(twice, "vec_id % 20 = 0", 9).collect())
+    assert got == sorted([(0, 1, 1, 5), (0, 2, 2, 4), (0, 3, 1, 3), (0, 4, 0, 2), (0, 1, 1, 10), (0, 2, 2, 8), (0, 3, 1, 6), (0, 4, 0, 2)])
     assert topk.search(df.limit(0), "vec_id % 20 = 0", 2).count() == 0
 
 
