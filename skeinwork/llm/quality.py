@@ -12,15 +12,19 @@ as noise is unlikely text and repetition is too likely or too uneven. Cells with
 trusted documents take the quantiles of their language, and those of all languages
 where that has few too.
 
-The finished tables are cut into shards by the character before the predicted one,
-each of bounded size; scoring sends one shard at a time to the tasks, so documents
-are not shuffled where one shard is enough (any usual alphabet), and partial sums are
-joined by row where it is not.
+The finished tables are cut into shards by a hash of the two characters before the
+predicted one (tables of two characters are in every shard); scoring sends one shard
+at a time to the tasks, so documents are not shuffled where one shard is enough (any
+usual alphabet), and partial sums are joined by row where it is not.
+
+Characters have 16 bits: those beyond the basic plane share, by a hash, the 2,048
+values of surrogates, which no text has, and U+0000 stands as U+FFFF.
 
 Defined cases: null and empty texts have no perplexity and are rejected; null
 languages are a language of their own; without trusted documents nothing is
-rejected; repeated rows are scored each on its own; other columns pass through,
-except ones named as this operator's results, which give way.
+rejected; repeated rows are scored each on its own; texts of any length are scored
+whole; other columns pass through, except ones named as this operator's results, which
+give way.
 """
 
 from __future__ import annotations
@@ -47,12 +51,16 @@ MADE = ["n_scored", "perplexity", "low", "high", "kept"]
 
 
 def points_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts and where each text starts; those beyond 16 bits are one."""
+    """Characters of all texts as 16-bit values, 1 at least, and where each text starts."""
     raw, off = common.utf8(column)
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     lead = np.zeros(len(raw) + 1, np.int64)
     np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-    return np.clip(points, 1, 0xFFFF).astype(np.int64), lead[off]
+    points = points.astype(np.int64)
+    if len(points) and points.max() > 0xFFFF:
+        points = np.where(points > 0xFFFF, 0xD800 + (points * 40503 >> 5) % 2048, points)
+    points[points == 0] = 0xFFFF
+    return points, lead[off]
 
 
 def grams(points: np.ndarray, first: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -97,10 +105,17 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 def train(docs: DataFrame) -> tuple[DataFrame, float, int]:
     """(kind, gram, value) with interpolated probabilities 'p2'.. and back-off weights 'g2'.. by order, 'p1' of
     single characters; the probability of an unseen character; the number of rows."""
-    tables = {ORDER: common.cut(count_grams(docs), "counts")}
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = common.store(df, name)
+        folders.append(path)
+        return out
+
+    tables = {ORDER: keep(count_grams(docs), "counts")}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << 16 * k) - 1
-        tables[k] = common.cut(tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "counts")
+        tables[k] = keep(tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "counts")
     parts, below, unseen = [], None, 1.0
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(tables[k])
@@ -118,7 +133,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, float, int]:
             joined = rows.join(context.drop("types"), "context").withColumn("suffix", suffix).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
             below = joined.select("gram", ((F.col("c") - cut) / F.col("total") + F.col("left") * F.col("lower")).alias("p"))
             parts.append(context.select(F.lit(f"g{k}").alias("kind"), F.col("context").alias("gram"), F.col("left").alias("value")))
-        below = common.cut(below, "probabilities")
+        below = keep(below, "probabilities")
         parts.append(below.select(F.lit(f"p{k}").alias("kind"), "gram", F.col("p").alias("value")))
     if not parts:
         return docs.sparkSession.createDataFrame([], "kind string, gram long, value double"), 1.0, 0
@@ -126,6 +141,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, float, int]:
     for p in parts[1:]:
         model = model.unionByName(p)
     model = common.cut(model, "model")
+    for path in folders:
+        common.delete_folder(docs.sparkSession, path)
     return model, unseen, model.count()
 
 
@@ -158,28 +175,29 @@ class Tables:
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the character before the last."""
-    return ((keys >> np.uint64(16)) & np.uint64(0xFFFF)) % np.uint64(shards)
+    """By the two characters before the last."""
+    return ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(40503) % np.uint64(shards)
 
 
-def add_scores(docs: DataFrame, tables: Tables, shard: int, shards: int, text_col: str) -> DataFrame:
-    """docs with n_scored, all characters, and __kn_total, the log probabilities of the shard's."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    names = docs.columns
+def scorer(spark: SparkSession, tables: Tables, shard: int, shards: int):
+    """A column function: all characters of a text (n), and the log probabilities of the shard's (total)."""
+    shared = spark.sparkContext.broadcast(tables)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for part in common.pieces(batches, text_col, SLAB):
-            points, first = points_of(part.column(text_col))
-            keys, place = np.unique(grams(points, first), return_inverse=True)
-            logs = np.zeros(len(keys))
-            mine = shard_of(keys, shards) == shard
-            logs[mine] = model.log_probability(keys[mine])
-            sums = np.concatenate([[0.0], np.cumsum(logs[place])])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], [*names, "n_scored", "__kn_total"])
+        for column in batches:
+            batch, n, total = pa.RecordBatch.from_arrays([column], ["text"]), [np.zeros(0, np.int64)], [np.zeros(0)]
+            for part in common.pieces(iter([batch]), "text", SLAB):
+                points, first = points_of(part.column("text"))
+                keys, place = np.unique(grams(points, first), return_inverse=True)
+                logs = np.zeros(len(keys))
+                mine = shard_of(keys, shards) == shard
+                logs[mine] = model.log_probability(keys[mine])
+                sums = np.concatenate([[0.0], np.cumsum(logs[place])])
+                n.append(np.diff(first)), total.append(sums[first[1:]] - sums[first[:-1]])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], ["n", "total"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, n_scored long, __kn_total double")
+    return F.arrow_udf(run, "n long, total double")
 
 
 class Model:
@@ -190,24 +208,24 @@ class Model:
     def tables(self, shard: int) -> Tables:
         rows = self.rows
         if self.shards > 1:
-            before = F.when(F.col("kind").startswith("g"), F.col("gram")).otherwise(F.shiftrightunsigned("gram", 16)).bitwiseAND(F.lit(0xFFFF))
-            rows = rows.filter((F.col("kind") == "p1") | (before % self.shards == shard))
+            before = F.when(F.col("kind").startswith("g"), F.col("gram")).otherwise(F.shiftrightunsigned("gram", 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+            rows = rows.filter(F.col("kind").isin("p1", "p2", "g2") | (before * 40503 % self.shards == shard))
         return Tables(rows.toArrow(), self.unseen)
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with n_scored and perplexity."""
-        base = docs.drop(*MADE)
+        base, spark = docs.drop(*MADE), docs.sparkSession
         if self.shards == 1:
-            out = add_scores(base, self.tables(0), 0, 1, text_col)
+            out = base.withColumn("__kn", scorer(spark, self.tables(0), 0, 1)(F.col(text_col)))
         else:
             numbered = base.withColumn("__kn_row", F.monotonically_increasing_id())
             sums = None
             for s in range(self.shards):
-                one = common.cut(add_scores(numbered.select("__kn_row", text_col), self.tables(s), s, self.shards, text_col).select("__kn_row", "n_scored", "__kn_total"), "partial")
+                one = common.cut(numbered.select("__kn_row", scorer(spark, self.tables(s), s, self.shards)(F.col(text_col)).alias("one")).select("__kn_row", "one.*"), "partial")
                 sums = one if sums is None else sums.unionByName(one)
-            sums = sums.groupBy("__kn_row").agg(F.first("n_scored").alias("n_scored"), F.sum("__kn_total").alias("__kn_total"))
+            sums = sums.groupBy("__kn_row").agg(F.struct(F.first("n").alias("n"), F.sum("total").alias("total")).alias("__kn"))
             out = numbered.join(sums, "__kn_row").drop("__kn_row")
-        return out.withColumn("perplexity", F.expr("CASE WHEN n_scored > 0 THEN exp(-__kn_total / n_scored) END")).drop("__kn_total")
+        return out.withColumn("n_scored", F.col("__kn.n")).withColumn("perplexity", F.expr("CASE WHEN __kn.n > 0 THEN exp(-__kn.total / __kn.n) END")).drop("__kn")
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -242,7 +260,7 @@ def judge(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame
     lang = F.coalesce(F.col("lang"), F.lit(""))
     if not model.n:
         return scored.select("*", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("kept"))
-    cells = fences(model.score(trusted.select("lang", "text")), fence)
+    cells = fences(common.cut(model.score(trusted.select("lang", "text")).drop("text"), "trusted-scores"), fence)
     # a row for each language and band of trusted text: languages are few by nature, Spark decides how to join more
     levels = [(lg, b, *rest) for (lg, b), rest in cells.items()]
     frame = spark.createDataFrame(levels, "l string, b int, n long, q1 double, q3 double, reach double, mid double")

@@ -184,6 +184,49 @@ def test_kneser_ney_sums_to_one(spark):
     assert {r.doc_id: r.perplexity for r in model.score(df).collect()} == pytest.approx(one)
 
 
+def plain_perplexity(trusted, text, order=4):
+    """Interpolated modified Kneser-Ney over characters, straight from its definition."""
+    padded = lambda t: ["\0"] * (order - 1) + list(t)
+    counts = {order: collections.Counter(tuple(p[i - order + 1 : i + 1]) for t in trusted for p in [padded(t)] for i in range(order - 1, len(p)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def cut(k, c):
+        n = collections.Counter(counts[k].values())
+        if not (n[1] and n[2] and n[3]):
+            return (0.5, 1.0, 1.5)[min(c, 3) - 1]
+        y = n[1] / (n[1] + 2 * n[2])
+        return min(min(c, 3), max(0.0, min(c, 3) - (min(c, 3) + 1) * y * n[min(c, 3) + 1] / n[min(c, 3)]))
+
+    def p(gram):
+        k = len(gram)
+        own = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if k == 1:
+            share = sum(cut(1, c) for c in own.values()) / total / (len(own) + 1)
+            return (own[gram] - cut(1, own[gram])) / total + share if gram in own else share
+        if not total:
+            return p(gram[1:])
+        left = sum(cut(k, c) for c in own.values()) / total
+        return (own[gram] - cut(k, own[gram]) if gram in own else 0) / total + left * p(gram[1:])
+
+    own = padded(text)
+    logs = [np.log(p(tuple(own[i - order + 1 : i + 1]))) for i in range(order - 1, len(own))]
+    return float(np.exp(-np.mean(logs)))
+
+
+def test_perplexity_by_definition(spark):
+    rng = random.Random(3)
+    trusted = ["".join(rng.choice("aabbcde fé") for _ in range(rng.randint(3, 60))) for _ in range(25)] + ["ab\U0001f600cd"]
+    others = ["abc", "zzz", "a", "fédé" * 9, "\U0001f600\U0001f680ab"]
+    make = lambda texts: spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = quality.Model(make(trusted))
+    want = {i: plain_perplexity(trusted, t) for i, t in enumerate(others)}
+    assert {r.doc_id: r.perplexity for r in model.score(make(others)).collect()} == pytest.approx(want)
+    model.shards = 5
+    assert {r.doc_id: r.perplexity for r in model.score(make(others)).collect()} == pytest.approx(want)
+
+
 def test_overlaps_with_substitutions(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
