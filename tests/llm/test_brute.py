@@ -96,12 +96,13 @@ def test_words_of_two_letters_in_even_order(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == {1: 1, 2: 2}
 
 
-@pytest.mark.parametrize(("hot", "alphabet"), [(20_000, "ab"), (2, "ab"), (20_000, "abcdefghij")])
-def test_repeats(spark, hot, alphabet):
+@pytest.mark.parametrize(("hot", "alphabet", "width"), [(2000, "ab", 40), (2, "ab", 40), (2000, "abcdefghij", 40), (3, "abcdefghij", 90), (1, "ab", 90)])
+def test_repeats(spark, hot, alphabet, width, monkeypatch):
+    monkeypatch.setattr(suffix, "SLAB", 130)
     rng = random.Random(hot)
     parts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(5, 90))) for _ in range(12)]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) + "é" * rng.randint(0, 2) for _ in range(60)] + ["ab" * 70, "aé" * 50]
-    width = 40
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) + "é" * rng.randint(0, 2) for _ in range(60)] + ["ab" * 70, "aé" * 50, "".join(parts * 3)]
+    texts += texts[3:5]
     raw = [t.encode() for t in texts]
     seen = collections.Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
     df = common.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "texts")

@@ -27,6 +27,11 @@ def test_suffix(rough, nothing):
     assert suffix.dedup(nothing).count() == 0
 
 
+def test_periodic_texts(spark):
+    df = common.cut(spark.createDataFrame([(1, "a" * 400_000), (2, "ab" * 100_000), (3, "a" * 399)], "doc_id long, text string"), "texts")
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.dedup(df, digest_only=True).collect()} == {(1, 400_000, 400_000, 1), (2, 200_000, 200_000, 1), (3, 399, 0, 0)}
+
+
 def test_quality(rough, nothing, labels):
     rows = quality.judge(rough, labels).collect()
     assert len(rows) == 12
