@@ -8,6 +8,8 @@ such a hash; it serves to choose places in texts and never decides that texts ar
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -23,9 +25,12 @@ from ..storage import shared_root
 #: Bytes of text that a task holds in numpy form at once; one longer text is taken alone.
 SLAB_BYTES = 1 << 20
 ROW_BATCH = 2000
+#: Bytes and rows of an Arrow batch on its way to Python and back, at most.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,9 +44,26 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python in batches that a task can hold several of."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives memory that this Python process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Computes df once, into Parquet in the shared folder; lineage ends there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -71,6 +93,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLAB_BYT
             to = min(to, at + ROW_BATCH)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +159,13 @@ def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
     size = (end - start).astype(np.int64)
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
+    if total > 2 * SLAB_BYTES and len(ends) > 1:
+        groups = np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // SLAB_BYTES)) + 1)
+        return np.concatenate([bytes_hash(raw, start[g], end[g], lane) for g in groups]) if len(groups) > 1 else _bytes_hash(raw, start, size, ends, total, lane)
+    return _bytes_hash(raw, start, size, ends, total, lane)
+
+
+def _bytes_hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray, ends: np.ndarray, total: int, lane: int) -> np.ndarray:
     place = np.arange(total, dtype=np.int64) - np.repeat(ends - size, size)
     cell = np.repeat(start.astype(np.int64), size)
     cell += place

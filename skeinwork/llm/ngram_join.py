@@ -47,8 +47,8 @@ FREQUENT = 200_000
 LIST_BLOCK = 2_000
 #: Entries of a list that are skipped or compared together.
 SKIP_BLOCK = 16
-#: Index entries, 28 bytes each, that a task holds at once.
-INDEX_ROWS = 400_000
+#: Index entries, 28 bytes each, of a bucket, and of a task that deals them out.
+INDEX_ROWS, DEAL_ROWS = 200_000, 300_000
 #: Ids of documents to look at again that are sent to tasks; more are joined.
 SENT_IDS = 200_000
 #: Sets that one copy of a hub is compared with.
@@ -308,28 +308,32 @@ class Join:
                 e["place"] = np.arange(len(e)) - np.repeat(np.cumsum(m) - m, m)
                 held.append(e)
                 size += len(e)
-                if size > INDEX_ROWS:
+                if size > DEAL_ROWS:
                     yield from flush()
                     held, size = [], 0
             if size:
                 yield from flush()
+            held.clear()
+            common.release()
 
         def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Entries of shingles that more than one family has. One bucket's blobs come together."""
             held: list[np.ndarray] = []
             for batch in batches:
                 held += [np.frombuffer(x.as_buffer(), ENTRY) for x in batch.column("entries")]
-                if len(held) > 1 and sum(map(len, held)) > 3 * INDEX_ROWS:
+                if len(held) > 1 and sum(map(len, held)) > 2 * INDEX_ROWS:
                     held = [merged(np.concatenate(held))]
             if not held:
                 return
             e = merged(np.concatenate(held))
+            held.clear()
             t = e["token"]
             same = np.concatenate([[False], t[1:] == t[:-1], [False]])
             e = e[same[:-1] | same[1:]]
             for at in range(0, len(e), 100_000):
                 x = e[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(common.signed(x["token"])), pa.array(np.ascontiguousarray(x["cluster"])), *(pa.array(x[c].astype(np.int64)) for c in ("least", "most", "place"))], ["token", "cluster", "least", "most", "place"])
+            common.release()
 
         dealt = rows.mapInArrow(deal, "bucket long, entries binary").repartition(buckets, "bucket")
         return self.keep(dealt.mapInArrow(shared_tokens, "token long, cluster long, least long, most long, place long"), "entries")

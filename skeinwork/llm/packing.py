@@ -32,9 +32,9 @@ from . import common
 
 WINDOW = 2048
 END_ID = 1
-SLAB = 3 << 20
+SLAB = 1 << 20
 #: Pre-tokens kept encoded in a worker; beyond it the table starts anew, which costs time only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SETTLED = ((0, 0x530), (0x2000, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF00, 0xFFF0))
 OTHER, LETTER, NUMBER, BLANK = range(4)
@@ -96,19 +96,20 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
         ids = self.plain(texts)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
         keys, starts, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         order = np.argsort(keys)
-        self.keys, self.starts, self.sizes = keys[order], starts[order].astype(np.int64), sizes[order]
+        self.keys, self.checks, self.starts, self.sizes = keys[order], np.concatenate([self.checks, checks])[order], starts[order].astype(np.int64), sizes[order]
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         data = raw.tobytes()
@@ -124,14 +125,18 @@ class Encoder:
                 whole |= [word in data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         s = at[np.flatnonzero(start)]
         e = np.append(s[1:], len(raw))
-        keys, first, inverse = np.unique(common.span_hash(common.prefix_sums(common.BYTE_CODE[raw]), s, e), return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(common.bytes_hash(raw, s, e), return_index=True, return_inverse=True)
+        checks = common.bytes_hash(raw, s, e, lane=1)
         if len(self.keys) + len(keys) > CACHE_ENTRIES:
             self.clear()
         known = np.isin(keys, self.keys, assume_unique=True)
         if not known.all():
             new = first[~known]
-            self.learn(keys[~known], [data[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
+            self.learn(keys[~known], checks[new], [data[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
         place = np.searchsorted(self.keys, keys)[inverse]
+        # a pre-token that shares another's hash only in part: its text is encoded whole
+        if (odd := np.flatnonzero(self.checks[place] != checks)).size:
+            whole[np.searchsorted(off, s[odd], side="right") - 1] = True
         sizes = self.sizes[place]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(ends[-1])]
@@ -238,6 +243,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         rows += packer.finish()
         if rows:
             yield flush()
+        common.release()
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return picked.mapInArrow(run, PIECES)

@@ -87,11 +87,35 @@ def test_jaccard_links(spark, monkeypatch, seed, small, make):
     assert len({root(i) for i in up}) < len(up)
 
 
-def test_words_of_two_letters_in_even_order(spark):
+def even_order():
     """A word and its complement that polynomials modulo 2**64 take for equal."""
     a, b = "a", "b"
     for _ in range(10):
         a, b = a + b, b + a
+    return a, b
+
+
+def test_pretokens_of_two_letters_in_even_order():
+    import pyarrow as pa
+
+    enc = packing.Encoder(packing.default_tokenizer())
+    texts = [*even_order(), "x"]
+    assert [x.tolist() for x in enc.encode(*common.utf8(pa.array(texts)))] == enc.plain(texts)
+    enc.checks = enc.checks + np.uint64(1)
+    assert [x.tolist() for x in enc.encode(*common.utf8(pa.array(texts)))] == enc.plain(texts)
+
+
+def test_long_texts_hash_as_short_ones(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["one two three " * 30, "x" * 500 + " y", "one"]
+    want = [common.word_hashes(*common.utf8(pa.array([t])))[0].tolist() for t in texts]
+    monkeypatch.setattr(common, "SLAB_BYTES", 16)
+    assert [common.word_hashes(*common.utf8(pa.array([t])))[0].tolist() for t in texts] == want
+
+
+def test_words_of_two_letters_in_even_order(spark):
+    a, b = even_order()
     df = common.cut(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), "texts")
     assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == {1: 1, 2: 2}
 
