@@ -94,16 +94,26 @@ def indent_unit(lines: Column) -> Column:
     return F.aggregate(depth, F.lit(0), lambda m, n: F.when(m == 0, n).otherwise(gcd(m, n)))
 
 
-#: What punctuation is read as.
-PLAIN = (("[‘’‚‛]", "'"), ("[“”„‟]", '"'), ("[‐-―−]", "-"), ("…", "..."), ("[  -   　]", " "), ("[​-‍﻿]", ""), ("⁄", "/"))
+#: What characters are read as, in this order; and the classes that comparisons of lines take for equal.
+PLAIN = ((r"[\u2010-\u2015\u2212]", "-"), (r"[\u2018-\u201B]", "'"), (r"[\u201C-\u201F]", '"'), (r"[\u00A0\u2002-\u200A\u202F\u205F\u3000]", " "), (r"\u2260", "!="), (r"\u00BD", "1/2"), (r"[\u200B-\u200D\uFEFF]", ""))
+FUZZY = ((r"[\u0022\u201E\u201F\u00AB\u00BB]", '"'), (r"[\u0027\u201A\u201B\u0060\u00B4]", "'"), (r"[\u2010\u2011\u2012\u2013\u2014\u2212]", "-"), (r"[ \t]+", " "))
 
 
 def plain_punctuation(text: Column) -> Column:
+    text = F.trim(text)
     for pattern, to in PLAIN:
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
+def fuzzy_line(line: Column) -> Column:
+    """A line as comparisons take it: trimmed, one kind of quote and dash, single blanks."""
+    line = F.regexp_replace(line, r"^\s+|\s+$", "")
+    for pattern, to in FUZZY:
+        line = F.regexp_replace(line, pattern, to)
+    return line
+
+
 def nfc(text: Column) -> Column:
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:

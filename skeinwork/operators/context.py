@@ -75,21 +75,6 @@ def lookup(wanted: DataFrame, files: DataFrame, gods: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(c).groupBy("symbol", "path").agg(F.min(F.struct("p", "node_id")).alias("x")).select("symbol", "path", "x.node_id")
 
 
-#: Rules of tool use, as (rule, tool, condition on the call, confidence).
-TOOL_RULES = (
-    ("search_for_definition", "grep", r"\b(?:function|class|def|interface)\s+\w+", 0.9),
-    ("read_whole_file", "read", r"^(?!.*\b(?:offset|lines?)\b).*$", 0.75),
-    ("list_then_read", "ls", r".*", 0.8),
-    ("edit_without_anchor", "edit", r"^(?!.*\b\d+[a-z]{2}\|).*$", 0.85),
-)
-
-
-def tool_suggestions(calls: DataFrame) -> DataFrame:
-    """(conv_id, rule, confidence) that some call of (conv_id, tool_name, content) gives rise to."""
-    rules = F.array(*[F.when((F.col("tool_name") == tool) & F.col("content").rlike(p), F.struct(F.lit(name).alias("rule"), F.lit(sure).alias("confidence"))) for name, tool, p, sure in TOOL_RULES])
-    return calls.select("conv_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r")).select("conv_id", "r.*").distinct()
-
-
 def trigger(flags: dict[str, Column]) -> Column:
     """The first flag that holds, by name, or null."""
     out = F.lit(None).cast("string")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import PAIRS
+
 
 def rebase(anchors: DataFrame, lines: DataFrame, reach: int = 5, own_line: bool = False) -> DataFrame:
     """(doc_id, line, hash, rebased): the only line within `reach` that has the anchor's hash, else null.
@@ -209,3 +211,80 @@ def previews(changes: DataFrame) -> DataFrame:
     edge = (F.coalesce(F.lag("kind").over(w), F.lit("")) != F.col("kind")).cast("int")
     runs = changes.withColumn("_e", edge).withColumn("run", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("doc_id", "run", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+
+
+#: An echoed anchor before a line, one after a diff's plus, a diff's plus, and a note that a read was cut.
+ANCHOR_PREFIX = rf"^\s*(?:>>>|>>)?\s*(?:[+*]\s*)?\d+(?:{'|'.join(PAIRS)})[:|]"
+PLUS_ANCHOR_PREFIX = rf"^\s*(?:>>>|>>)?\s*\+\s*\d+(?:{'|'.join(PAIRS)})[:|]"
+PLUS = r"^[+](?![+])"
+CUT_NOTE = r"^\[(?:Showing lines \d+-\d+ of \d+|\d+ more lines? in (?:file|\S+))\b.*\bsel=L?\d+"
+
+
+def stripped(blocks: DataFrame) -> DataFrame:
+    """Lines (block, line_no, text) of replacement texts without the anchors or diff signs that were copied with them.
+
+    Anchors go where every line that is not empty has one, however often; a plus goes where no line has an anchor
+    after it and half of the lines have a plus; where some lines have plus and anchor, both go from those.
+    """
+    c = F.col("text")
+    note = c.rlike(CUT_NOTE)
+    counts = (c != "") & ~note
+    n = lambda test: F.coalesce(F.sum((counts & test).cast("int")), F.lit(0))
+    votes = blocks.groupBy("block").agg(n(F.lit(True)).alias("_n"), n(c.rlike(ANCHOR_PREFIX)).alias("_a"), n(c.rlike(PLUS_ANCHOR_PREFIX)).alias("_pa"), n(c.rlike(PLUS)).alias("_p"))
+    anchors = (F.col("_n") > 0) & (F.col("_a") == F.col("_n"))
+    plus = ~anchors & (F.col("_pa") == 0) & (F.col("_p") > 0) & (F.col("_p") >= F.col("_n") * 0.5)
+    any_ = (F.col("_n") > 0) & (anchors | plus | (F.col("_pa") > 0))
+    # once the first is gone the next stands at the start, so all of them are one pattern
+    all_anchors = F.regexp_replace(c, "^(?:" + ANCHOR_PREFIX[1:] + ")+", "")
+    text = F.when(anchors, all_anchors).when(plus, F.regexp_replace(c, PLUS, "")).when(any_ & c.rlike(PLUS_ANCHOR_PREFIX), F.regexp_replace(c, ANCHOR_PREFIX, "")).otherwise(c)
+    return blocks.join(votes, "block").filter(~(any_ & note)).select("block", "line_no", text.alias("text"))
+
+
+def ordered_edits(edits: DataFrame) -> DataFrame:
+    """(doc_id, place, idx) of (doc_id, idx, op, line, end, lines): each different edit once, bottom up, replacements
+    before insertions at one line, and then as given."""
+    level = F.create_map(*[F.lit(x) for kv in PRECEDENCE.items() for x in kv]).getItem(F.col("op"))
+    once = edits.groupBy("doc_id", "op", "line", "end", "lines").agg(F.min("idx").alias("idx")).withColumn("_level", level)
+    last = F.when(F.col("op") == "append", F.lit(2**62)).otherwise(0)
+    w = Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce("end", "line", last)), "_level", "idx")
+    return once.select("doc_id", F.row_number().over(w).alias("place"), "idx")
+
+
+def mismatch_frames(mismatches: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:
+    """(doc_id, frame): the lines (doc_id, line_no, text, hash) around mismatched ones (doc_id, line), those marked, gaps as dots."""
+    own = mismatches.select("doc_id", "line").distinct()
+    near = own.select("doc_id", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("line_no"), "line")
+    near = near.groupBy("doc_id", "line_no").agg(F.max((F.col("line") == F.col("line_no")).cast("int")).alias("hit"))
+    shown = near.join(lines.select("doc_id", "line_no", "text", "hash"), ["doc_id", "line_no"])
+    gap = F.lag("line_no").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    row = F.concat(F.when(F.col("line_no") > gap + 1, "...\n").otherwise(""), F.when(F.col("hit") == 1, "*").otherwise(" "), F.col("line_no").cast("string"), "hash", F.lit("|"), "text")
+    rows = shown.select("doc_id", "line_no", row.alias("row"))
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "row"))).alias("l")).join(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id")
+    head = F.concat(F.lit("Edit rejected: "), F.col("n").cast("string"), F.when(F.col("n") > 1, " lines have").otherwise(" line has"), F.lit(" changed since the last read (marked *).\n"))
+    return lists.select("doc_id", F.concat(head, F.array_join(F.transform("l", lambda v: v.row), "\n")).alias("frame"))
+
+
+def hover_anchors(cursors: DataFrame, lines: DataFrame, around: int = 5) -> DataFrame:
+    """(doc_id, line, anchor, first, last): the anchor of a line (from 1) and the lines to read around it."""
+    n = lines.groupBy("doc_id").agg(F.max("line_no").alias("_n"))
+    here = cursors.select("doc_id", "line").join(lines.select("doc_id", F.col("line_no").alias("line"), "hash"), ["doc_id", "line"]).join(n, "doc_id")
+    return here.select("doc_id", "line", F.concat(F.col("line").cast("string"), "hash").alias("anchor"), F.greatest(F.lit(1), F.col("line") - around).alias("first"), F.least(F.col("_n"), F.col("line") + around).alias("last"))
+
+
+def edit_file(text: str, edits: list[dict], dry_run: bool = False) -> dict:
+    """The edited text with its byte order mark and line ends, the numbered diff, and whether anything was written.
+
+    A text of None is a file that does not exist yet: appending and prepending make it.
+    """
+    if text is None:
+        if any(e["op"] not in ("append", "prepend") or e.get("line") for e in edits):
+            raise ValueError("only append and prepend make a file")
+        text = ""
+    mark = "\ufeff" if text.startswith("\ufeff") else ""
+    body = text.removeprefix("\ufeff")
+    first = body.find("\n")
+    end = "\r\n" if first > 0 and body[first - 1] == "\r" else "\n"
+    plain = body.replace("\r\n", "\n").replace("\r", "\n")
+    new, changed = apply_edits(plain.split("\n") if plain else [], edits)
+    after = "\n".join(new)
+    return {"text": text if dry_run else mark + after.replace("\n", end), "diff": numbered_diff(plain, after), "first_changed": changed, "written": not dry_run and after != plain}

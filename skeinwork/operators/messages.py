@@ -98,23 +98,24 @@ def navigation_intent(messages: DataFrame, n: int = 5) -> DataFrame:
     return best.select("conv_id", F.when(F.col("k") == 1, "definition").when(F.col("k") == 2, "references").when(F.col("k") == 3, "file_location").alias("navigation"))
 
 
-#: The formats of compilers' messages, as (path, line, column, message).
+#: Files in compilers' messages, and the formats of these, as (path, line, column).
+COMPILED = r"((?:[./\w@_-]+/)*[\w@_-]+\.(?:ts|tsx|py|rs|js|jsx|go|java|c|cpp|h|hpp))"
 COMPILER_FORMATS = (
-    r"(?m)^([^\s():]+\.\w+)\((\d+),(\d+)\):\s*error\s*(.*)$",
-    r"(?m)^([^\s():]+\.\w+):(\d+):(\d+)\s*[-:]\s*error:?\s*(.*)$",
-    r"(?m)^\s*-->\s*([^\s:]+):(\d+):(\d+)()$",
-    r'(?m)File "([^"]+)", line (\d+)()()',
+    rf"(?i){COMPILED}\((\d+),(\d+)\):\s*(?:error|warning)[^\n]*",
+    rf"(?i){COMPILED}:(\d+):(\d+)\s*-\s*(?:error|warning)[^\n]*",
+    rf"-->\s+{COMPILED}:(\d+):(\d+)",
+    rf"(?i){COMPILED}:(\d+):(\d+):\s*(?:error|warning)",
 )
 
 
 def compiler_errors(messages: DataFrame, n: int = 15, most: int = 8) -> DataFrame:
     """(conv_id, path, line, col), from 0, of distinct places in the last n tool results that speak of errors."""
-    tail = last_messages(messages, n).filter(F.col("role").isin("tool", "toolResult") & F.lower("content").contains("error"))
+    tail = last_messages(messages, n).filter((F.col("role") == "toolResult") & (F.col("content").contains("error") | F.col("content").contains("Error")))
     found = None
     for k, pattern in enumerate(COMPILER_FORMATS):
         g = [F.regexp_extract_all("content", F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
         one = tail.select("conv_id", "pos", F.posexplode(F.arrays_zip(g[0].alias("p"), g[1].alias("l"), g[2].alias("c"))).alias("i", "z"))
-        one = one.select("conv_id", F.struct("pos", F.lit(k).alias("k"), "i").alias("at"), F.col("z.p").alias("path"), (F.col("z.l").cast("long") - 1).alias("line"), F.coalesce(F.try_subtract(F.nullif(F.col("z.c"), F.lit("")).cast("long"), F.lit(1)), F.lit(0)).alias("col"))
+        one = one.select("conv_id", F.struct("pos", F.lit(k).alias("k"), "i").alias("at"), F.col("z.p").alias("path"), (F.col("z.l").cast("long") - 1).alias("line"), F.greatest(F.col("z.c").cast("long") - 1, F.lit(0)).alias("col")).filter("line >= 0")
         found = one if found is None else found.unionByName(one)
     first = found.groupBy("conv_id", "path", "line", "col").agg(F.min("at").alias("at"))
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))).filter(F.col("_n") <= most).drop("_n", "at")

@@ -92,10 +92,10 @@ def _(spark, d):
     return r.god_matches(gods, v.part_symbols(spark, d))
 
 
-@query("j11_mention_files", FILES + ", m AS (SELECT replace(p_name, ' ', '_') || '_' || p_partkey || '.ts' AS mention FROM part WHERE p_partkey % 3 = 0) SELECT mention, path FROM m JOIN f ON path = mention OR ends_with(path, '/' || mention)")
+@query("j11_mention_files", FILES + ", m AS (SELECT replace(p_name, ' ', '_') || '_' || p_partkey || '.ts' AS mention FROM part) SELECT mention, path FROM m JOIN f ON path = mention OR ends_with(path, '/' || mention)")
 def _(spark, d):
     files = v.part_files(spark, d)
-    return r.suffix_matches(files.filter("pos % 3 = 0").select(F.concat("stem", F.lit(".ts")).alias("mention")), files)
+    return r.suffix_matches(files.select(F.concat("stem", F.lit(".ts")).alias("mention")), files)
 
 
 DEPS = FILES + ", c AS (SELECT path AS src, 'x' || pos AS raw, list_value('none/' || pos, (SELECT path FROM f g WHERE g.pos = f.pos * 3), (SELECT path FROM f g WHERE g.pos = f.pos + 1)) AS cands FROM f), deps AS (SELECT DISTINCT src, target FROM (SELECT src, coalesce((SELECT path FROM f g WHERE g.path = cands[1]), cands[2], cands[3]) AS target FROM c) WHERE target IS NOT NULL)\n"

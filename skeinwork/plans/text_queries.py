@@ -71,25 +71,25 @@ def _(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-ANCHORS = LINES + ", asked AS (SELECT doc_id, line_no AS line, anchor AS hash FROM lines WHERE line_no % 3 = 1)\n"
+ANCHORS = LINES + ", asked AS (SELECT doc_id, line_no AS line, anchor AS hash FROM lines)\n"
 
 
 @query("j14_unique_rebase", ANCHORS + "SELECT a.doc_id, a.line, a.hash, CASE WHEN count(l.line_no) = 1 THEN min(l.line_no) END AS rebased FROM (SELECT DISTINCT * FROM asked) a LEFT JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line - 5 AND a.line + 5 AND l.line_no <> a.line AND l.anchor = a.hash GROUP BY 1, 2, 3")
 def _(spark, d):
     all_ = lines(spark, d)
-    return ln.rebase(all_.filter("line_no % 3 = 1").select("doc_id", F.col("line_no").alias("line"), F.col("anchor").alias("hash")), all_)
+    return ln.rebase(all_.select("doc_id", F.col("line_no").alias("line"), F.col("anchor").alias("hash")), all_)
 
 
-@query("j15_reconcile", LINES + ", asked AS (SELECT doc_id, line_no + 2 AS line, anchor AS hash FROM lines WHERE line_no % 4 = 1) SELECT a.doc_id, a.line, a.hash, CASE WHEN count(l.line_no) = 1 THEN min(l.line_no) END AS rebased FROM (SELECT DISTINCT * FROM asked) a LEFT JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line - 10 AND a.line + 10 AND l.anchor = a.hash GROUP BY 1, 2, 3")
+@query("j15_reconcile", LINES + ", asked AS (SELECT doc_id, line_no + 2 AS line, anchor AS hash FROM lines) SELECT a.doc_id, a.line, a.hash, CASE WHEN count(l.line_no) = 1 THEN min(l.line_no) END AS rebased FROM (SELECT DISTINCT * FROM asked) a LEFT JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line - 10 AND a.line + 10 AND l.anchor = a.hash GROUP BY 1, 2, 3")
 def _(spark, d):
     all_ = lines(spark, d)
-    return ln.rebase(all_.filter("line_no % 4 = 1").select("doc_id", (F.col("line_no") + 2).alias("line"), F.col("anchor").alias("hash")), all_, reach=10, own_line=True)
+    return ln.rebase(all_.select("doc_id", (F.col("line_no") + 2).alias("line"), F.col("anchor").alias("hash")), all_, reach=10, own_line=True)
 
 
-@query("h01_validate", LINES + ", asked AS (SELECT DISTINCT doc_id, line_no + line_no % 2 AS line, anchor AS hash FROM lines WHERE line_no % 3 = 1), near AS (SELECT a.doc_id, a.line, a.hash, count(*) AS n, min(l.line_no) AS p FROM asked a JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line - 5 AND a.line + 5 AND l.line_no <> a.line AND l.anchor = a.hash GROUP BY 1, 2, 3) SELECT a.doc_id, a.line, a.hash, CASE WHEN s.doc_id IS NOT NULL THEN 'ok' WHEN near.n = 1 THEN 'rebased' ELSE 'mismatch' END AS status, CASE WHEN s.doc_id IS NOT NULL THEN a.line WHEN near.n = 1 THEN near.p END AS \"at\" FROM asked a LEFT JOIN lines s ON s.doc_id = a.doc_id AND s.line_no = a.line AND s.anchor = a.hash LEFT JOIN near ON near.doc_id = a.doc_id AND near.line = a.line AND near.hash = a.hash")
+@query("h01_validate", LINES + ", asked AS (SELECT DISTINCT doc_id, line_no + line_no % 2 AS line, anchor AS hash FROM lines), near AS (SELECT a.doc_id, a.line, a.hash, count(*) AS n, min(l.line_no) AS p FROM asked a JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line - 5 AND a.line + 5 AND l.line_no <> a.line AND l.anchor = a.hash GROUP BY 1, 2, 3) SELECT a.doc_id, a.line, a.hash, CASE WHEN s.doc_id IS NOT NULL THEN 'ok' WHEN near.n = 1 THEN 'rebased' ELSE 'mismatch' END AS status, CASE WHEN s.doc_id IS NOT NULL THEN a.line WHEN near.n = 1 THEN near.p END AS \"at\" FROM asked a LEFT JOIN lines s ON s.doc_id = a.doc_id AND s.line_no = a.line AND s.anchor = a.hash LEFT JOIN near ON near.doc_id = a.doc_id AND near.line = a.line AND near.hash = a.hash")
 def _(spark, d):
     all_ = lines(spark, d)
-    asked = all_.filter("line_no % 3 = 1").select("doc_id", (F.col("line_no") + F.col("line_no") % 2).alias("line"), F.col("anchor").alias("hash"))
+    asked = all_.select("doc_id", (F.col("line_no") + F.col("line_no") % 2).alias("line"), F.col("anchor").alias("hash"))
     return ln.validated(asked, all_)
 
 
@@ -160,12 +160,12 @@ def _(spark, d):
     return streamed(spark, stream, "first-events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("z_stream_tumbling")
+@query("z_stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return st.run_whole(st.tumbling(st.events_stream(spark, d)), stream_path(spark, "tumbling"))
+    return st.run_whole(st.tumbling(st.events_stream(spark, d)), stream_path(spark, "tumbling")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("z04_anchor_state")
+@query("z04_anchor_state", "SELECT event_type AS path, 2 AS n_lines, CASE WHEN p IS NULL THEN 2 WHEN p = props THEN 0 ELSE 1 END AS n_changed FROM (SELECT *, lag(props) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events)")
 def _(spark, d):
     reads = st.events_stream(spark, d).select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat_ws("\n", F.lit("head"), F.col("props")).alias("content"))
     return streamed(spark, st.anchor_states(reads), "anchors")

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.paths import LANGUAGES
+
 FILE_INDEX = "path string, language string, skeleton string, imports array<string>, exports array<string>, content_hash string"
 Parsed = tuple[list[str], list[str], list[str]]
 
@@ -99,13 +101,11 @@ register("ts tsx js jsx mts cts", typescript_file)
 register("py pyi", python_file)
 register("rs", rust_file)
 
-#: Extensions and the names of their languages.
-LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java", "c": "c", "cpp": "cpp", "rb": "ruby", "md": "markdown"}
-
 
 def language_of(path: str) -> str:
-    ext = path.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    return LANGUAGES.get(ext, ext)
+    """As functions.paths.language has it."""
+    ext = path.rpartition(".")[2].lower()
+    return LANGUAGES.get(ext, ext) or "unknown"
 
 
 def candidates(path: str, raw: str) -> list[str]:

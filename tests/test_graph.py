@@ -77,3 +77,86 @@ def test_surprise_rules_in_order(spark):
     calls = edges.selectExpr("*", "'calls' AS type")
     got = {(r.src, r.dst): r.reason for r in g.surprises(calls, members).collect()}
     assert got == {("auth", "db"): "cross-community", ("auth", "legacy/old"): "cross-community", ("db", "legacy/old"): "legacy", ("x/a", "b"): "unexpected"}
+
+
+def random_graph(seed, n=14, m=30):
+    rng = random.Random(seed)
+    names = [f"v{i}" for i in range(n)]
+    rng.shuffle(names)
+    return names, [(rng.choice(names), rng.choice(names)) for _ in range(m)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_back_edges_by_recursion(spark, seed):
+    names, pairs = random_graph(seed)
+    found, seen = [], set()
+
+    def visit(v, path):
+        seen.add(v)
+        for a, b in pairs:
+            if a == v and b in path:
+                found.append(path[path.index(b) :])
+            elif a == v and b not in seen:
+                visit(b, [*path, b])
+
+    for v in names:
+        if v not in seen:
+            visit(v, [v])
+    got = [r.members for r in g.cycles(*graph(spark, names, pairs)).collect()]
+    assert sorted(got) == sorted(found)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_communities_by_definition(spark, seed):
+    names, pairs = random_graph(seed, 16, 18)
+    near = {v: [] for v in names}
+    for a, b in pairs:
+        near[a] += [] if b in near[a] else [b]
+        near[b] += [] if a in near[b] else [a]
+    home = {v: v for v in names}
+    for _ in range(10):
+        before = dict(home)
+        for v in names:
+            options = []
+            for u in near[v]:
+                if home[u] != home[v] and home[u] not in [c for c, _ in options]:
+                    inside = sum(home[w] == home[u] for w in near[v])
+                    options.append((home[u], inside - 0.5 * (len(near[v]) - inside)))
+            best = max((x for _, x in options), default=0)
+            if best > 1e-10:
+                home[v] = next(c for c, x in options if x == best)
+        if home == before:
+            break
+    got = {r.node_id: r.seed for r in g.communities(*graph(spark, names, pairs)).collect()}
+    assert got == home
+
+
+def test_fingerprint_follows_content_only(spark):
+    nodes, edges = graph(spark, "abc", [("a", "b"), ("b", "c")])
+    mark = lambda n, e: g.fingerprint(n, e).first().fingerprint
+    assert mark(nodes, edges) == mark(nodes.orderBy("node_id", ascending=False), edges.orderBy("dst", ascending=False))
+    assert len({mark(nodes, edges), mark(nodes.limit(2), edges), mark(nodes, edges.limit(1)), mark(nodes, edges.selectExpr("dst AS src", "src AS dst", "edge_pos"))}) == 4
+
+
+def test_cache_of_graphs(spark, tmp_path):
+    from skeinwork.operators import analysis
+
+    root = f"file://{tmp_path}/graphs"
+    nodes, edges = graph(spark, "abc", [("a", "b"), ("b", "c")])
+    assert analysis.load_graph(spark, root, nodes, edges) is None
+    parts = analysis.assembled(nodes, edges)
+    analysis.save_graph(nodes, edges, root, metrics=parts["metrics"], cycles=parts["cycles"])
+    held = analysis.load_graph(spark, root, nodes, edges)
+    assert held["metrics"].first().total_edges == 2 and held["cycles"].count() == 0
+    assert analysis.load_graph(spark, root, nodes, edges.limit(1)) is None
+    assert analysis.drop_graphs(spark, root) == 1 and analysis.load_graph(spark, root, nodes, edges) is None
+
+
+def test_prioritised_map(spark):
+    from skeinwork.operators import analysis
+
+    areas = spark.createDataFrame([("Auth", "c1", 3)], "label string, community string, size long")
+    hubs = spark.createDataFrame([("login", "CRITICAL", 30, "c1")], "label string, criticality string, in_degree long, community string")
+    out = analysis.prioritised_map("src/", areas, hubs)
+    assert out.index("Auth") < out.index("login") < out.index("src/")
+    assert analysis.prioritised_map("src/", areas.limit(0), hubs.limit(0)) == "src/" and analysis.prioritised_map(" ", areas, hubs) == " "

@@ -23,6 +23,54 @@ def test_every_line_is_anchored(spark, tmp_path):
     assert len(got) == len(want) == 15 and set(got) == want
 
 
+def test_every_line_has_its_hash(spark, tmp_path):
+    texts = {1: "\n".join(f"  const x{i} = {i};" for i in range(12)) + "\n\n}\n--", 2: "", 3: None, 4: "é 東\r\n  \r"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i, x.line_hash(i, t)) for d, text in texts.items() if text is not None for i, t in enumerate(text.split("\n"), 1)}
+    assert set(map(tuple, registry.QUERIES["f10_line_hash"](spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize(("most_lines", "most_bytes"), [(3, 40), (200, 30), (2, 10_000)])
+def test_chunks_line_by_line(spark, most_lines, most_bytes):
+    rng = random.Random(most_bytes)
+    texts = {d: ["é" * rng.randrange(12) for _ in range(rng.randrange(1, 40))] for d in range(6)}
+    want = []
+    for d, ls in texts.items():
+        chunk, held = 0, []
+        for no, t in enumerate(ls, 1):
+            if held and (len(held) >= most_lines or len("\n".join([*(x for _, x in held), t]).encode()) > most_bytes):
+                want.append((d, chunk, held[0][0], len(held)))
+                chunk, held = chunk + 1, []
+            held.append((no, t))
+            if len(held) >= most_lines or len("\n".join(x for _, x in held).encode()) >= most_bytes:
+                want.append((d, chunk, held[0][0], len(held)))
+                chunk, held = chunk + 1, []
+        if held:
+            want.append((d, chunk, held[0][0], len(held)))
+    df = spark.createDataFrame([(d, i, t) for d, ls in texts.items() for i, t in enumerate(ls, 1)], "doc_id long, line_no long, text string")
+    got = lines.chunks(df, most_lines, most_bytes).select("doc_id", "chunk", "first_line", "n_lines").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_edited_files_keep_mark_and_line_ends():
+    out = lines.edit_file("\ufeffa\r\nb\r\n", [{"op": "replace", "line": 2, "lines": ["c"]}])
+    assert out["text"] == "\ufeffa\r\nc\r\n" and out["written"] and out["first_changed"] == 2
+    assert lines.edit_file("a", [{"op": "delete", "line": 1}], dry_run=True) | {"diff": ""} == {"text": "a", "diff": "", "first_changed": 1, "written": False}
+    assert lines.edit_file(None, [{"op": "append", "lines": ["x"]}])["text"] == "x"
+    with pytest.raises(ValueError):
+        lines.edit_file(None, [{"op": "replace", "line": 1, "lines": ["x"]}])
+
+
+def test_prefixes_go_by_vote(spark):
+    blocks = {"all": ["12ab|x", " >>> 3un:y", ""], "some": ["12ab|x", "y"], "plus": ["+a", "++b", "+c", "d"], "few": ["+a", "b", "c"], "mixed": ["+ 12ab|x", "y"], "note": ["[Showing lines 1-5 of 9 more sel=L6", "1st|z"]}
+    want = {"all": ["x", "y", ""], "some": blocks["some"], "plus": ["a", "++b", "c", "d"], "few": blocks["few"], "mixed": ["x", "y"], "note": ["z"]}
+    df = spark.createDataFrame([(b, i, t) for b, ls in blocks.items() for i, t in enumerate(ls)], "block string, line_no long, text string")
+    got = {}
+    for r in lines.stripped(df).orderBy("line_no").collect():
+        got.setdefault(r.block, []).append(r.text)
+    assert got == want
+
+
 def test_functions(spark):
     row = spark.createDataFrame([("a\r\nb\n", "file:src/a.ts:Foo", "file:src/a.ts", "12un|x", "getUserData from authService")], "t string, n string, m string, a string, q string").select(x.line_ending(F.col("t")), x.to_lf(F.col("t")), x.node_path(F.col("n")), x.node_symbol(F.col("n")), x.node_symbol(F.col("m")), x.parse_anchor(F.col("a")), retrieval.query_tokens(F.col("q")), x.glob_match(F.lit("Claims-9"), "claims-*")).first()
     assert row[:5] == ("crlf", "a\nb\n", "src/a.ts", "Foo", None)
