@@ -2,25 +2,30 @@
 
 For every element: characters C, tags T, link characters LC and link tags LT of its
 subtree give the composite density
-    C / T * log(C / T * T / LT ...) with base ln(C / nLC * LC + LCb / Cb * C + e),
+    C / T * log(C / LC * T / LT) with base ln(C / nLC * LC + LCb / Cb * C + e),
 where nLC is C - LC and the subscript b marks the whole body. A node's density sum adds up
-its children's densities; the subtree with the largest sum is the text, widened by
-every block outside it whose density reaches the least density met on the path from
-the body to it, and to the article element that holds it.
-
-Before, subtrees that are no article text by element, role or class name are left
-out: navigation, page headers and footers, asides, forms, scripts, styles, notices,
-adverts, sidebars and comments. Unclosed and stray tags are mended as the elements'
-nesting rules have it. Character references are decoded, white space inside a block
-becomes one space, and blocks are joined by a newline in page order.
+its children's densities; the subtree with the largest sum is the text. It is widened by
+blocks outside it: next to it those whose density reaches the least density met on the
+path from the body to it, and further up those that reach the least one below the body.
+Blocks that are mostly links are not added.
+
+Densities count all text that a page shows. Menus, footers, forms, notices, adverts,
+sidebars and reader comments that element, role or class name tells apart are not chosen
+and not given out, wherever they stand: comments are as dense as an article, and a
+one-line article is no denser than a notice beside it. Where a page names nothing,
+densities alone decide. Unclosed and stray tags are mended as the elements' nesting
+rules have it. Character references are decoded, white space inside a block becomes
+one space, and blocks are joined by a newline in page order.
 
 Defined cases: null and empty html give an empty text; pages without markup give
-their text as blocks of one; ids and urls pass through as they are, nulls and
-repeats too; other columns are not read.
+their text as one block; ids and urls pass through as they are, nulls and repeats too;
+time and memory grow with a page's length and no faster, whatever it holds; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -40,22 +45,25 @@ CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr opti
 SAME_LEVEL = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 SCOPES = frozenset("article aside body div main section table td th footer header nav form ul ol html".split())
+HOLD_LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre hr caption legend summary figcaption dt option".split())
+UNSEEN = frozenset("head script style noscript template iframe object embed applet canvas svg math audio video title noembed noframes xmp".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|header|masthead|topbar|footer|colophon|copyright|sidebar|side|aside|rail|widget|widgets|related|recommended|recommendations|popular|trending|share|sharing|social|ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|warning|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|comment-list|respond|reply|replies|disqus|form|search)(?=$|[\s_-])",
     re.IGNORECASE,
 )
 KEEP_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?|.", re.DOTALL)
 BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "dropped", "shown", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
+        self.tag, self.parent, self.dropped, self.shown, self.children = tag, parent, dropped, True, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -65,8 +73,8 @@ def is_clutter(tag: str, raw: str, inside_article: bool) -> bool:
         return True
     if not raw or tag in ("html", "body", "article", "main"):
         return False
-    at = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw)}
-    if at.get("role", "").lower() in NO_ROLES or at.get("aria-hidden", "").lower() == "true" or " hidden" in f" {raw} ".replace("\n", " ").lower() and re.search(r"(?:^|\s)hidden(?=\s|=|/|$)", raw, re.IGNORECASE):
+    at = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(raw) if k}
+    if at.get("role", "").lower() in NO_ROLES or at.get("aria-hidden", "").lower() == "true" or "hidden" in at:
         return True
     if re.search(r"display\s*:\s*none", at.get("style", ""), re.IGNORECASE):
         return True
@@ -76,60 +84,142 @@ def is_clutter(tag: str, raw: str, inside_article: bool) -> bool:
     return not (KEEP_NAMES.search(named) and not re.search(r"(?:comment|sidebar|advert|cookie|related|share|footer|nav)", named, re.IGNORECASE))
 
 
+class Tokens:
+    """Tags of a page as (start, end, closing, name, attributes), each place read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` is next, or -1; what is missing once is not looked for again."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end_of(self, at: int) -> int:
+        """The > that ends a tag, quoted ones aside; where quotes never close, the next one."""
+        place = at
+        while self.quotes:
+            m = STOP.search(self.page, place)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                close = self.find(m[0], m.end())
+                place = m.end() if close < 0 else close + 1
+        return self.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                comment = page.startswith("<!--", at)
+                end = self.find("-->", at + 4) if comment else self.find(">", at)
+                if end < 0 and not comment:
+                    return None
+                return at, len(page) if end < 0 else end + (3 if comment else 1), False, "", ""
+            m = OPEN.match(page, at)
+            if m:
+                end = self.end_of(m.end())
+                if end < 0:
+                    return None
+                return at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+            at += 1
+        return None
+
+    def after(self, name: str, at: int) -> int:
+        """Where the element of raw text ends, past its end tag; -1 if it never does."""
+        if f"</{name}" in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(self.page, at)
+        if m is None:
+            self.missing.add(f"</{name}")
+        return m.end() if m else -1
+
+
+class Stack:
+    """Open elements, with the places of each tag and of those that bound a scope."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.scopes = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPES:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, *tags: str) -> int:
+        return max((x[-1] for t in tags if (x := self.places.get(t))), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def closing(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and (tag in SCOPES or not self.scopes or self.scopes[-1] < at):
+            self.close(at)
+
+    def before(self, tag: str) -> None:
+        """Closes what an opening tag ends."""
+        if tag in ENDS:
+            stop = self.last(*SAME_LEVEL[tag])
+            ends = [x[i] for t in ENDS[tag] if (x := self.places.get(t)) and (i := bisect.bisect_right(x, stop)) < len(x)]
+            if ends:
+                self.close(min(ends))
+        elif tag in CLOSES_P:
+            at = self.last("p")
+            if at > max(self.scopes[-1] if self.scopes else 0, self.last("li", "dd", "dt", "blockquote")):
+                self.close(at)
+
+
 def parse(page: str) -> Node:
     """The element tree; text stands between elements as strings."""
     root = Node("#root", None, False)
-    open_: list[Node] = [root]
-    at, articles = 0, 0
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    tokens, stack, at = Tokens(page), Stack(root), 0
+    while token := tokens.next(at):
+        start, end, closing, tag, raw = token
+        if start > at:
+            stack.nodes[-1].children.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        if m.start() > at:
-            open_[-1].children.append(page[at : m.start()])
-        at = m.end()
-        closing, name, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        tag = name.lower()
         if closing:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    articles -= sum(x.tag == "article" for x in open_[i:])
-                    del open_[i:]
-                    break
-                if open_[i].tag in SCOPES and tag not in SCOPES:
-                    break
+            stack.closing(tag)
             continue
-        if tag in CLOSES_P or tag in ENDS:
-            ends, stops = (("p",), SCOPES) if tag in CLOSES_P and tag not in ENDS else (ENDS[tag], SAME_LEVEL[tag])
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in ends:
-                    del open_[i:]
-                    if tag not in ENDS:
-                        break
-                elif open_[i].tag in stops or tag not in ENDS and open_[i].tag in ("li", "dd", "dt", "blockquote"):
-                    break
-        node = Node(tag, open_[-1], open_[-1].dropped or is_clutter(tag, raw.strip(), articles > 0))
-        open_[-1].children.append(node)
+        stack.before(tag)
+        parent = stack.nodes[-1]
+        node = Node(tag, parent, parent.dropped or is_clutter(tag, raw.strip(), bool(stack.places.get("article"))))
+        node.shown = parent.shown and tag not in UNSEEN
+        parent.children.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "template") else at)
+            after = tokens.after(tag, at)
+            if after >= 0 or tag in ("script", "style", "textarea", "template"):
+                at = len(page) if after < 0 else after
             continue
-        open_.append(node)
-        articles += tag == "article"
+        stack.push(node)
     if at < len(page):
-        open_[-1].children.append(page[at:])
+        stack.nodes[-1].children.append(page[at:])
     return root
 
 
 def measure(root: Node) -> list[Node]:
-    """Fills counts bottom up; returns the nodes that count, parents first."""
+    """Fills counts bottom up, of all that is shown; returns the nodes that count, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.dropped:
+        if not node.shown:
             continue
         order.append(node)
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
@@ -137,7 +227,7 @@ def measure(root: Node) -> list[Node]:
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c) if not c.isspace() else 0
-            elif not c.dropped:
+            elif c.shown:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
@@ -165,29 +255,29 @@ def select(root: Node) -> list[Node]:
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     densities(order, body)
-    inner = [n for n in order if n.chars and n.tag not in ("html", "#root")]
+    # an element of lines is a part of the text, not the text
+    inner = [n for n in order if n.chars and not n.dropped and n.tag in BLOCKS and n.tag not in HOLD_LINES and n.tag != "html"]
     if not inner:
-        return [root]
+        return [body]
     best = max(inner, key=lambda n: n.sum)
     if best.sum <= 0:
-        return [body if body.chars else root]
+        best = body
     path, node = [best], best
     while node is not body and node.parent is not None:
         node = node.parent
         path.append(node)
-    threshold = min((n.density for n in path if n is not root), default=0.0)
-    top = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
-    chosen, stack = [], [body if body in path else root]
-    held = set(map(id, path)) - {id(top)}
+    inside = [n.density for n in path if n is not root and n is not body] or [best.density]
+    near = min(inside + ([body.density] if body is not root else []))
+    far = min(inside)
+    held = {id(n) for n in path[1:]}
+    chosen, stack = [], [path[-1]]
     while stack:
         node = stack.pop()
-        if node is top:
+        if node is best:
             chosen.append(node)
-        elif id(node) in held and not (node in path and path.index(node) < path.index(top)):
+        elif id(node) in held:
             stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.dropped)
-        elif top.tag not in ("article", "main") and node.tag in BLOCKS and node.chars and node.density >= threshold and node.link_chars * 2 < node.chars:
-            chosen.append(node)
-        elif node.tag == "article":
+        elif node.tag in BLOCKS and node.chars and node.link_chars * 2 < node.chars and node.density >= (near if node.parent is best.parent and best.parent is not body else far):
             chosen.append(node)
     return chosen
 

@@ -367,3 +367,53 @@ def test_components(spark):
         up[max(p, q)] = min(p, q)
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def nameless(rng, n_paragraphs, wrap):
+    """A page of divs without telling names, and its article's blocks."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    links = lambda n: "".join(f'<div><a href="/{i}">{words(2)}</a></div>' for i in range(n))
+    blocks = [words(6), *(words(rng.randint(40, 90)) for _ in range(n_paragraphs))]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = f"<html><head><title>{words(4)}</title></head><body><div>{links(12)}</div>" + "<div>" * wrap + f"<div class=k1>{body}</div>" + "</div>" * wrap + f"<div>{links(8)}</div><div>{words(3)} <a href=/x>{words(3)}</a></div></body></html>"
+    return page, "\n".join(blocks)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_density_finds_text_that_nothing_names(seed):
+    page, want = nameless(random.Random(seed), 3 + seed % 5, seed % 3)
+    assert html.main_text(page) == want
+
+
+def test_without_densities_nothing_is_found(monkeypatch):
+    """What leaves clutter out on nameless pages is the density."""
+    monkeypatch.setattr(html, "densities", lambda order, body: None)
+    page, want = nameless(random.Random(1), 5, 1)
+    got = html.main_text(page)
+    assert want in got and got != want
+
+
+def test_named_clutter_inside_the_text_goes():
+    words = "lorem ipsum dolor sit amet " * 12
+    page = f"<body><nav>{words}</nav><div><p>{words}</p><div class='comments'><p>{words * 3}</p></div><aside>{words}</aside><p>a &lt;b&gt; &eacute;\n  c{words}</p></div><footer>{words}</footer>"
+    assert html.main_text(page) == f"{words.strip()}\na <b> é c{words.strip()}"
+
+
+HOSTILE = ["<center>", "<a '", "<span>", '<a b="', "<title>", "<", "<!--", "<p>", "</p><div>", "<ul><li>", "<table><td>", "&amp", "<a b='>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(piece):
+    import time
+
+    html.main_text(piece * (200_000 // len(piece)))
+    began = time.process_time()
+    html.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 6
+
+
+def test_stray_and_unclosed_tags():
+    tree = html.parse("<div><p>one<p>two</div></span></p><li>three<li>four<table><tr><td>five<td>six<tr><td>seven</table>")
+    assert html.blocks_of([tree]) == ["one", "two", "three", "four", "five", "six", "seven"]
+    assert html.main_text("<p>a<br>b<b>c</b>d<!-- x --> e<script>var t='</p>'</script>") == "a bcd e"
+    assert html.main_text("5 < 6 and <") == "5 < 6 and <"
