@@ -9,6 +9,8 @@ from skeinwork.llm import common, decontaminate, ngram_join, packing, quality, s
 
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a repeated string that the third stage cuts: passages of over 50 words are longer in nearly all cases.
+REPEAT_BYTES = 300
 #: A column that no shielded table has.
 ROW = "row number"
 
@@ -37,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what repeats; n_chars follows."""
-    out = suffix.dedup(shielded(docs))
+    out = suffix.dedup(shielded(docs), width=REPEAT_BYTES)
     changed = F.col("n_removed") > 0
     out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
     return restored(out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)

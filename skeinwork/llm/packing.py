@@ -32,11 +32,12 @@ from . import common
 
 WINDOW = 2048
 END_ID = 1
-SLAB = 1 << 20
+SLAB = 1 << 19
 #: Pre-tokens kept encoded in a worker; beyond it the table starts anew, which costs time only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SETTLED = ((0, 0x530), (0x2000, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF00, 0xFFF0))
+LEARN = 2_000
 OTHER, LETTER, NUMBER, BLANK = range(4)
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -103,10 +104,12 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
-        ids = self.plain(texts)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        found = []
+        for at in range(0, len(texts), LEARN):  # what the tokenizer returns takes far more room than the ids
+            found += [np.array(x, np.uint32) for x in self.plain(texts[at : at + LEARN])]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, *found])
         keys, starts, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         order = np.argsort(keys)
         self.keys, self.checks, self.starts, self.sizes = keys[order], np.concatenate([self.checks, checks])[order], starts[order].astype(np.int64), sizes[order]

@@ -47,7 +47,7 @@ from . import common
 
 WIDTH = 400
 ANCHOR = 64
-SLAB = 1 << 20
+SLAB = 1 << 19
 HOT = 2_000
 BUCKET_ROWS = 10_000
 SEGMENT = "key long, digest binary, text_id binary, start long, n long, anchor long"
@@ -353,7 +353,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, hot: int = HOT, text_col: str = "
     schema = out_type + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ("" if digest_only else ", kept_text string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.pieces(batches, "_text", 4 * SLAB):
+        for part in common.pieces(batches, "_text", 2 * SLAB):
             n_bytes, n_removed, n_spans, sha, kept = [], [], [], [], []
             for text, found in zip(part.column("_text"), part.column("_spans"), strict=True):
                 text = text.as_py()
