@@ -155,7 +155,8 @@ def threads(links: DataFrame) -> DataFrame:
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, thread_turn, turn, depth, parent_turn, role, n_quotes, text, formatted. Order by the first three."""
+    """One row per message, in the order of conversations, threads and replies: conv_id, thread_turn, turn, depth,
+    parent_turn, role, n_quotes, text, formatted. The order is by ranges, so one conversation may fill many tasks."""
     picked = messages.select(messages[conv_col].cast("long").alias("conv_id"), messages[turn_col].cast("long").alias("turn"), messages[role_col].cast("string").alias("role"), messages[text_col].cast("string").alias("text"))
     rows = common.cut(parsed(picked), "parsed")
     links = common.cut(reply_links(rows), "links")
@@ -166,8 +167,16 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         found = links.join(threads(links), ["conv_id", "turn"])
         out = out.join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "n_quotes", "text", "parent_turn", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("text"), F.lit("\n"))
-    return out.select("conv_id", "thread_turn", "turn", "depth", "parent_turn", "role", "n_quotes", "text", formatted.alias("formatted"))
+    out = out.select("conv_id", "thread_turn", "turn", "depth", "parent_turn", "role", "n_quotes", "text", formatted.alias("formatted"))
+    return out.orderBy("conv_id", "thread_turn", "turn", "depth", "role", "text")
+
+
+def conversations(ordered: DataFrame) -> DataFrame:
+    """(conv_id, thread_turn, messages, text): each thread of reply_order() as one formatted text. A thread is one row, so
+    this is for threads that fit in one."""
+    lists = ordered.groupBy("conv_id", "thread_turn").agg(F.array_sort(F.collect_list(F.struct("turn", "depth", "formatted"))).alias("l"))
+    return lists.select("conv_id", "thread_turn", F.size("l").cast("long").alias("messages"), F.array_join(F.transform("l", lambda x: x.formatted), "").alias("text"))
 
 
 def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reply_order(common.table(spark, sf_dir, "conversations")).drop("formatted")
+    return reply_order(common.table(spark, sf_dir, "conversations"))

@@ -10,11 +10,18 @@ Defined cases: null payloads count as empty; payloads under `min_bytes` are alwa
 responses; of equal payloads the rows with the smallest non-null id are responses
 (several rows with that id all are) and every other row, null ids included, revisits
 them; when all ids of a payload are null, all are responses. Input columns other
-than id, url and payload are not written.
+than id, url and payload are not written, whatever their names. The reader takes
+archives of other writers too: records of any type, with or without an HTTP head, and
+digests by SHA-1, SHA-256 or MD5 in hexadecimal or base 32. `intact` says whether a
+payload has the digest that its header states (null: none stated that can be checked);
+a record that ends early, or whose length cannot be read, is given as far as it goes
+with `intact` false. Payloads of any length are read whole.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import posixpath
 import uuid
@@ -34,7 +41,7 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
 WRITTEN = "path string, bytes long, records long"
-RECORD = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary"
+RECORD = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary, intact boolean"
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -150,32 +157,56 @@ def members(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[by
             at += 1
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields after the first line, by lower-case name; folded lines belong to the field before."""
+    lines = head.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def has_digest(payload: bytes, stated: str) -> bool | None:
+    """Whether a payload has the digest `algorithm:value`; None if that cannot be told."""
+    kind, _, value = stated.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "md5") or not value:
+        return None
+    made, value = hashlib.new(kind, payload, usedforsecurity=False).digest(), value.strip()
+    if len(value) == 2 * len(made):
+        return binascii.hexlify(made).decode() == value.lower()
+    return base64.b32encode(made).decode().rstrip("=") == value.upper().rstrip("=")
+
+
 def parse_member(data: bytes) -> Iterator[dict]:
-    """The records of a member; a damaged tail is left out."""
+    """The records of a member."""
     at = 0
     while data.startswith(b"WARC/", at):
         cut = data.find(b"\r\n\r\n", at)
         if cut < 0:
             return
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:cut].decode("utf-8", "replace").split("\r\n")[1:])}
-        length = int(fields.get("content-length", 0))
-        block = data[cut + 4 : cut + 4 + length]
-        at = cut + 4 + length + 4
-        http, _, payload = block.partition(b"\r\n\r\n")
-        inner = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+        fields = fields_of(data[at:cut])
+        stated = fields.get("content-length", "")
+        length = int(stated) if stated.isascii() and stated.isdigit() else None
+        block = data[cut + 4 :] if length is None else data[cut + 4 : cut + 4 + length]
+        whole = length is not None and len(block) == length
+        at = cut + 4 + len(block) + 4
+        payload, inner = block, {}
+        if fields.get("content-type", "").lower().startswith("application/http"):
+            http, found, rest = block.partition(b"\r\n\r\n")
+            inner, payload = fields_of(http), rest if found else b""
         revisit = fields.get("warc-type") == "revisit"
         ident = lambda x: None if x is None else x.strip("<>").removeprefix("urn:page:") or None
-        said = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        if not revisit and hashlib.sha256(payload).hexdigest() != said:
-            raise OSError(f"record {fields.get('warc-record-id')}: the payload does not have the digest that its header states")
-        yield {"record_id": ident(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "payload_digest": said, "refers_to": ident(fields.get("warc-refers-to")), "payload_bytes": int(inner.get("content-length", 0)) if revisit else len(payload), "payload": None if revisit else payload}
+        digest = fields.get("warc-payload-digest", "")
+        intact = None if revisit else has_digest(payload, digest)
+        said = inner.get("content-length", "")
+        size = (int(said) if said.isascii() and said.isdigit() else None) if revisit else len(payload)
+        made = digest.partition(":")[2].lower() if revisit else hashlib.sha256(payload).hexdigest()
+        yield {"record_id": ident(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "payload_digest": made or None, "refers_to": ident(fields.get("warc-refers-to")), "payload_bytes": size, "payload": None if revisit else payload, "intact": intact if whole else False}
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Records of archives listed as (path, bytes), each byte range of each file a row of its own."""
     splits = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.repartition(max(1, splits.count()))
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +239,9 @@ def op2_warc(spark: SparkSession, sf_dir: str, min_bytes: int = 100) -> DataFram
     folder = common.new_folder(spark, "warc")
     files = common.cut(write_archives(records, folder), "warc-files")
     out = read_archives(files, with_payload=False)
-    return out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.col("target_uri").alias("url"))
+    out = common.cut(out.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.col("target_uri").alias("url")), "warc-records")
+    common.delete_folder(spark, folder)
+    return out
 
 
 OP2_SQL = """

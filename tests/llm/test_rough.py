@@ -85,6 +85,38 @@ def test_warc(spark):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_records_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    b32 = "sha1:" + base64.b32encode(hashlib.sha1(b"page one").digest()).decode()
+
+    def record(kind, rid, block, *fields, length=None):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", *fields, f"Content-Length: {len(block) if length is None else length}"]
+        return gzip.compress(("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+    is_http = "Content-Type: application/http; msgtype=response"
+    parts = [
+        record("warcinfo", "a", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        record("response", "b", http + b"page one", is_http, f"WARC-Payload-Digest: {b32}"),
+        b"junk \x1f\x8b\x08 between",
+        record("response", "c", http + b"page two", is_http, f"WARC-Payload-Digest: {b32}"),
+        record("response", "d", http + b"page", is_http, length="many"),
+        record("response", "e", http + b"cut", is_http, length=9999),
+        record("resource", "f", b"\r\n\r\nplain", "WARC-Payload-Digest: md5:" + hashlib.md5(b"\r\n\r\nplain").hexdigest().upper()),
+    ]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(parts))
+    files = spark.createDataFrame([(str(path), len(b"".join(parts)))], "path string, bytes long")
+    for split in (1 << 20, 64):
+        got = {r.record_id[-1]: (r.record_type, None if r.payload is None else bytes(r.payload), r.intact) for r in warc.read_archives(files, split).collect()}
+        assert got["a"] == ("warcinfo", b"software: x\r\n", None) and got["b"] == ("response", b"page one", True)
+        assert got["c"] == ("response", b"page two", False) and got["f"] == ("resource", b"\r\n\r\nplain", True)
+        assert got["d"][2] is False and got["e"][2] is False and got["e"][1].startswith(b"cut") and len(got) == 6
+
+
 def test_topk(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [-9.0, 0.5]), (None, [9.0, 9.0]), (20, [0.0, 0.0]), (7, [1.0, 2.0, 3.0]), (40, []), (1, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS len", "2 AS dim")
@@ -102,6 +134,18 @@ def test_quotes(spark):
     got = sorted((r.conv_id or -1, -1 if r.turn is None else r.turn, r.parent_turn, r.depth, r.text) for r in quotes.reply_order(df).collect())
     assert got == [(-1, 1, None, 0, ""), (1, -1, None, 0, ""), (1, 0, None, 0, rows[0][3]), (1, 1, 0, 1, "I am fine thanks"), (1, 2, 1, 2, "good"), (1, 3, None, 0, "apart"), (1, 4, 0, 1, "I asked"), (1, 4, 0, 1, "I asked"), (2, 0, None, 0, "no")]
     assert quotes.reply_order(df.limit(0)).count() == 0
+    ordered = quotes.reply_order(df)
+    keys = [(r.conv_id is not None, r.conv_id, r.thread_turn is not None, r.thread_turn, r.turn) for r in ordered.collect()]
+    assert keys == sorted(keys, key=lambda k: tuple(-1 if x is None else x for x in k))
+    whole = {(r.conv_id, r.thread_turn): (r.messages, r.text) for r in quotes.conversations(ordered).collect()}
+    assert whole[1, 0] == (5, "<|user|>\n" + rows[0][3] + "\n<|assistant|>\nI am fine thanks\n<|user|>\ngood\n<|user|>\nI asked\n<|user|>\nI asked\n")
+
+
+def test_quotes_in_a_chain_of_long_and_periodic_texts(spark):
+    long = "\n".join(f"line {i} of a very long message" for i in range(30_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "> " + long.replace("\n", "\n> ") + "\nyes"), (1, 2, "user", "> yes\nno"), (1, 3, "user", ">" * 50_000 + " x"), (1, 4, "user", "> a\n" * 20_000)]
+    got = {r.turn: (r.parent_turn, r.thread_turn, r.depth) for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (None, 3, 0), 4: (None, 4, 0)}
 
 
 def test_quoted_paragraphs_wrapped_anew(spark):
