@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,15 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return store(df, name)[0]
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row that stays the same however often and by whatever splits it is read: a hash of file
+    and place in it. What does not come from files is stored with numbers first."""
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()

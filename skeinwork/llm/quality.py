@@ -218,7 +218,7 @@ class Model:
         if self.shards == 1:
             out = base.withColumn("__kn", scorer(spark, self.tables(0), 0, 1)(F.col(text_col)))
         else:
-            numbered = base.withColumn("__kn_row", F.monotonically_increasing_id())
+            numbered = common.with_row_key(base, "__kn_row")
             sums = None
             for s in range(self.shards):
                 one = common.cut(numbered.select("__kn_row", scorer(spark, self.tables(s), s, self.shards)(F.col(text_col)).alias("one")).select("__kn_row", "one.*"), "partial")

@@ -417,3 +417,29 @@ def test_stray_and_unclosed_tags():
     assert html.blocks_of([tree]) == ["one", "two", "three", "four", "five", "six", "seven"]
     assert html.main_text("<p>a<br>b<b>c</b>d<!-- x --> e<script>var t='</p>'</script>") == "a bcd e"
     assert html.main_text("5 < 6 and <") == "5 < 6 and <"
+
+
+def test_toxicity_on_rows_held_out(spark):
+    """Ranking of labelled rows that training never saw, and what the language thresholds flag of them."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in common.table(spark, sf, "labels").filter("toxic IS NOT NULL").collect()}
+    rows = [r for r in toxicity.op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    bad, good = [r for r in rows if truth[r.doc_id]], [r for r in rows if not truth[r.doc_id]]
+    assert len(bad) > 5 and len(good) > 20
+    right = sum((a.score > b.score) + 0.5 * (a.score == b.score) for a in bad for b in good) / (len(bad) * len(good))
+    assert right > 0.9
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
+
+
+def test_a_very_long_text_among_the_labelled(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    texts = [" ".join([word() for _ in range(20)] + ["nasty"] * (i % 2)) for i in range(300)]
+    texts[0] = " ".join(word() for _ in range(400_000))
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels)
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300)) and max(len(r[1]) for r in rows) == len(texts[0])
+    scores = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    told = [(scores[i] >= 0.5) == i % 2 for i in range(1, 300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(told) > 0.95 * len(told)
