@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import placed
+
 
 def estimate_tokens(text: str) -> Column:
     """A quarter of the UTF-16 length, rounded up; of null or empty text 0."""
@@ -48,10 +50,10 @@ def suffix_trim(lines: DataFrame, budget: int) -> DataFrame:
 
 
 def even_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows at an even stride in order of pos: a report's sample, so one ordered pass is meant."""
+    """At most `most` rows at an even stride in order of pos: a report's sample."""
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    placed = rows.withColumn("_i", F.row_number().over(Window.orderBy("pos")) - 1).join(F.broadcast(n))
+    each = placed(rows, "_place", "pos").withColumn("_i", F.col("_place") - 1).drop("_place").join(F.broadcast(n))
     k = F.least(F.lit(most), F.col("_n"))
     # row i is taken when some j has floor(j * n / k) = i
     j = F.ceil(F.col("_i") * k / F.col("_n"))
-    return placed.filter((j < k) & (F.floor(j * F.col("_n") / k) == F.col("_i"))).drop("_i", "_n")
+    return each.filter((j < k) & (F.floor(j * F.col("_n") / k) == F.col("_i"))).drop("_i", "_n")

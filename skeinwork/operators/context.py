@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import first
 
 #: Paths in running text, with an optional line or line range.
 PATH = r"((?:[\w.-]+/)+[\w.-]+\.\w{1,5}|[\w-]+\.(?:ts|tsx|js|jsx|py|rs|go|md|json))"
@@ -49,7 +50,7 @@ def community_relevance(mentions: DataFrame, symbols_hit: DataFrame, density: Da
 def ranked_gods(gods: DataFrame, n: int) -> DataFrame:
     """By criticality, then edges in."""
     level = F.when(F.col("criticality") == "CRITICAL", 0).when(F.col("criticality") == "IMPORTANT", 1).otherwise(2)
-    return gods.withColumn("place", F.row_number().over(Window.orderBy(level, F.desc("in_degree"), "node_pos"))).filter(F.col("place") <= n)
+    return first(gods, n, "place", level, F.desc("in_degree"), F.col("node_pos"))
 
 
 def priority_symbols(matched: DataFrame, gods: DataFrame, shown: DataFrame, n: int = 3) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..storage import cut
+from .ranking import placed
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,13 +57,19 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def average_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean local clustering over nodes with two neighbours at least; a self-loop makes a node its own neighbour."""
-    near = undirected(edges).join(nodes.select(F.col("node_id").alias("a")), "a", "left_semi")
-    closed = undirected(edges)
-    x, y = near.select("a", F.col("b").alias("x")), near.select("a", F.col("b").alias("y"))
-    wedges = x.join(y, "a").filter("x < y")
-    triangles = wedges.join(closed.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("tri"))
-    degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
-    local = degree.join(triangles, "a", "left").select((F.coalesce("tri", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).alias("c"))
+    near = cut(undirected(edges), "undirected")
+    degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max((F.col("a") == F.col("b")).cast("int")).alias("loop"))
+    # every edge points to the end with more neighbours, so that a hub heads few wedges
+    ends = near.filter("a < b").join(degree.select("a", F.col("k").alias("ka")), "a").join(degree.select(F.col("a").alias("b"), F.col("k").alias("kb")), "b")
+    up = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    arcs = cut(ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v")), "arcs")
+    wedges = arcs.join(arcs.select("u", F.col("v").alias("w")), "u").filter("v < w")
+    closing = arcs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
+    triangles = wedges.join(closing, ["v", "w"], "left_semi").select(F.explode(F.array("u", "v", "w")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("tri"))
+    # a node that is its own neighbour is linked with each other one
+    held = degree.filter("k >= 2").join(nodes.select(F.col("node_id").alias("a")), "a", "left_semi").join(triangles, "a", "left")
+    tri = F.coalesce("tri", F.lit(0)) + F.col("loop") * (F.col("k") - 1)
+    local = held.select((tri / (F.col("k") * (F.col("k") - 1) / 2)).alias("c"))
     return local.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("clustering"))
 
 
@@ -95,10 +101,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
 def pagerank_stats(ranks: DataFrame) -> DataFrame:
     """Of score: max, min, mean, median, population deviation and the nearest-rank 95th percentile; zeros without nodes."""
-    one = ranks.agg(F.max("score").alias("max"), F.min("score").alias("min"), F.avg("score").alias("avg"), F.percentile("score", F.lit(0.5)).alias("median"), F.stddev_pop("score").alias("std"), F.count(F.lit(1)).alias("n"))
-    placed = ranks.select("score", F.row_number().over(Window.orderBy("score")).alias("r"))
-    p95 = placed.join(F.broadcast(one.select("n"))).filter(F.col("r") == F.greatest(F.lit(1), F.ceil(F.lit(0.95) * F.col("n")))).agg(F.max("score").alias("p95"))
-    return one.join(F.broadcast(p95)).select(*[F.coalesce(c, F.lit(0.0)).alias(f"{c}_score") for c in ("max", "min", "avg", "median", "std", "p95")])
+    one = ranks.agg(F.max("score").alias("max"), F.min("score").alias("min"), F.avg("score").alias("avg"), F.percentile("score", F.lit(0.5)).alias("median"), F.stddev_pop("score").alias("std"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY score)").alias("p95"))
+    return one.select(*[F.coalesce(c, F.lit(0.0)).alias(f"{c}_score") for c in ("max", "min", "avg", "median", "std", "p95")])
 
 
 def top(df: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -134,9 +138,9 @@ def gods_by_connectivity(nodes: DataFrame, edges: DataFrame, share: float = 0.1)
     ends = nodes.select("node_id").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("node_id"))).distinct().join(ends, "node_id", "left").fillna(0, ["connectivity"])
     loops = edges.filter("src = dst").groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("loops"))
     counts = nodes.agg(F.count(F.lit(1)).alias("n"))
-    placed = ends.withColumn("place", F.row_number().over(Window.orderBy(F.desc("connectivity"), F.collate("node_id", "UNICODE"))))
-    kept = placed.join(F.broadcast(counts)).filter(F.col("place") <= F.ceil(F.lit(share) * F.col("n")))
-    return kept.join(loops, "node_id", "left").select("node_id", "connectivity", "place", ((F.col("connectivity") - F.coalesce("loops", F.lit(0))) / F.col("n")).alias("centrality"), F.lit(0.5).alias("influence"))
+    ranked = placed(ends, "place", F.desc("connectivity"), F.collate("node_id", "UNICODE"))
+    kept = ranked.join(F.broadcast(counts)).filter(F.col("place") <= F.ceil(F.lit(share) * F.col("n")))
+    return kept.join(loops, "node_id", "left").select("node_id", "connectivity", F.col("place").cast("int").alias("place"), ((F.col("connectivity") - F.coalesce("loops", F.lit(0))) / F.col("n")).alias("centrality"), F.lit(0.5).alias("influence"))
 
 
 def criticality(in_degree: str = "in_degree") -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranking import first
 
 DELIMITERS = r"[\s,.;:!?()\[\]{}\"'`<>=+*/\\|&^%$#@~-]+"
 
@@ -49,8 +50,8 @@ def top_files(tokens: DataFrame, files: DataFrame, symbols: DataFrame, k: int, a
         near = active.select("path", F.lit(1).cast("long").alias("score"), F.lit("dep-proximity").alias("signal"))
         hits = hits.unionByName(near)
     scored = hits.groupBy("path").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_list("signal")), ",").alias("signals"), F.min(F.when(F.col("signal").startswith("symbol:"), 0).otherwise(1)).alias("phase"))
-    ranked = scored.join(files.select("path", "pos"), "path").withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "phase", "pos")))
-    return ranked.filter(F.col("place") <= k).select("path", "score", "signals", "place")
+    ranked = first(scored.join(files.select("path", "pos"), "path"), k, "place", F.desc("score"), F.col("phase"), F.col("pos"))
+    return ranked.select("path", "score", "signals", "place")
 
 
 def boosted(scored: DataFrame, god_files: DataFrame, god_symbols: DataFrame, symbols: DataFrame, active: DataFrame) -> DataFrame:
@@ -82,10 +83,18 @@ def suffix_matches(mentions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def god_matches(gods: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(label, symbol): equal whatever the case, or one contains the other's text of four letters or more. gods is a short list."""
-    a, b = F.lower(F.col("label")), F.lower(F.col("symbol"))
-    near = (a == b) | (F.length(b) >= 4) & a.contains(b) | (F.length(a) >= 4) & b.contains(a)
-    return symbols.select("symbol").distinct().join(F.broadcast(gods.select("label").distinct()), near).select("label", "symbol")
+    """(label, symbol): equal whatever the case, or one contains the other's text of four letters or more.
+
+    What is contained has its first four letters in the other, so both containments join on those.
+    """
+    a = gods.select("label", F.lower("label").alias("a")).distinct()
+    b = symbols.select("symbol", F.lower("symbol").alias("b")).distinct()
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))).alias("g")
+    start = lambda c: F.substring(c, F.lit(1), F.lit(4)).alias("g")
+    equal = a.join(b, F.col("a") == F.col("b"))
+    inside = a.filter("length(a) >= 4").select("label", "a", grams(F.col("a"))).join(b.filter("length(b) >= 4").select("symbol", "b", start(F.col("b"))), "g").filter("contains(a, b)")
+    around = b.filter("length(b) >= 4").select("symbol", "b", grams(F.col("b"))).join(a.filter("length(a) >= 4").select("label", "a", start(F.col("a"))), "g").filter("contains(b, a)")
+    return equal.select("label", "symbol").unionByName(inside.select("label", "symbol")).unionByName(around.select("label", "symbol")).distinct()
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

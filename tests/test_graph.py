@@ -160,3 +160,40 @@ def test_prioritised_map(spark):
     out = analysis.prioritised_map("src/", areas, hubs)
     assert out.index("Auth") < out.index("login") < out.index("src/")
     assert analysis.prioritised_map("src/", areas.limit(0), hubs.limit(0)) == "src/" and analysis.prioritised_map(" ", areas, hubs) == " "
+
+
+@pytest.mark.parametrize("seed", [6, 7, 8])
+def test_clustering_by_definition(spark, seed):
+    names, pairs = random_graph(seed, 10, 24)
+    near = {v: {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in names}
+    shares = []
+    for v in names:
+        k = len(near[v])
+        if k >= 2:
+            shares.append(sum(b in near[a] for a in near[v] for b in near[v] if a < b) / (k * (k - 1) / 2))
+    got = g.average_clustering(*graph(spark, names, pairs)).first().clustering
+    assert got == pytest.approx(sum(shares) / len(shares))
+
+
+def test_places_over_ranges(spark):
+    from skeinwork.operators.ranking import first, placed
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(40)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, x long").repartition(7)
+    order = {i: n for n, (_, i) in enumerate(sorted((-x, i) for i, x in rows), 1)}
+    got = {r.i: r.place for r in placed(df, "place", df.x.desc(), "i").collect()}
+    assert got == order and placed(df.limit(0), "place", "i").count() == 0
+    assert {r.i: r.place for r in first(df, 9, "place", df.x.desc(), df.i).collect()} == {i: n for i, n in order.items() if n <= 9}
+
+
+def test_gods_and_symbols_by_definition(spark):
+    from skeinwork.operators import retrieval
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aBc") for _ in range(rng.randrange(0, 8)))
+    labels, symbols = {word() for _ in range(25)}, {word() for _ in range(40)}
+    near = lambda a, b: a == b or len(b) >= 4 and b in a or len(a) >= 4 and a in b
+    want = {(x, y) for x in labels for y in symbols if near(x.lower(), y.lower())}
+    make = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    assert {tuple(r) for r in retrieval.god_matches(make(labels, "label"), make(symbols, "symbol")).collect()} == want
