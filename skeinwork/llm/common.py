@@ -232,23 +232,65 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+#: Links that one task joins, 16 bytes each; more are joined in rounds over all tasks.
+TASK_LINKS = 500_000
+
+
+def join_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links, and the smallest node reachable from each."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        x, y = label[i], label[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return nodes, nodes[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b); nodes without edges are left out.
 
-    Each round hooks every node to its smallest neighbour, jumps pointers until every
-    node points at a root, and contracts the edges to roots; the labels met so far are folded through the same map. Tables between
-    rounds are written to the shared folder.
+    Up to TASK_LINKS links are joined in one task. Of more, each round hooks every node to its
+    smallest neighbour, jumps pointers until every node points at a root, and contracts the
+    edges to roots; the labels met so far are folded through the same map. Tables between
+    rounds are written to the shared folder, and go when the next is there.
     """
     spark = edges.sparkSession
-    live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, path = store(df, name)
+        folders.append(path)
+        return out
+
+    def finish(labels: DataFrame) -> DataFrame:
+        out = cut(labels, "labels")
+        for path in folders:
+            delete_folder(spark, path)
+        return out
+
+    live = keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if live.count() <= TASK_LINKS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+            if held:
+                nodes, roots = join_links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "component"])
+
+        return finish(live.repartition(1).mapInArrow(run, "node long, component long"))
     labels = None
     while True:
         both = live.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(live.select(F.col("a").alias("node"), F.col("b").alias("up")))
         parent = both.groupBy("node").agg(F.min("up").alias("up")).select("node", F.least("node", "up").alias("up"))
-        parent = cut(parent, "parents")
+        parent = keep(parent, "parents")
         while True:
             hop = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = cut(parent.join(hop, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "parents")
+            jumped = keep(parent.join(hop, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "parents")
             parent = jumped.select("node", "up")
             if jumped.filter("moved").isEmpty():
                 break
@@ -256,10 +298,10 @@ def components(edges: DataFrame) -> DataFrame:
             labels = parent.select("node", F.col("up").alias("component"))
         else:
             labels = labels.join(parent.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = cut(labels, "labels")
+        labels = keep(labels, "labels")
         a, b = parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         live = live.join(a, "a").join(b, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        live = cut(live, "edges")
+        live = keep(live, "edges")
         free_shuffles(spark)
         if live.isEmpty():
-            return labels
+            return finish(labels)

@@ -59,6 +59,21 @@ def family(seed, n=120):
     return out
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_LINKS", most)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(55)] + [(1000 + i, 1001 + i) for i in range(40)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in up:
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.node: r.component for r in common.components(df).collect()} == up
+    assert common.components(df.limit(0)).count() == 0
+
+
 SMALL = {"LIST_BLOCK": 3, "HUB_SETS": 2, "BLOCK_MASS": 300, "BLOCK_SETS": 3, "SKIP_BLOCK": 2, "SENT_IDS": 0}
 
 
