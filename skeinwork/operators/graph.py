@@ -7,16 +7,32 @@ Loops return to the driver for one number a round and cut lineage in the shared
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, drop
 from .ranking import placed
 
 
+#: Edges of a graph that one task works through in memory; larger ones go in rounds over all tasks.
+TASK_EDGES = 100_000
+
+
+def in_one_task(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """kernel's rows for all of a table that is known to be small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield kernel(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(1).mapInPandas(run, schema)
+
+
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In-, out- and total degree over edge rows, and total over the largest total; isolated nodes have zeros."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
@@ -85,15 +101,42 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out_degree, "src").select("src", "dst", (F.col("k") / F.col("out")).alias("share"))
     weighted = cut(weighted, "pagerank-edges")
-    rank = ids.withColumn("raw", F.lit(1.0 / max(n, 1)))
+    if max(n, weighted.count()) <= TASK_EDGES:
+
+        def rounds(t: pd.DataFrame) -> pd.DataFrame:
+            own, arcs = t[t.share.isna()], t[~t.share.isna()]
+            place = {v: i for i, v in enumerate(own.node_id)}
+            known = arcs.src.isin(place) & arcs.dst.isin(place)
+            a, b = (arcs[c][known].map(place).to_numpy(np.int64) for c in ("src", "dst"))
+            share, raw = arcs.share[known].to_numpy(), np.full(len(own), 1.0 / max(n, 1))
+            for _ in range(iterations):
+                new = base + damping * np.bincount(b, raw[a] * share, len(own))
+                change, raw = np.abs(new - raw).max(initial=0.0), new
+                if tolerance > 0 and change <= tolerance:
+                    break
+            return own[["node_id", "node_pos"]].assign(raw=raw)
+
+        both = ids.select("node_id", "node_pos", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("share"))
+        arcs = weighted.select(F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("long").alias("node_pos"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "share")
+        found = cut(in_one_task(both.unionByName(arcs), rounds, "node_id string, node_pos long, raw double"), "pagerank")
+        drop(weighted)
+        return scaled(found)
+    rank, before = ids.withColumn("raw", F.lit(1.0 / max(n, 1))), None
     for i in range(iterations if n else 0):
         sent = weighted.join(rank.select(F.col("node_id").alias("src"), "raw"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("raw") * F.col("share")).alias("got"))
         step = rank.join(sent, "node_id", "left").select("node_id", "node_pos", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("new"), F.col("raw").alias("old"))
         if tolerance > 0 or (i + 1) % cut_every == 0:
             step = cut(step, "pagerank")
+            drop(before)
+            before = step
         rank = step.select("node_id", "node_pos", F.col("new").alias("raw"))
         if tolerance > 0 and (step.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0] or 0.0) <= tolerance:
             break
+    return scaled(rank)
+
+
+def scaled(rank: DataFrame) -> DataFrame:
+    """(node_id, node_pos, raw, score): raw over the largest raw."""
     top = rank.agg(F.max("raw").alias("top"), F.least(F.min("raw"), F.lit(0.0)).alias("low"))
     span = F.col("top") - F.col("low")
     return rank.join(F.broadcast(top)).select("node_id", "node_pos", "raw", F.when(span > 0, (F.col("raw") - F.col("low")) / span).otherwise(0.0).alias("score"))
@@ -157,14 +200,33 @@ def min_labels(edges: DataFrame) -> DataFrame:
     A round takes the least label among neighbours and then jumps to that label's own label.
     """
     near = cut(undirected(edges), "undirected")
-    labels = cut(near.groupBy(F.col("a").alias("node_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
+    if near.count() <= 2 * TASK_EDGES:
+
+        def join(t: pd.DataFrame) -> pd.DataFrame:
+            names, ends = np.unique(np.concatenate([t.a.to_numpy(str), t.b.to_numpy(str)]), return_inverse=True)
+            a, b, label = ends[: len(t)], ends[len(t) :], np.arange(len(names))
+            while len(a):
+                x, y = label[a], label[b]
+                apart = x != y
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                while not np.array_equal(up := label[label], label):
+                    label = up
+            return pd.DataFrame({"node_id": names, "component": names[label]})
+
+        found = cut(in_one_task(near, join, "node_id string, component string"), "labels")
+        drop(near)
+        return found
+    labels = held = cut(near.groupBy(F.col("a").alias("node_id")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
     while True:
         least = near.join(labels.select(F.col("node_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("component").alias("seen"))
         hooked = labels.join(least, "node_id").select("node_id", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
         jump = hooked.select(F.col("node_id").alias("component"), F.col("component").alias("further"))
         new = cut(hooked.join(jump, "component", "left").select("node_id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        labels = new.select("node_id", "component")
+        drop(held)
+        labels, held = new.select("node_id", "component"), new
         if new.filter("component < old").isEmpty():
+            drop(near)
             return labels
 
 
@@ -346,6 +408,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     own node backward within the colour is that node's component and leaves the graph.
     """
     live = cut(edges.select("src", "dst").distinct(), "scc-edges")
+    if live.count() <= TASK_EDGES:
+        found = cut(in_one_task(live, strong_in_memory, "node_id string, scc string"), "scc")
+        drop(live)
+        return found
     todo = cut(live.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), "scc-nodes")
     done: DataFrame | None = None
     while not todo.isEmpty():
@@ -357,24 +423,68 @@ def strong_components(edges: DataFrame) -> DataFrame:
         front = reached
         while True:
             step = inner.join(front.select(F.col("node_id").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select(F.col("src").alias("node_id"), F.col("c").alias("colour")).distinct()
+            old = front, reached
             front = cut(step.join(reached, ["node_id", "colour"], "left_anti"), "scc-front")
             if front.isEmpty():
+                drop(front)
                 break
             reached = cut(reached.unionByName(front), "scc-reached")
+            drop(*old)
         done = reached if done is None else done.unionByName(reached)
+        before = todo, live, inner
         todo = cut(todo.join(reached, "node_id", "left_anti"), "scc-nodes")
         live = cut(live.join(todo.select(F.col("node_id").alias("src")), "src", "left_semi").join(todo.select(F.col("node_id").alias("dst")), "dst", "left_semi"), "scc-edges")
+        drop(*before)
     if done is None:
         return todo.select("node_id", F.col("node_id").alias("scc"))
     least = done.groupBy("colour").agg(F.min("node_id").alias("scc"))
     return done.join(least, "colour").select("node_id", "scc")
 
 
+def strong_in_memory(t: pd.DataFrame) -> pd.DataFrame:
+    """Strong components of edges (src, dst) by one depth-first search, without recursion; each by its least member."""
+    out_of: dict[str, list[str]] = {}
+    for a, b in t[["src", "dst"]].itertuples(index=False, name=None):
+        out_of.setdefault(a, []).append(b)
+        out_of.setdefault(b, [])
+    number, low, path, on_path, rows = {}, {}, [], set(), []
+    for root in out_of:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        path.append(root), on_path.add(root)
+        stack = [(root, iter(out_of[root]))]
+        while stack:
+            v, rest = stack[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    path.append(w), on_path.add(w)
+                    stack.append((w, iter(out_of[w])))
+                    break
+                if w in on_path:
+                    low[v] = min(low[v], number[w])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[v])
+                if low[v] == number[v]:
+                    at = next(i for i in range(len(path) - 1, -1, -1) if path[i] == v)
+                    group = path[at:]
+                    del path[at:]
+                    on_path.difference_update(group)
+                    least = min(group)
+                    rows += [(x, least) for x in group]
+    return pd.DataFrame(rows, columns=["node_id", "scc"])
+
+
 def _fixpoint(colour: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    held = None
     while True:
         got = edges.join(colour.select(F.col("node_id").alias(source), "colour"), source).groupBy(F.col(target).alias("node_id")).agg(F.max("colour").alias("seen"))
         new = cut(colour.join(got, "node_id", "left").select("node_id", F.greatest("colour", F.coalesce("seen", "colour")).alias("colour"), (F.col("seen") > F.col("colour")).alias("moved")), "scc-colour")
-        colour = new.select("node_id", "colour")
+        drop(held)
+        colour, held = new.select("node_id", "colour"), new
         if new.filter("moved").isEmpty():
             return colour
 

@@ -32,4 +32,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what cut() wrote for these; nothing that is still read may depend on them."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None) if df is not None else None:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -16,7 +16,14 @@ APP_EDGES = [tuple(x.split(">")) for x in "auth>db auth>config auth>logger auth>
 RAW = {"auth": 0.034488, "user": 0.022734, "db": 0.054687, "config": 0.088301, "cache": 0.026079, "logger": 0.035376, "api": 0.018750, "email": 0.018750}
 
 
-def test_pagerank_of_an_application(spark):
+@pytest.fixture(params=["one task", "rounds"])
+def way(request, monkeypatch):
+    """Small graphs in one task, and the same graphs as large ones go."""
+    if request.param == "rounds":
+        monkeypatch.setattr(g, "TASK_EDGES", -1)
+
+
+def test_pagerank_of_an_application(spark, way):
     rows = g.pagerank(*graph(spark, APP, APP_EDGES)).collect()
     assert {r.node_id: round(r.raw, 6) for r in rows} == pytest.approx(RAW, abs=1e-6)
     assert max(r.score for r in rows) == 1.0
@@ -31,7 +38,7 @@ def test_degrees_of_a_line_and_of_nothing(spark):
     assert (none.max_in, none.avg_in, none.median_in) == (0, 0.0, None)
 
 
-def test_two_triangles(spark):
+def test_two_triangles(spark, way):
     pairs = [("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("a3", "b1")]
     nodes, edges = graph(spark, ["a1", "a2", "a3", "b1", "b2", "b3"], pairs)
     groups = {}
@@ -52,7 +59,7 @@ def test_cycles(spark, pairs, lengths, severities):
     assert ([r.length for r in rows], [r.severity for r in rows]) == (lengths, severities)
 
 
-def test_strong_components_against_reachability(spark):
+def test_strong_components_against_reachability(spark, way):
     rng = random.Random(5)
     names = [f"v{i}" for i in range(12)]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(22)]
@@ -197,3 +204,22 @@ def test_gods_and_symbols_by_definition(spark):
     want = {(x, y) for x in labels for y in symbols if near(x.lower(), y.lower())}
     make = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
     assert {tuple(r) for r in retrieval.god_matches(make(labels, "label"), make(symbols, "symbol")).collect()} == want
+
+
+def test_pagerank_both_ways(spark, monkeypatch):
+    names, pairs = random_graph(9, 20, 60)
+    nodes, edges = graph(spark, names, [*pairs, (names[0], "nowhere"), ("elsewhere", names[1])])
+    look = lambda: {r.node_id: (r.raw, r.score) for r in g.pagerank(nodes, edges, iterations=7, tolerance=0).collect()}
+    one = look()
+    monkeypatch.setattr(g, "TASK_EDGES", -1)
+    assert {k: pytest.approx(v) for k, v in look().items()} == one
+    assert g.pagerank(nodes.limit(0), edges).count() == 0
+
+
+def test_weak_components_both_ways(spark, monkeypatch):
+    names, pairs = random_graph(10, 40, 28)
+    nodes, edges = graph(spark, names, pairs)
+    look = lambda: {tuple(r) for r in g.connected_components(nodes, edges).collect()}
+    one = look()
+    monkeypatch.setattr(g, "TASK_EDGES", -1)
+    assert look() == one
