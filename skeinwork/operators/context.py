@@ -91,3 +91,22 @@ def token_metrics(gods: Column, nodes: Column, active: Column, communities: Colu
 
 def throughput(nodes: Column, ms: Column) -> Column:
     return F.when(ms > 0, F.floor(nodes / ms + 0.5)).otherwise(0).cast("long")
+
+
+#: Parts of what a turn injects, whose tokens are added up.
+INJECTED = ("repo_map", "dep_context", "context_files", "guidance", "graph_insights", "intelligence", "smart_dep_context")
+
+
+def injection_total() -> Column:
+    """The tokens of all parts of a row; parts that are missing count nothing."""
+    total = F.lit(0).cast("long")
+    for name in INJECTED:
+        total = total + F.coalesce(F.col(name), F.lit(0))
+    return total
+
+
+def distinct_counts(found: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: nodes on surprising edges (src, dst), such edges, and communities."""
+    nodes = found.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v").alias("surprise_nodes"))
+    edges = found.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("surprises"))
+    return nodes.join(F.broadcast(edges)).join(F.broadcast(membership.agg(F.count_distinct("community").alias("communities"))))

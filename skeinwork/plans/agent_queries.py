@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import paths as p
 from ..functions import text as x
-from ..operators import agent, analysis, context, graph, lines, messages, navigation, retrieval, telemetry
+from ..operators import agent, analysis, graph, lifecycle, lines, messages, navigation, retrieval
+from ..sources import parsers, store
 from ..sources import tables as v
+from ..streaming import stream as st
 from .graph_queries import TRADE
 from .index_queries import DEPS, FILES, NAMES as NAME_HITS, dependencies, tokens
 
@@ -471,3 +473,128 @@ def _(spark, d):
 def _(spark, d):
     files = v.part_files(spark, d)
     return analysis.explained(retrieval.top_files(tokens(spark), files, v.part_symbols(spark, d), files.count()))
+
+
+def scratch(spark, name):
+    return f"{storage.shared_root(spark)}/{name}-{storage.uuid.uuid4().hex[:12]}"
+
+
+KINDS = "WITH s AS (SELECT p_partkey AS k, p_size, 'src/f' || p_partkey || list_extract(['.ts', '.py', '.rs', '.txt'], (p_partkey % 4 + 1)::INTEGER) AS path FROM part)\n"
+TEXTS = [
+    "import { x } from './y{}';\nexport function f{}(a: number): string {\n  return 'a'\n}\nclass B{} {\n}\n",
+    "from .q{} import w\nimport os\ndef f{}(a, b=1):\n    return a\n\nclass B{}:\n    def m(self):\n        pass\n",
+    "mod q{};\nuse crate::a::b;\nuse std::io;\npub fn f{}(x: i32) -> i32 {\n  x\n}\npub struct B{} {\n  a: i32,\n}\n",
+    "nothing {}",
+]
+
+
+def sources(spark, d):
+    path = F.concat(F.lit("src/f"), "p_partkey", pick("p_partkey", [".ts", ".py", ".rs", ".txt"]))
+    return parts(spark, d).select(path.alias("path"), F.replace(pick("p_partkey", TEXTS), F.lit("{}"), F.col("p_partkey").cast("string")).alias("content"))
+
+
+def indexed(spark, d, ext):
+    return parsers.parse_files(sources(spark, d)).filter(F.col("path").endswith(ext)).select("path", "language", "skeleton", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), "content_hash")
+
+
+def parsed_sql(k: int, language: str, skeleton: str, imports: str, exports: str) -> str:
+    lit = lambda t: "'" + t.replace("'", "''").replace("{}", "' || k || '") + "'"
+    return KINDS + f"SELECT path, '{language}' AS language, {lit(skeleton)} AS skeleton, {lit(imports)} AS imports, {lit(exports)} AS exports, sha256({lit(TEXTS[k])}) AS content_hash FROM s WHERE k % 4 = {k}"
+
+
+@query("p01_typescript", parsed_sql(0, "typescript", "export function f{}(a: number): string { ... }\nclass B{} { ... }", "./y{}", "f{},B{}"))
+def _(spark, d):
+    return indexed(spark, d, ".ts")
+
+
+@query("p02_python", parsed_sql(1, "python", "def f{}(a, b=1): ...\nclass B{}:\n    def m(self): ...", ".q{}", "f{},B{}"))
+def _(spark, d):
+    return indexed(spark, d, ".py")
+
+
+@query("p03_rust", parsed_sql(2, "rust", "pub fn f{}(x: i32) -> i32 { ... }\npub struct B{} { ... }", "mod:q{},crate::a::b", "f{},B{},q{}"))
+def _(spark, d):
+    return indexed(spark, d, ".rs")
+
+
+@query("p05_parsers", KINDS + "SELECT path FROM s WHERE k % 4 < 3")
+def _(spark, d):
+    return parsers.parse_files(sources(spark, d)).select("path")
+
+
+@query("s05_incremental", KINDS + "SELECT path, CASE WHEN p_size % 3 = 0 THEN 'kept' ELSE 'parsed' END AS came FROM s WHERE k % 4 < 3")
+def _(spark, d):
+    files = sources(spark, d)
+    same = parts(spark, d).filter("p_size % 3 = 0").select(F.concat(F.lit("src/f"), "p_partkey", pick("p_partkey", [".ts", ".py", ".rs", ".txt"])).alias("path"))
+    first = parsers.parse_files(files)
+    hashes = F.when(F.col("own"), F.col("content_hash")).otherwise(F.lit("other"))
+    cached = first.join(same.withColumn("own", F.lit(True)), "path", "left").fillna(False, ["own"]).select("path", F.lit("OLD").alias("skeleton"), "imports", "exports", hashes.alias("content_hash"))
+    return parsers.parse_files(files, cached).select("path", F.when(F.col("skeleton") == "OLD", "kept").otherwise("parsed").alias("came"))
+
+
+@query("s01_scan", "SELECT 'k=' || p_size || '/' AS folder, count(*) AS n FROM part WHERE p_size % 5 <> 0 AND p_size < 40 GROUP BY 1")
+def _(spark, d):
+    """A tree of source files is scanned: two extensions of three, without ignored folders."""
+    root = scratch(spark, "tree")
+    lines_of = parts(spark, d).select(F.concat(F.when(F.col("p_size") % 5 == 0, "node_modules").otherwise(F.concat(F.lit("k="), "p_size"))).alias("at"), F.col("p_name").alias("value"), "p_size")
+    for keep, end in (("p_size < 20", "ts"), ("p_size >= 20 AND p_size < 40", "py"), ("p_size >= 40", "txt")):
+        own = lines_of.filter(keep).select("value", "at")
+        own.repartition("at").write.partitionBy("at").mode("append").option("compression", "none").format("text").save(f"{root}/{end}")
+    found = None
+    for end in ("ts", "py", "txt"):
+        one = store.scan(spark, f"{root}/{end}", ["txt"], ignored=("at=node_modules",)).withColumn("kind", F.lit(end))
+        found = one if found is None else found.unionByName(one)
+    out = found.filter("kind <> 'txt'").select(F.concat(F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "at=([^/]*)/", 1), F.lit("/")).alias("folder"), F.size(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("n"))
+    return storage.cut(out.groupBy("folder").agg(F.sum("n").alias("n")), "scanned")
+
+
+@query("s06_store", FILES + "SELECT path, pos, 'none' AS added FROM f")
+def _(spark, d):
+    at = scratch(spark, "store")
+    store.save({"files": v.part_files(spark, d).select("path", "pos")}, at, project="x")
+    return store.load(spark, at, {"files": {"added": "none", "pos": 0}})["files"]
+
+
+@query("s10_recent_sessions", "SELECT o_orderkey::VARCHAR AS session_id, (o_custkey % 7)::BIGINT AS dep_context_triggers FROM orders ORDER BY o_orderkey DESC LIMIT 25")
+def _(spark, d):
+    at = scratch(spark, "sessions")
+    o = v.table(spark, d, "orders")
+    good = o.select("o_orderkey", F.lit(0).alias("j"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("session_id"), (F.col("o_custkey") % 7).alias("dep_context_triggers"))).alias("value"))
+    broken = o.select("o_orderkey", F.lit(1).alias("j"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise('{"session_id": "x').alias("value"))
+    good.unionByName(broken).orderBy("o_orderkey", "j").select("value").coalesce(1).write.text(at)
+    return store.recent_sessions(spark, at, 25).select("session_id", "dep_context_triggers")
+
+
+@query("z09_appended", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def _(spark, d):
+    out = lifecycle.appended(st.events_stream(spark, d).select("event_id", "event_type"), scratch(spark, "log"))
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("z02_rebuilt", "SELECT event_type, max(event_id) AS last FROM events GROUP BY 1")
+def _(spark, d):
+    return lifecycle.rebuilt(st.events_stream(spark, d), scratch(spark, "index"), lambda rows: rows.groupBy("event_type").agg(F.max("event_id").alias("last")))
+
+
+@query("k01_index_lifecycle", "SELECT unnest(['fresh', 'cache', 'fresh']) AS came, unnest([1, 2, 3]) AS run, (SELECT count(*) FROM part WHERE p_partkey % 4 < 3) - unnest([0, 0, 1]) AS files")
+def _(spark, d):
+    root, files = scratch(spark, "indexes"), sources(spark, d)
+    out = None
+    for run, own in enumerate((files, files.orderBy("content"), files.filter("path <> 'src/f0.ts'")), 1):
+        came, found = lifecycle.index(spark, own, root)
+        one = found.agg(F.count(F.lit(1)).alias("files")).select(F.lit(came).alias("came"), F.lit(run).alias("run"), "files")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("h06_diffs", "SELECT p_partkey AS id, ' 1 a' || chr(10) || ' 2 b' || chr(10) || '-3 ' || p_name || chr(10) || '+3 X' || chr(10) || ' 4 d' AS diff FROM part")
+def _(spark, d):
+    return lifecycle.diffs(parts(spark, d).select(F.col("p_partkey").alias("id"), F.concat(F.lit("a\nb\n"), "p_name", F.lit("\nd")).alias("before"), F.lit("a\nb\nX\nd").alias("after")))
+
+
+@query("h10_edited_files", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN chr(65279) || p_name || chr(13) || chr(10) || 'new' || chr(13) || chr(10) || 'z' WHEN 1 THEN p_name || chr(10) || 'y' WHEN 2 THEN 'new' END AS text, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 END::BIGINT AS first_changed, p_size % 4 IN (0, 2) AS written, CASE p_size % 4 WHEN 3 THEN 'only append and prepend make a file' END AS problem FROM part")
+def _(spark, d):
+    k = F.col("p_size") % 4
+    text = F.when(k == 0, F.concat(F.lit("\ufeff"), "p_name", F.lit("\r\ny\r\nz"))).when(k == 1, F.concat("p_name", F.lit("\ny")))
+    edit = F.struct(F.when(k == 2, "append").otherwise("replace").alias("op"), F.when(k != 2, F.lit(2)).cast("long").alias("line"), F.lit(None).cast("long").alias("end"), F.array(F.lit("new")).alias("lines"))
+    return lifecycle.edited_files(parts(spark, d).select(F.col("p_partkey").alias("id"), text.alias("text"), F.array(edit).alias("edits"), (k == 1).alias("dry_run")))

@@ -163,9 +163,22 @@ def _(spark, d):
     return e.select("user_id", "event_id", c.trigger(flags).alias("trigger"))
 
 
-@query("k09_cycle_warning", "SELECT 'general' AS warning, NULL::BIGINT AS root_pos, NULL::BIGINT AS found")
+CYCLED = """WITH c AS (SELECT p_partkey AS k, p_size % 3 AS kind FROM part)
+SELECT k, CASE kind WHEN 0 THEN 'focus' WHEN 1 THEN 'general' ELSE 'none' END AS warning FROM c WHERE k < 6"""
+
+
+@query("k09_cycle_warning", CYCLED)
 def _(spark, d):
-    return c.cycle_warning(g.cycles(*v.trade(spark, d)), spark.createDataFrame([("none",)], "node_id string"))
+    """Of the first parts: a cycle in focus, one elsewhere, or none."""
+    out = None
+    for r in v.table(spark, d, "part").filter("p_partkey < 6").select("p_partkey", "p_size").collect():
+        names = ["a", "b"] if r.p_size % 3 < 2 else []
+        nodes = spark.createDataFrame([(n, i) for i, n in enumerate("abx")], "node_id string, node_pos long")
+        edges = spark.createDataFrame([("a", "b", 0)] + [("b", "a", 1)] * (len(names) > 0), "src string, dst string, edge_pos long")
+        focus = spark.createDataFrame([("b" if r.p_size % 3 == 0 else "x",)], "node_id string")
+        one = c.cycle_warning(g.cycles(nodes, edges), focus).select(F.lit(r.p_partkey).cast("long").alias("k"), "warning")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("a13_token_metrics", TRADE + "SELECT round((SELECT count(*) FROM degrees WHERE in_degree >= 3) / 25, 6) AS coverage, round(2 / 5, 6) AS active_ratio, 3 * 50 * 80 AS savings, round(25 / 4 + 0.0001)::BIGINT AS throughput")
@@ -175,14 +188,19 @@ def _(spark, d):
     return one.select(t.alias("t"), c.throughput(F.lit(25), F.lit(4)).alias("throughput")).select(F.round("t.coverage", 6).alias("coverage"), F.round("t.active_ratio", 6).alias("active_ratio"), "t.savings", "throughput")
 
 
-@query("a21_injection_total", "SELECT o_orderkey, o_custkey % 7 + o_custkey % 5 + o_orderkey % 3 AS total FROM orders")
+@query("a21_injection_total", "SELECT o_orderkey, o_custkey % 7 + o_custkey % 5 + o_orderkey % 3 + o_orderkey % 11 + o_custkey % 13 + CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 0 END + o_orderkey % 17 AS total FROM orders")
 def _(spark, d):
-    return v.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 7 + F.col("o_custkey") % 5 + F.col("o_orderkey") % 3).alias("total"))
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    values = [k % 7, k % 5, o % 3, o % 11, k % 13, F.when(o % 2 == 0, 4), o % 17]
+    log = v.table(spark, d, "orders").select("o_orderkey", *[x.alias(n) for n, x in zip(c.INJECTED, values, strict=True)])
+    return log.select("o_orderkey", c.injection_total().alias("total"))
 
 
-@query("a23_distinct_counts", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS kinds FROM events")
+@query("a23_distinct_counts", TRADE + ", sur AS (SELECT DISTINCT src, dst FROM edges JOIN member a ON a.node_id = src JOIN member b ON b.node_id = dst WHERE a.community <> b.community), ends AS (SELECT src AS v FROM sur UNION SELECT dst FROM sur) SELECT (SELECT count(*) FROM ends) AS surprise_nodes, (SELECT count(*) FROM sur) AS surprises, (SELECT count(DISTINCT community) FROM member) AS communities")
 def _(spark, d):
-    return v.table(spark, d, "events").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_type").alias("kinds"))
+    edges = v.trade(spark, d)[1]
+    found = g.surprises(edges, v.regions(spark, d)).filter("reason = 'cross-community'")
+    return c.distinct_counts(found, v.regions(spark, d))
 
 
 @query("j19_link_paths", "SELECT count(*) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS path FROM pages)")
