@@ -35,6 +35,9 @@ def line_hash(line_no: int, text: str) -> str:
 
 
 def line_hash_column(line_no: Column, text: Column) -> Column:
+    """line_hash of every row. Spark has no xxHash32 and no seed that varies by row, so lines go to Python in Arrow
+    batches; the hash itself is C."""
+
     @F.pandas_udf("string")
     def run(n: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else line_hash(int(x), y) for x, y in zip(n, t, strict=True)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import paths as p
 from ..functions import text as x
-from ..operators import agent, analysis, graph, lifecycle, lines, messages, navigation, retrieval
+from ..operators import agent, analysis, graph, lifecycle, lines, messages, navigation, reports, retrieval
 from ..sources import parsers, store
 from ..sources import tables as v
 from ..streaming import stream as st
@@ -598,3 +598,61 @@ def _(spark, d):
     text = F.when(k == 0, F.concat(F.lit("\ufeff"), "p_name", F.lit("\r\ny\r\nz"))).when(k == 1, F.concat("p_name", F.lit("\ny")))
     edit = F.struct(F.when(k == 2, "append").otherwise("replace").alias("op"), F.when(k != 2, F.lit(2)).cast("long").alias("line"), F.lit(None).cast("long").alias("end"), F.array(F.lit("new")).alias("lines"))
     return lifecycle.edited_files(parts(spark, d).select(F.col("p_partkey").alias("id"), text.alias("text"), F.array(edit).alias("edits"), (k == 1).alias("dry_run")))
+
+
+@query("f20_quality_lines", "SELECT o_orderkey, 'Graph quality ' || o_orderkey % 101 || '/100' || CASE WHEN o_custkey % 4 > 1 THEN ' · ' || o_custkey % 4 || ' communities' ELSE '' END || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' · 1 god node' ELSE ' · 2 god nodes' END || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' · 1 cycle' ELSE ' · 2 cycles' END || CASE WHEN o_orderstatus = 'F' THEN ' · (from cache)' ELSE ' · — ' || o_custkey || 'ms' END || CASE WHEN o_custkey % 3 > 0 OR o_orderkey % 101 < 70 THEN ' · — run /scope graph' ELSE '' END AS line FROM orders")
+def _(spark, d):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return v.table(spark, d, "orders").select("o_orderkey", reports.quality_line(o % 101, c % 4, o % 3, c % 3, F.col("o_orderstatus") == "F", c).alias("line"))
+
+
+@query("f20_status_lines", "SELECT o_orderkey, concat_ws(' | ', CASE WHEN o_custkey % 2 = 1 THEN '1 files' END, 'map ~' || (o_orderkey + 1) || 't', CASE WHEN o_custkey % 3 = 2 THEN '2 comm' END, CASE WHEN o_orderkey % 2 = 0 THEN 'Q' || o_custkey % 2 END, CASE WHEN o_custkey % 3 > 0 THEN '🛡 ' || o_custkey % 3 END) AS line FROM orders")
+def _(spark, d):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    row = v.table(spark, d, "orders").select("o_orderkey", (c % 2).alias("files"), (o + 1).alias("map_tokens"), F.lit(0).alias("injections"), F.lit(0).alias("context_files"), F.lit(None).cast("int").alias("guidance"), (c % 3).alias("communities"), F.when(o % 2 == 0, c % 2).alias("quality"), F.lit(0).alias("saved"), (c % 3).alias("steered"))
+    return row.select("o_orderkey", reports.status_line().alias("line"))
+
+
+@query("k21_staleness_notices", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '✅ Fresh (' || p_type || ')' WHEN 1 THEN '⚠️ Index may be stale:' || chr(10) || '  • ' || p_name ELSE '🔴 Index may be stale:' || chr(10) || '  • ' || p_name || chr(10) || '  • old' END AS notice FROM part")
+def _(spark, d):
+    k = F.col("p_size") % 3
+    reasons = F.when(k == 2, F.array(F.col("p_name"), F.lit("old"))).otherwise(F.array(F.col("p_name")))
+    return parts(spark, d).select("p_partkey", reports.staleness_notice(k > 0, F.when(k == 1, "warning").otherwise("critical"), reasons, F.col("p_type")).alias("notice"))
+
+
+@query("k21_build_notices", "SELECT p_partkey, 'Build completed in ' || p_size || 'ms' || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Git: ' || substr(md5(p_name), 1, 7) || CASE WHEN p_size % 4 = 0 THEN ' (main)' ELSE '' END ELSE '' END || CASE WHEN p_size % 3 = 0 THEN chr(10) || 'Languages:' || chr(10) || '  rust: ' || p_size || ' files, 2 symbols, 3 edges' ELSE '' END AS notice FROM part")
+def _(spark, d):
+    k = F.col("p_size")
+    one = F.struct(F.lit("rust").alias("language"), k.alias("files"), F.lit(2).alias("symbols"), F.lit(3).alias("edges"))
+    languages = F.when(k % 3 == 0, F.array(one)).otherwise(F.filter(F.array(one), lambda v: F.lit(False)))
+    return parts(spark, d).select("p_partkey", reports.build_notice(k, F.when(k % 2 == 0, F.md5(F.col("p_name").cast("binary"))), F.when(k % 4 == 0, "main"), languages).alias("notice"))
+
+
+@query("k21_compiler_guidance", "WITH e AS (SELECT user_id AS conv_id, event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT conv_id, '🔧 COMPILER ERRORS → LSP:' || chr(10) || 'Recent build/test output references these locations. Prefer `lsp_hover` for type context and `lsp_go_to_definition` before patching.' || chr(10) || string_agg('- `a.ts` → `lsp_hover` with `line: ' || line || '`, `column: 0`', chr(10) ORDER BY i) || CASE WHEN any_value(n) > 6 THEN chr(10) || '- ... and ' || (any_value(n) - 6) || ' more error site(s)' ELSE '' END AS text FROM e WHERE i <= 6 GROUP BY conv_id")
+def _(spark, d):
+    return reports.compiler_guidance(v.table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.lit("a.ts").alias("path"), F.col("event_id").alias("line"), F.lit(0).alias("col")))
+
+
+@query("f20_god_sections", "WITH g AS (SELECT p_brand AS graph, p_partkey AS k, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT graph, '**God Nodes (most depended-on symbols):**' || chr(10) || string_agg('  - `' || p_name || '` (' || p_size || ' in, 1 out, ' || CASE WHEN p_size > 20 THEN 'CRITICAL' WHEN p_size > 10 THEN 'IMPORTANT' ELSE 'NORMAL' END || ')', chr(10) ORDER BY i) || CASE WHEN any_value(n) > 5 THEN chr(10) || '  - ... and ' || (any_value(n) - 5) || ' more' ELSE '' END AS text FROM g WHERE i <= 5 GROUP BY graph")
+def _(spark, d):
+    gods = parts(spark, d).select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node_pos"), F.col("p_name").alias("label"), F.col("p_size").alias("in_degree"), F.lit(1).alias("out_degree"))
+    return reports.god_section(gods.withColumn("criticality", graph.criticality()))
+
+
+@query("f20_surprise_sections", TRADE + ", s AS (SELECT src, dst, min(edge_pos) AS pos FROM edges JOIN member a ON a.node_id = src JOIN member b ON b.node_id = dst WHERE a.community <> b.community GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY pos) AS i, count(*) OVER () AS n FROM s) SELECT 'trade' AS graph, '**Notable connections:**' || chr(10) || string_agg('  - `' || src || '` → `' || dst || '` (cross-community)', chr(10) ORDER BY i) || CASE WHEN any_value(n) > 5 THEN chr(10) || '  - ... and ' || (any_value(n) - 5) || ' more' ELSE '' END AS text FROM r WHERE i <= 5")
+def _(spark, d):
+    edges = v.trade(spark, d)[1]
+    at = edges.groupBy("src", "dst").agg(F.min("edge_pos").alias("pos"))
+    found = graph.surprises(edges, v.regions(spark, d)).filter("reason = 'cross-community'").select("src", "dst", "reason").distinct()
+    return reports.surprise_section(found.join(at, ["src", "dst"]).withColumn("graph", F.lit("trade")))
+
+
+@query("k21_context_sections", "SELECT p_size AS turn, chr(10) || chr(10) || '# Rules' || chr(10) || chr(10) || 'Additional project instructions and guidelines:' || chr(10) || chr(10) || string_agg('## ' || p_brand || chr(10) || chr(10) || p_name, chr(10) || chr(10) ORDER BY p_partkey) || chr(10) AS text FROM part GROUP BY 1")
+def _(spark, d):
+    return reports.context_section(parts(spark, d).select(F.col("p_size").alias("turn"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("path"), F.col("p_name").alias("content")), "Rules")
+
+
+@query("k21_startup_notices", "SELECT p_size AS turn, '[context-files] ' || count(*) || ' file(s) loaded for \"Rules\":' || chr(10) || string_agg('  ' || CASE WHEN p_partkey % 2 = 0 THEN 'd/' || p_name ELSE '/x/' || p_name END, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY 1")
+def _(spark, d):
+    path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/w/r/d/").otherwise("/x/"), "p_name")
+    return reports.startup_notice(parts(spark, d).select(F.col("p_size").alias("turn"), F.col("p_partkey").alias("pos"), path.alias("path")), "Rules", F.lit("/w/r/"))

@@ -223,3 +223,13 @@ def test_weak_components_both_ways(spark, monkeypatch):
     one = look()
     monkeypatch.setattr(g, "TASK_EDGES", -1)
     assert look() == one
+
+
+def test_cycle_report(spark):
+    from skeinwork.operators import reports
+
+    nodes, edges = graph(spark, "abcd", [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")])
+    text = reports.cycle_report(g.cycles(nodes, edges), g.strong_components(edges)).first().report
+    assert text == "Cycle Detection Report\n" + "=" * 40 + "\nHas Cycles: YES\nTotal Cycles: 2\nNodes in Cycles: 4\nStrongly Connected Components: 2\n\nTop Cycles:\n  1. [CRITICAL] Length 2: a → b\n  2. [CRITICAL] Length 2: c → d"
+    none = edges.limit(0)
+    assert "Has Cycles: NO\nTotal Cycles: 0" in reports.cycle_report(g.cycles(nodes, none), g.strong_components(none)).first().report
