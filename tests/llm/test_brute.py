@@ -60,7 +60,7 @@ def family(seed, n=120):
 
 
 @pytest.mark.parametrize("most", [0, 500_000])
-def test_components(spark, monkeypatch, most):
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, most):
     monkeypatch.setattr(common, "TASK_LINKS", most)
     rng = random.Random(4)
     pairs = [(rng.randrange(-50, 50), rng.randrange(-50, 50)) for _ in range(55)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -358,15 +358,6 @@ def test_network_learns_a_word():
     assert ((scores >= 0.5) == np.array(y[300:])).mean() > 0.95
 
 
-def test_sample_goes_on_after_a_long_text(spark, monkeypatch):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
-    texts = lambda long: spark.createDataFrame([(i, "en", f"id{i} " + "word " * (500 if i == long else 1)) for i in range(30)], "doc_id long, lang string, text string")
-    whole = [t.split()[0] for _, t, _ in toxicity.sample(texts(None), labels)]
-    assert len(whole) > 10
-    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 200)
-    assert [t.split()[0] for _, t, _ in toxicity.sample(texts(int(whole[0][2:])), labels)] == whole[1:]
-
-
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
