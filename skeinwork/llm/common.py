@@ -128,7 +128,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Places in a span whose byte values have a code of their own in a table; further ones are computed.
 TABLE_PLACES = 64
-PLACE_CODE = _RNG.integers(0, 2**64, TABLE_PLACES * 256, dtype=np.uint64)
+PLACE_CODE = _RNG.integers(0, 2**64, (2, TABLE_PLACES * 256), dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -164,32 +164,36 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums), inverse=True)[start] + (end - start).astype(np.uint64))
 
 
-def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """The hash of every span [start, end) of bytes; spans may be empty. Lanes are independent hashes."""
+def bytes_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of every span [start, end) of bytes; spans may be empty."""
+    return bytes_hashes(raw, start, end, 1)[0]
+
+
+def bytes_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """Independent hashes of every span, one a lane."""
     size = (end - start).astype(np.int64)
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    if total > 2 * SLAB_BYTES and len(ends) > 1:
-        groups = np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // SLAB_BYTES)) + 1)
-        return np.concatenate([bytes_hash(raw, start[g], end[g], lane) for g in groups]) if len(groups) > 1 else _bytes_hash(raw, start, size, ends, total, lane)
-    return _bytes_hash(raw, start, size, ends, total, lane)
-
-
-def _bytes_hash(raw: np.ndarray, start: np.ndarray, size: np.ndarray, ends: np.ndarray, total: int, lane: int) -> np.ndarray:
+    if total > 2 * SLAB_BYTES and len(cuts := np.flatnonzero(np.diff(ends // SLAB_BYTES))):
+        edges = [0, *(cuts + 1).tolist(), len(ends)]
+        parts = [bytes_hashes(raw, start[i:j], end[i:j], lanes) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
     place = np.arange(total, dtype=np.int64) - np.repeat(ends - size, size)
     cell = np.repeat(start.astype(np.int64), size)
     cell += place
     cell = raw[cell] + (place << 8)
     far = np.flatnonzero(place >= TABLE_PLACES)
-    beyond = mix(cell[far].astype(np.uint64) * BASE)
+    del place
+    beyond = cell[far].astype(np.uint64)
     cell[far] = 0
-    code = PLACE_CODE[cell]
-    code[far] = beyond
-    if lane:
-        code = mix(code + np.uint64(lane) * BASE)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(code, out=sums[1:])
-    return mix((sums[ends] - sums[ends - size]) + size.astype(np.uint64) * BASE)
+    out = []
+    for lane in range(lanes):
+        code = PLACE_CODE[lane][cell]
+        code[far] = mix((beyond + np.uint64(lane << 40)) * BASE)
+        sums = np.zeros(total + 1, np.uint64)
+        np.cumsum(code, out=sums[1:])
+        out.append(mix((sums[ends] - sums[ends - size]) + size.astype(np.uint64) * BASE))
+    return out
 
 
 def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

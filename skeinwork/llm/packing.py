@@ -32,9 +32,9 @@ from . import common
 
 WINDOW = 2048
 END_ID = 1
-SLAB = 1 << 19
+SLAB = 1 << 20
 #: Pre-tokens kept encoded in a worker; beyond it the table starts anew, which costs time only.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SETTLED = ((0, 0x530), (0x2000, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF00, 0xFFF0))
 LEARN = 2_000
@@ -110,9 +110,9 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         starts = len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.flat = np.concatenate([self.flat, *found])
-        keys, starts, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
-        order = np.argsort(keys)
-        self.keys, self.checks, self.starts, self.sizes = keys[order], np.concatenate([self.checks, checks])[order], starts[order].astype(np.int64), sizes[order]
+        # keys come sorted: they go to their places, the table is not sorted anew
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks, self.starts, self.sizes = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.checks, checks), (self.starts, starts.astype(np.int64)), (self.sizes, sizes)))
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         data = raw.tobytes()
@@ -128,8 +128,8 @@ class Encoder:
                 whole |= [word in data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         s = at[np.flatnonzero(start)]
         e = np.append(s[1:], len(raw))
-        keys, first, inverse = np.unique(common.bytes_hash(raw, s, e), return_index=True, return_inverse=True)
-        checks = common.bytes_hash(raw, s, e, lane=1)
+        hashes, checks = common.bytes_hashes(raw, s, e)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE_ENTRIES:
             self.clear()
         known = np.isin(keys, self.keys, assume_unique=True)
