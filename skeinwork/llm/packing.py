@@ -12,7 +12,8 @@ encoded once; texts with characters outside long-settled Unicode blocks, or with
 special token's string, are encoded whole instead.
 
 Defined cases: null and empty texts have the end id alone; null ids stay null;
-repeated rows are packed each on its own; other columns are not read.
+repeated rows are packed each on its own; a text of any length is encoded whole and
+cut at window ends; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

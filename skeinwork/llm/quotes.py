@@ -18,8 +18,8 @@ before the join, so a passage that thousands repeat joins one row.
 
 Defined cases: null texts are empty; rows without conversation or turn start a thread
 of their own and are never originals; repeated rows give rows of their own, with the
-same links; a message never replies to itself or to a later one; other columns are
-not read.
+same links; a message never replies to itself or to a later one; texts of any length
+are parsed whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
