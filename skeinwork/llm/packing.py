@@ -35,7 +35,7 @@ WINDOW = 2048
 END_ID = 1
 SLAB = 1 << 20
 #: Pre-tokens kept encoded in a worker; beyond it the table starts anew, which costs time only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SETTLED = ((0, 0x530), (0x2000, 0x2C00), (0x3000, 0x3100), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xFF00, 0xFFF0))
 LEARN = 2_000
