@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .html import op4_html
+from .middle import OP12_SQL, op12_middle
 from .ngram_join import op1_jaccard
 from .packing import op6_pack
 from .quality import op8_quality
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_quotes": op9_quotes,
     "op10_suffix": op10_suffix,
+    "op12_middle": op12_middle,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op7_topk": OP7_SQL,
+    "op12_middle": OP12_SQL,
 }
