@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP13_SQL, op13_centroids
 from .decontaminate import op5_decontaminate
 from .html import op4_html
 from .middle import OP12_SQL, op12_middle
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_quotes": op9_quotes,
     "op10_suffix": op10_suffix,
     "op12_middle": op12_middle,
+    "op13_centroids": op13_centroids,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op7_topk": OP7_SQL,
     "op12_middle": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }
