@@ -13,6 +13,7 @@ from .quotes import op9_quotes
 from .suffix import op10_suffix
 from .topk import OP7_SQL, op7_topk
 from .toxicity import op3_toxicity
+from .urls import OP11_SQL, op11_urls
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
@@ -26,12 +27,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_quotes": op9_quotes,
     "op10_suffix": op10_suffix,
+    "op11_urls": op11_urls,
     "op12_middle": op12_middle,
     "op13_centroids": op13_centroids,
 }
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op7_topk": OP7_SQL,
+    "op11_urls": OP11_SQL,
     "op12_middle": OP12_SQL,
     "op13_centroids": OP13_SQL,
 }
