@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, drop
 from .ranking import placed
+from .wavefront import label_moves
 
 
 #: Edges of a graph that one task works through in memory; larger ones go in rounds over all tasks.
@@ -261,45 +262,17 @@ def by_component(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> Dat
     return n.groupBy("component").cogroup(e.groupBy("part")).applyInPandas(run, schema)
 
 
-def move_labels(nodes: list, edges: list[tuple], passes: int = 10) -> pd.DataFrame:
-    """Local moves: in order, a node goes to the neighbouring community with the best count of neighbours
-    inside less half of those outside, if that is positive. A node's own community earns nothing."""
-    near: dict = {v: {} for v in nodes}
-    for a, b in edges:
-        if a in near:
-            near[a][b] = True
-        if b in near:
-            near[b][a] = True
-    home = {v: v for v in nodes}
-    order = {v: i for i, v in enumerate(nodes)}
-    joined = {v: i for i, v in enumerate(nodes)}
-    clock = len(nodes)
-    for done in range(1, passes + 1):
-        moved = False
-        for v in nodes:
-            tally: dict = {}
-            for u in near[v]:
-                c = home.get(u, u)
-                if c != home[v]:
-                    tally[c] = tally.get(c, 0) + (u in home)
-            best, gain = None, 0.0
-            for c, inside in tally.items():
-                value = inside - 0.5 * (len(near[v]) - inside)
-                if value > gain:
-                    best, gain = c, value
-            # a community named by an endpoint that is no node has no members to join
-            if best is not None and gain > 1e-10 and best in order:
-                home[v], moved = best, True
-                joined[v], clock = clock, clock + 1
-        if not moved:
-            break
-    rows = [(v, home[v], order[home[v]], joined[v], done) for v in nodes]
-    return pd.DataFrame(rows, columns=["node_id", "seed", "seed_pos", "joined", "passes"])
-
-
 def communities(nodes: DataFrame, edges: DataFrame, passes: int = 10) -> DataFrame:
-    """(node_id, seed, seed_pos, joined, passes); community k is the k-th seed by position, members in order of joining."""
-    return by_component(nodes, edges, lambda v, e: move_labels(v, e, passes), "node_id string, seed string, seed_pos long, joined long, passes long")
+    """(node_id, seed, seed_pos, joined, passes); community k is the k-th seed by position, members in order of joining.
+
+    joined is the pass of the node's last move (0 for none), within which node_pos tells the order; passes those that
+    the node's component took, the one without a move included.
+    """
+    moves = cut(label_moves(nodes, edges, passes), "communities")
+    parts = connected_components(nodes, edges)
+    took = moves.join(parts, "node_id").groupBy("component").agg(F.least(F.max("moved") + 1, F.lit(passes)).alias("passes"))
+    seeds = moves.select(F.col("node_id").alias("seed"), F.col("node_pos").alias("seed_pos"))
+    return moves.join(seeds, "seed").join(parts, "node_id").join(took, "component").select("node_id", "seed", "seed_pos", F.col("moved").alias("joined"), "passes")
 
 
 def emitted(membership: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import pytest
 
 from skeinwork.operators import graph as g
+from skeinwork.operators import wavefront
+from skeinwork.storage import cut
 
 
 def graph(spark, names, pairs):
@@ -113,29 +115,59 @@ def test_back_edges_by_recursion(spark, seed):
     assert sorted(got) == sorted(found)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_communities_by_definition(spark, seed):
-    names, pairs = random_graph(seed, 16, 18)
+def moves_by_definition(names, pairs, passes=10):
+    """{node: (home, pass of its last move)}."""
     near = {v: [] for v in names}
     for a, b in pairs:
-        near[a] += [] if b in near[a] else [b]
-        near[b] += [] if a in near[b] else [a]
-    home = {v: v for v in names}
-    for _ in range(10):
-        before = dict(home)
+        for x, y in ((a, b), (b, a)):
+            if x in near and y not in near[x]:
+                near[x].append(y)
+    home, last = {v: v for v in names}, dict.fromkeys(names, 0)
+    for done in range(1, passes + 1):
+        before = dict(last)
         for v in names:
             options = []
             for u in near[v]:
-                if home[u] != home[v] and home[u] not in [c for c, _ in options]:
-                    inside = sum(home[w] == home[u] for w in near[v])
+                if u in home and home[u] != home[v] and home[u] not in [c for c, _ in options]:
+                    inside = sum(home.get(w) == home[u] for w in near[v])
                     options.append((home[u], inside - 0.5 * (len(near[v]) - inside)))
             best = max((x for _, x in options), default=0)
             if best > 1e-10:
-                home[v] = next(c for c, x in options if x == best)
-        if home == before:
+                home[v], last[v] = next(c for c, x in options if x == best), done
+        if last == before:
             break
-    got = {r.node_id: r.seed for r in g.communities(*graph(spark, names, pairs)).collect()}
-    assert got == home
+    return {v: (home[v], last[v]) for v in names}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_communities_by_definition(spark, seed):
+    names, pairs = random_graph(seed, 16, 18)
+    got = {r.node_id: (r.seed, r.joined) for r in g.communities(*graph(spark, names, pairs)).collect()}
+    assert got == moves_by_definition(names, pairs)
+
+
+@pytest.mark.parametrize(("seed", "n", "m", "most"), [(1, 24, 30, 14), (4, 12, 20, 0)])
+def test_label_moves_over_many_blocks(spark, seed, n, m, most):
+    """One component over many blocks and with a hub, and all nodes as hubs."""
+    names, pairs = random_graph(seed, n, m)
+    pairs += [(names[0], x) for x in names[1:]] + [("stranger", names[1]), (names[2], "stranger"), (names[3], names[3])]
+    nodes, edges = (cut(t) for t in graph(spark, names, pairs))
+    got = {r.node_id: (r.seed, r.moved) for r in wavefront.label_moves(nodes, edges, passes=3, block_edges=most).collect()}
+    assert got == moves_by_definition(names, pairs, passes=3)
+
+
+def test_blocks_are_bounded(spark):
+    names, pairs = random_graph(6, 300, 900)
+    near = wavefront.neighbours(*graph(spark, names, [*pairs, *((names[0], x) for x in names)])).cache()
+    rows = wavefront.blocks(near, 40).collect()
+    sums = {}
+    for r in rows:
+        sums[r.block] = sums.get(r.block, 0) + r.degree
+    assert [r.node for r in rows if r.block == -1] == [names[0]] and len(sums) > 20
+    assert max(n for b, n in sums.items() if b >= 0) <= 40
+    pos = {v: i for i, v in enumerate(names)}
+    spans = sorted((min(pos[r.node] for r in rows if r.block == b), max(pos[r.node] for r in rows if r.block == b)) for b in sums if b >= 0)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_fingerprint_follows_content_only(spark):
