@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut, drop
+from .backedges import back_edges
 from .ranking import placed
 from .wavefront import label_moves
 
@@ -246,22 +247,6 @@ def cohesion(components: DataFrame, edges: DataFrame) -> DataFrame:
     return sizes.join(inner, "component", "left").select("component", "size", (F.coalesce("internal", F.lit(0)) / (F.col("size") * (F.col("size") - 1) / 2)).alias("cohesion"))
 
 
-def by_component(nodes: DataFrame, edges: DataFrame, kernel, schema: str) -> DataFrame:
-    """Runs a sequential kernel(nodes, edges) on each connected component.
-
-    The kernel's result for the graph is the union of its results for components, each
-    in its own order; one component is one task's work, as the order-bound semantics ask for.
-    """
-    parts = cut(connected_components(nodes, edges), "parts")
-    n = nodes.select("node_id", "node_pos").join(parts, "node_id")
-    e = edges.select("src", "dst", "edge_pos").join(parts.select(F.col("node_id").alias("src"), F.col("component").alias("part")), "src")
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return kernel(left.sort_values("node_pos").node_id.tolist(), list(right.sort_values("edge_pos")[["src", "dst"]].itertuples(index=False, name=None)))
-
-    return n.groupBy("component").cogroup(e.groupBy("part")).applyInPandas(run, schema)
-
-
 def communities(nodes: DataFrame, edges: DataFrame, passes: int = 10) -> DataFrame:
     """(node_id, seed, seed_pos, joined, passes); community k is the k-th seed by position, members in order of joining.
 
@@ -334,38 +319,10 @@ def community_stats(profiles: DataFrame) -> DataFrame:
     return profiles.agg(*aggs)
 
 
-def back_edge_cycles(nodes: list, edges: list[tuple]) -> pd.DataFrame:
-    """One cycle for each edge to a node on the path of a depth-first search, iteratively."""
-    out_of: dict = {v: [] for v in nodes}
-    for a, b in edges:
-        out_of.setdefault(a, []).append(b)
-    seen, rows = set(), []
-    place = {v: i for i, v in enumerate(nodes)}
-    for root in nodes:
-        if root in seen:
-            continue
-        seen.add(root)
-        path, depth, stack = [root], {root: 0}, [iter(out_of.get(root, ()))]
-        while stack:
-            for v in stack[-1]:
-                if v not in seen:
-                    seen.add(v)
-                    depth[v] = len(path)
-                    path.append(v)
-                    stack.append(iter(out_of.get(v, ())))
-                    break
-                if v in depth:
-                    rows.append((root, place[root], len(rows), path[depth[v] :]))
-            else:
-                stack.pop()
-                del depth[path.pop()]
-    return pd.DataFrame(rows, columns=["root", "root_in_part", "found", "members"])
-
-
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, root_pos, found, members, length, severity) of depth-first back-edge cycles."""
-    raw = by_component(nodes, edges, back_edge_cycles, "root string, root_in_part long, found long, members array<string>")
-    out = raw.join(nodes.select(F.col("node_id").alias("root"), F.col("node_pos").alias("root_pos")), "root")
+    """(root, root_pos, found, members, length, severity) of depth-first back-edge cycles; found numbers all of them in the order of discovery."""
+    raw = placed(back_edges(nodes, edges, connected_components(nodes, edges), strong_components), "found", "key")
+    out = raw.select((F.col("found") - 1).alias("found"), F.col("key")[0].alias("root_pos"), "members").join(nodes.select(F.col("node_id").alias("root"), F.col("node_pos").alias("root_pos")), "root_pos")
     return out.select("root", "root_pos", "found", "members", F.size("members").cast("long").alias("length")).withColumn("severity", cycle_severity())
 
 

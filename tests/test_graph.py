@@ -2,8 +2,8 @@ import random
 
 import pytest
 
+from skeinwork.operators import backedges, wavefront
 from skeinwork.operators import graph as g
-from skeinwork.operators import wavefront
 from skeinwork.storage import cut
 
 
@@ -95,9 +95,8 @@ def random_graph(seed, n=14, m=30):
     return names, [(rng.choice(names), rng.choice(names)) for _ in range(m)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_back_edges_by_recursion(spark, seed):
-    names, pairs = random_graph(seed)
+def cycles_by_recursion(names, pairs):
+    """Cycles in the order in which a search closes them."""
     found, seen = [], set()
 
     def visit(v, path):
@@ -111,8 +110,33 @@ def test_back_edges_by_recursion(spark, seed):
     for v in names:
         if v not in seen:
             visit(v, [v])
-    got = [r.members for r in g.cycles(*graph(spark, names, pairs)).collect()]
-    assert sorted(got) == sorted(found)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_back_edges_by_recursion(spark, seed):
+    names, pairs = random_graph(seed)
+    got = g.cycles(*graph(spark, names, pairs)).orderBy("found").collect()
+    assert [r.members for r in got] == cycles_by_recursion(names, pairs)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_back_edges_by_strong_components(spark, monkeypatch, seed):
+    """Many strong components in a row and beside each other, with strangers as endpoints; entered where the whole search enters them."""
+    rng = random.Random(seed)
+    names, pairs = [f"v{i}" for i in range(30)], []
+    rng.shuffle(names)
+    for at in range(0, 27, 4):
+        pairs += [(rng.choice(names[at : at + 4]), rng.choice(names[at : at + 4])) for _ in range(6)]
+        pairs += [(rng.choice(names[: at + 4]), rng.choice(names[at:])) for _ in range(3)]
+    pairs += [(names[0], "stranger"), ("stranger", names[9]), ("unseen", names[1]), ("unseen", "unseen"), (names[2], "loop"), ("loop", "loop")]
+    rng.shuffle(pairs)
+    order = sorted(names)
+    monkeypatch.setattr(backedges, "BLOCK_EDGES", 0)
+    nodes, edges = (cut(t) for t in graph(spark, order, pairs))
+    got = g.cycles(nodes, edges).orderBy("found").collect()
+    assert [r.members for r in got] == cycles_by_recursion(order, pairs) and len(got) > 8
+    assert all(order[r.root_pos] == r.root for r in got)
 
 
 def moves_by_definition(names, pairs, passes=10):
