@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.paths import LANGUAGES
+from .tokens import BEFORE_OPERAND, Token, angles, matched, rust, script, type_end
 
 FILE_INDEX = "path string, language string, skeleton string, imports array<string>, exports array<string>, content_hash string"
 Parsed = tuple[list[str], list[str], list[str]]
@@ -41,52 +41,139 @@ def python_file(text: str) -> Parsed:
     return lines, imports, exports
 
 
-def blank_out(text: str, quotes: str = "\"'`", char_only: str = "") -> str:
-    """The text with comments and the insides of strings as blanks, places kept."""
-    pattern = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|" + "|".join(rf"{q}(?:\\.|[^{q}\\])*{q}" for q in quotes) + (rf"|{char_only}" if char_only else ""), re.DOTALL)
-    return pattern.sub(lambda m: "".join(c if c == "\n" else " " for c in m[0]), text)
-
-
-TS_DECLARATION = re.compile(r"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?P<kind>(?:async\s+)?function\*?|(?:abstract\s+)?class|interface|type|enum|const\s+enum)\s+(?P<name>[A-Za-z_$][\w$]*)", re.MULTILINE)
-TS_IMPORT = re.compile(r"^[ \t]*import\b(?:[^'\"\n;]|\n)*?['\"]([^'\"]+)['\"]", re.MULTILINE)
-
-
-def typescript_file(text: str) -> Parsed:
-    """Top-level declarations up to their bodies as `{ ... }`; exported or not they are listed; imports from import statements."""
-    code, lines, exports = blank_out(text), [], []
-    depth_at, depth = [], 0
-    for c in code:
-        depth_at.append(depth)
-        depth += (c == "{") - (c == "}")
-    for m in TS_DECLARATION.finditer(code):
-        if depth_at[m.start("kind")]:
+#: Tokens after which a statement may begin on the same line.
+BEFORE_STATEMENT = frozenset("; { } else do export default declare".split())
+
+
+def begins_statement(tokens: list[Token], i: int) -> bool:
+    last = tokens[i - 1] if i else None
+    if last is None or last.text in BEFORE_STATEMENT:
+        return True
+    return last.text == ")" or tokens[i].fresh and (last.word and last.text not in BEFORE_OPERAND or last.text[0] in "\"'`0123456789]/<>")
+
+
+def script_declaration(tokens: list[Token], ends: dict[int, int], i: int) -> tuple[int, int, str, bool] | None:
+    """(place of the body or end of the signature, place after all, name, has a body) of a declaration that begins at i."""
+    at = lambda k: tokens[k].text if k < len(tokens) else ""
+    named = lambda k: k < len(tokens) and tokens[k].word
+    while at(i) == "@" and named(i + 1):
+        i += 2
+        while at(i) == "." and named(i + 1):
+            i += 2
+        i = ends[i] if at(i) == "(" else i
+    k = i + (at(i) in ("async", "abstract") or at(i) == "const" and at(i + 1) == "enum")
+    kind = at(k)
+    if kind not in ("function", "class", "interface", "type", "enum") or not named(k + 1) or (at(i) == "async" and kind != "function") or (at(i) == "abstract" and kind != "class"):
+        return None
+    name, k = at(k + 1), angles(tokens, ends, k + 2)
+    if kind == "function":
+        if at(k) != "(":
+            return None
+        k = ends[k]
+        k = type_end(tokens, ends, k + 1) if at(k) == ":" else k
+        return (k, ends[k], name, True) if at(k) == "{" else (k, k, name, False)
+    if kind == "type":
+        if at(k) != "=":
+            return None
+        stop = type_end(tokens, ends, k + 1)
+        whole = at(k + 1) == "{" and ends[k + 1] == stop
+        return k + 1 if whole else stop, stop, name, whole
+    while k < len(tokens) and at(k) != "{":
+        if at(k) in (";", "=", ":", ")", "}"):
+            return None
+        k = angles(tokens, ends, k) if at(k) == "<" else ends.get(k, k + 1)
+    return (k, ends[k], name, True) if at(k) == "{" else None
+
+
+def typescript_file(text: str, jsx: bool = False) -> Parsed:
+    """Declarations that stand in no other one, up to their bodies as `{ ... }`; exported or not they are listed, generators
+    are not; imports from import statements."""
+    tokens = script(text, jsx)
+    ends = matched(tokens)
+    lines, imports, exports = [], [], []
+    i = done = 0
+    while i < len(tokens):
+        t, after = tokens[i], tokens[i + 1].text if i + 1 < len(tokens) else ""
+        if not (i == done or begins_statement(tokens, i)) or not (t.word or t.text == "@"):
+            i += 1
             continue
-        ends = [i for i in (code.find("{", m.end()), code.find(";", m.end())) if i >= 0]
-        if m["kind"] == "type":
-            ends = [i for i in (code.find(";", m.end()), code.find("\n\n", m.end())) if i >= 0]
-        stop = min(ends, default=len(code))
-        head = " ".join(text[m.start("export") if m["export"] else m.start("kind") : stop].split())
-        lines.append(head if m["kind"] == "type" else f"{head} {{ ... }}")
-        exports.append(m["name"])
-    return lines, TS_IMPORT.findall(text), exports
+        if t.text == "import" and after not in ("(", "."):
+            stop = i + 1
+            while stop < len(tokens) and tokens[stop].text[0] not in "\"';=" and not (tokens[stop].fresh and tokens[stop].text in ("import", "export")):
+                stop += 1
+            if stop < len(tokens) and tokens[stop].text[0] in "\"'":
+                imports.append(tokens[stop].text[1:-1])
+                stop += 1
+            i = stop
+            continue
+        start = i
+        if t.text == "export":
+            start += 1 + (after == "default")
+        found = script_declaration(tokens, ends, start) if start < len(tokens) else None
+        if found is None:
+            i += 1
+            continue
+        body, stop, name, has_body = found
+        head = text[tokens[start].start : tokens[body].start if has_body else tokens[body - 1].end].rstrip()
+        lines.append(("export " if t.text == "export" else "") + head + (" { ... }" if has_body else ""))
+        exports.append(name)
+        i = done = stop
+    return lines, imports, exports
 
 
-RUST_ITEM = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?P<head>(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?P<kind>fn|struct|enum|trait|impl|type)\b\s*(?P<name>[A-Za-z_]\w*)?)", re.MULTILINE)
-RUST_MOD = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", re.MULTILINE)
-RUST_USE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+((?:crate|super)::[\w:]+)", re.MULTILINE)
+RUST_KINDS = frozenset("fn struct enum trait impl type".split())
+RUST_BEFORE = frozenset("pub async unsafe const extern default".split())
 
 
 def rust_file(text: str) -> Parsed:
-    """Items up to their bodies; `mod x;` is an export and the import mod:x; uses of crate and super only."""
-    code, lines, exports = blank_out(text, '"', r"'(?:\\.|[^'\\])'"), [], []
-    for m in RUST_ITEM.finditer(code):
-        ends = [i for i in (code.find("{", m.end()), code.find(";", m.end())) if i >= 0]
-        stop = min(ends, default=len(code))
-        lines.append(" ".join(text[m.start("head") : stop].split()) + (" { ... }" if code[stop : stop + 1] == "{" else ";"))
-        if m["name"] and m["kind"] != "impl":
-            exports.append(m["name"])
-    mods = RUST_MOD.findall(code)
-    return lines, [f"mod:{x}" for x in mods] + RUST_USE.findall(code), exports + mods
+    """Items up to their bodies, those inside impl and trait blocks too; a module is an export and the import mod:x, whatever
+    it holds; uses of crate and super only."""
+    tokens = rust(text)
+    ends = matched(tokens)
+    lines, imports, exports, mods = [], [], [], []
+    at = lambda k: tokens[k].text if k < len(tokens) else ""
+    i = 0
+    while i < len(tokens):
+        if at(i) == "#" and at(i + 1) in ("[", "!"):
+            k = i + 1 + (at(i + 1) == "!")
+            i = ends[k] if at(k) == "[" else k
+            continue
+        if i and at(i - 1) not in (";", "{", "}", "]"):
+            i += 1
+            continue
+        start = i
+        k = i
+        while at(k) in RUST_BEFORE:
+            k = ends[k + 1] if at(k) == "pub" and at(k + 1) == "(" else k + 1
+            k += at(k - 1) == "extern" and at(k)[:1] == '"'
+        if at(k) == "mod" and at(k + 2) in (";", "{"):
+            imports.append(f"mod:{at(k + 1)}")
+            mods.append(at(k + 1))
+            i = ends.get(k + 2, k + 3)
+        elif at(k + 1) == "!":
+            # what a macro is given or makes is no item yet
+            k += 2 + (at(k) == "macro_rules")
+            i = ends.get(k, k + 1)
+        elif at(k) == "use":
+            stop = k
+            while stop < len(tokens) and at(stop) != ";":
+                stop = ends.get(stop, stop + 1)
+            said = text[tokens[k + 1].start : tokens[stop - 1].end] if stop > k + 1 else ""
+            if said.startswith(("crate::", "super::")):
+                imports.append(said)
+            i = stop + 1
+        elif at(k) in RUST_KINDS:
+            stop = k + 1
+            while stop < len(tokens) and at(stop) not in ("{", ";", "}"):
+                stop = ends.get(stop, stop + 1)
+            has_body = at(stop) == "{"
+            lines.append(text[tokens[start].start : tokens[stop - 1].end].rstrip() + (" { ... }" if has_body else ";"))
+            if at(k) != "impl":
+                exports.append(at(k + 1))
+            i = ends[stop] if has_body and at(k) not in ("impl", "trait") else stop + 1
+        else:
+            i += 1
+    return lines, imports, exports + mods
 
 
 PARSERS: dict[str, Callable[[str], Parsed]] = {}
@@ -97,7 +184,8 @@ def register(extensions: str, parser: Callable[[str], Parsed]) -> None:
         PARSERS[e] = parser
 
 
-register("ts tsx js jsx mts cts", typescript_file)
+register("ts mts cts", typescript_file)
+register("tsx js jsx", lambda text: typescript_file(text, jsx=True))
 register("py pyi", python_file)
 register("rs", rust_file)
 
