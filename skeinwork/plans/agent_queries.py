@@ -573,7 +573,8 @@ def _(spark, d):
 
 @query("z02_rebuilt", "SELECT event_type, max(event_id) AS last FROM events GROUP BY 1")
 def _(spark, d):
-    return lifecycle.rebuilt(st.events_stream(spark, d), scratch(spark, "index"), lambda rows: rows.groupBy("event_type").agg(F.max("event_id").alias("last")))
+    latest = lambda rows, c: rows.groupBy("event_type").agg(F.max(c).alias("last"))
+    return lifecycle.rebuilt(st.events_stream(spark, d), scratch(spark, "index"), lambda rows: latest(rows, "event_id"), lambda old, fresh: fresh if old is None else latest(old.unionByName(fresh), "last"))
 
 
 @query("k01_index_lifecycle", "SELECT unnest(['fresh', 'cache', 'fresh']) AS came, unnest([1, 2, 3]) AS run, (SELECT count(*) FROM part WHERE p_partkey % 4 < 3) - unnest([0, 0, 1]) AS files")

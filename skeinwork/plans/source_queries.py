@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..sources import parsers, store
+from ..operators import lifecycle
+from ..sources import changes, parsers, store
 from ..sources import tables as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,10 +52,19 @@ def tree_of(spark: SparkSession, d: str, kinds: list[tuple[str, str, str]], end:
     part = v.table(spark, d, "part")
     text = F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), (F.col("p_partkey") % len(kinds) + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("@"), F.col("p_partkey").cast("string")), F.lit("~"), F.col("p_name"))
-    files = part.groupBy(F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / FILE_KEYS)).alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda r: r["text"]), "").alias("value"))
-    files.repartition("at").write.partitionBy("at").text(root)
+    write_files(part, text, root)
     found = store.scan(spark, root, ["txt"])
-    return found.select(F.concat(F.regexp_extract(F.url_decode("path"), "at=([^/]*)/", 1), F.lit(end)).alias("path"), "content")
+    return found.select(F.concat(folder("path"), F.lit(end)).alias("path"), "content")
+
+
+def folder(path: str) -> F.Column:
+    return F.regexp_extract(F.url_decode(path), "at=([^/]*)/", 1)
+
+
+def write_files(part: DataFrame, text: F.Column, root: str) -> None:
+    """A file for each brand and range of keys; files that are there for them already go."""
+    files = part.groupBy(F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / FILE_KEYS)).alias("at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda r: r["text"]), "").alias("value"))
+    files.repartition("at").write.partitionBy("at").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
 
 
 def tree_sql(kinds: list[tuple[str, str, str]], end: str, imports: str) -> str:
@@ -79,3 +89,37 @@ def _(spark, d):
 def _(spark, d):
     """Rust files with lifetimes, raw strings, nested comments, attributes and macros, scanned and parsed."""
     return parsed_tree(spark, d, RS_KINDS, ".rs")
+
+
+OLD, NEW = "export class Old@ { name = '~' }\n", "export class New@ { name = '~' }\n"
+
+
+def changed_tree(spark: SparkSession, d: str):
+    """A tree that is written and then partly written anew, with a stream of its changes: yields (root, stream) after each."""
+    root, part = scratch(spark, "followed"), v.table(spark, d, "part")
+    said = lambda t: F.replace(F.replace(F.lit(t), F.lit("@"), F.col("p_partkey").cast("string")), F.lit("~"), F.col("p_name"))
+    for rows, text in ((part, OLD), (part.filter("p_brand LIKE '%1'"), NEW)):
+        write_files(rows, said(text), root)
+        yield root, changes.watch(spark, root, f"{root}-snapshots", ["txt"])
+
+
+@query("s15_file_changes", f"""WITH f AS (SELECT DISTINCT p_brand || '-' || p_partkey // {FILE_KEYS} AS folder FROM part)
+SELECT folder, 'created' AS kind, 1::BIGINT AS snapshot, 1::BIGINT AS n FROM f UNION ALL
+SELECT folder, unnest(['created', 'deleted']), 2, 1 FROM f WHERE folder LIKE '%1-%'""")
+def _(spark, d):
+    """A tree's files as they come, and as those of some folders are written anew, by a stream that goes on after a restart."""
+    out = None
+    for root, stream in changed_tree(spark, d):
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{root}-log").trigger(availableNow=True).start(f"{root}-told").awaitTermination()
+        out = spark.read.schema(stream.schema).parquet(f"{root}-told")
+    return out.groupBy(folder("path").alias("folder"), "kind", "snapshot").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("z02_followed", f"""SELECT p_brand || '-' || p_partkey // {FILE_KEYS} AS folder, string_agg('export class ' || CASE WHEN p_brand LIKE '%1' THEN 'New' ELSE 'Old' END || p_partkey || ' {{ ... }}', chr(10) ORDER BY p_partkey) AS skeleton
+FROM part GROUP BY p_brand, p_partkey // {FILE_KEYS}""")
+def _(spark, d):
+    """The index of a tree, rebuilt from the stream of its changes and merged with the version before."""
+    out = None
+    for root, stream in changed_tree(spark, d):
+        out = lifecycle.rebuilt(stream, f"{root}-index", *lifecycle.file_index(spark, root, ["txt"], lambda path: F.concat(path, F.lit(".ts"))))
+    return out.select(folder("path").alias("folder"), "skeleton")

@@ -224,9 +224,9 @@ def candidates(path: str, raw: str) -> list[str]:
     return [base + end for end in (".ts", ".tsx", "/index.ts", "/index.tsx", "")] + ([base[:-3] + ".ts"] if base.endswith(".js") else [])
 
 
-def parse_files(files: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """FILE_INDEX of (path, content): files with a parser; one whose hash the cache has is not parsed again, and one
-    that fails to parse keeps its last good row, or goes."""
+def parse_files(files: DataFrame, cached: DataFrame | None = None, by: str = "path") -> DataFrame:
+    """FILE_INDEX of (path, content): files with a parser for the extension of column `by`; one whose hash the cache has is
+    not parsed again, and one that fails to parse keeps its last good row, or goes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,17 +238,17 @@ def parse_files(files: DataFrame, cached: DataFrame | None = None) -> DataFrame:
                 row = None
                 if old != said:
                     try:
-                        lines, imports, exports = PARSERS[r.path.rpartition(".")[2]](text)
-                        row = (r.path, language_of(r.path), "\n".join(lines), imports, exports, said)
+                        lines, imports, exports = PARSERS[getattr(r, by).rpartition(".")[2]](text)
+                        row = (r.path, language_of(getattr(r, by)), "\n".join(lines), imports, exports, said)
                     except (SyntaxError, ValueError, RecursionError):
                         row = None
                 if row is None and isinstance(old, str):
-                    row = (r.path, language_of(r.path), r.old_skeleton, list(r.old_imports), list(r.old_exports), old)
+                    row = (r.path, language_of(getattr(r, by)), r.old_skeleton, list(r.old_imports), list(r.old_exports), old)
                 if row:
                     rows.append(row)
             yield pd.DataFrame(rows, columns=["path", "language", "skeleton", "imports", "exports", "content_hash"])
 
-    known = files.filter("substring_index(path, '.', -1) IN ('" + "', '".join(PARSERS) + "')")
+    known = files.filter(f"substring_index({by}, '.', -1) IN ('" + "', '".join(PARSERS) + "')")
     if cached is not None:
         old = cached.selectExpr("path", "skeleton AS old_skeleton", "imports AS old_imports", "exports AS old_exports", "content_hash AS old_hash")
         known = known.join(old, "path", "left")
