@@ -26,6 +26,7 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import bisect
+import gc
 import html as entities
 import math
 import re
@@ -45,6 +46,8 @@ CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr opti
 SAME_LEVEL = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist"), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "thead": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th")}
 SCOPES = frozenset("article aside body div main section table td th footer header nav form ul ol html".split())
+#: What an open paragraph is not closed across.
+P_BOUNDS = SCOPES | {"li", "dd", "dt", "blockquote"}
 HOLD_LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre hr caption legend summary figcaption dt option".split())
 UNSEEN = frozenset("head script style noscript template iframe object embed applet canvas svg math audio video title noembed noframes xmp".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -54,6 +57,8 @@ NAMES = re.compile(
 )
 KEEP_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: A tag without quotes up to its end.
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)([^>\"']*+)>")
 STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?|.", re.DOTALL)
 BLANKS = re.compile(r"\s+")
@@ -123,6 +128,9 @@ class Tokens:
                 if end < 0 and not comment:
                     return None
                 return at, len(page) if end < 0 else end + (3 if comment else 1), False, "", ""
+            m = PLAIN.match(page, at)
+            if m:
+                return at, m.end(), bool(m[1]), m[2].lower(), m[3]
             m = OPEN.match(page, at)
             if m:
                 end = self.end_of(m.end())
@@ -146,40 +154,44 @@ class Stack:
     """Open elements, with the places of each tag and of those that bound a scope."""
 
     def __init__(self, root: Node):
-        self.nodes, self.places, self.scopes = [root], {}, []
+        self.nodes, self.places, self.scopes, self.bounds = [root], {}, [0], [0]
 
     def push(self, node: Node) -> None:
-        self.places.setdefault(node.tag, []).append(len(self.nodes))
-        if node.tag in SCOPES:
-            self.scopes.append(len(self.nodes))
+        tag, at = node.tag, len(self.nodes)
+        self.places.setdefault(tag, []).append(at)
+        if tag in P_BOUNDS:
+            self.bounds.append(at)
+            if tag in SCOPES:
+                self.scopes.append(at)
         self.nodes.append(node)
 
-    def last(self, *tags: str) -> int:
-        return max((x[-1] for t in tags if (x := self.places.get(t))), default=0)
+    def last(self, tag: str) -> int:
+        x = self.places.get(tag)
+        return x[-1] if x else 0
 
     def close(self, at: int) -> None:
         while len(self.nodes) > at:
             tag = self.nodes.pop().tag
             self.places[tag].pop()
-            if tag in SCOPES:
-                self.scopes.pop()
+            if tag in P_BOUNDS:
+                self.bounds.pop()
+                if tag in SCOPES:
+                    self.scopes.pop()
 
     def closing(self, tag: str) -> None:
         at = self.last(tag)
-        if at and (tag in SCOPES or not self.scopes or self.scopes[-1] < at):
+        if at and (tag in SCOPES or self.scopes[-1] < at):
             self.close(at)
 
     def before(self, tag: str) -> None:
         """Closes what an opening tag ends."""
         if tag in ENDS:
-            stop = self.last(*SAME_LEVEL[tag])
+            stop = max(map(self.last, SAME_LEVEL[tag]))
             ends = [x[i] for t in ENDS[tag] if (x := self.places.get(t)) and (i := bisect.bisect_right(x, stop)) < len(x)]
             if ends:
                 self.close(min(ends))
-        elif tag in CLOSES_P:
-            at = self.last("p")
-            if at > max(self.scopes[-1] if self.scopes else 0, self.last("li", "dd", "dt", "blockquote")):
-                self.close(at)
+        elif tag in CLOSES_P and (at := self.last("p")) > self.bounds[-1]:
+            self.close(at)
 
 
 def parse(page: str) -> Node:
@@ -198,7 +210,7 @@ def parse(page: str) -> Node:
             continue
         stack.before(tag)
         parent = stack.nodes[-1]
-        node = Node(tag, parent, parent.dropped or is_clutter(tag, raw.strip(), bool(stack.places.get("article"))))
+        node = Node(tag, parent, parent.dropped or (tag in NO_TEXT or tag == "header" or bool(raw)) and is_clutter(tag, raw.strip(), bool(stack.last("article"))))
         node.shown = parent.shown and tag not in UNSEEN
         parent.children.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
@@ -293,29 +305,38 @@ def blocks_of(nodes: list[Node]) -> list[str]:
             out.append(text)
 
     for top in nodes:
-        stack: list = [(top, False)]
+        # None stands where a block ends
+        stack: list = [top]
         while stack:
-            node, closing = stack.pop()
+            node = stack.pop()
             if isinstance(node, str):
                 run.append(node)
-            elif closing:
-                end()
+            elif node is None:
+                if run:
+                    end()
             elif not node.dropped:
                 if node.tag in ("br", "wbr"):
                     run.append(" " if node.tag == "br" else "")
                     continue
                 if node.tag in BLOCKS or node.tag == "#root":
-                    end()
-                    stack.append((node, True))
-                stack.extend((c, False) for c in reversed(node.children))
-        end()
+                    if run:
+                        end()
+                    stack.append(None)
+                stack.extend(reversed(node.children))
+        if run:
+            end()
     return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks_of(select(parse(page))))
+    # nothing of a tree is garbage before its end: collections would only walk it again and again
+    gc.disable()
+    try:
+        return "\n".join(blocks_of(select(parse(page))))
+    finally:
+        gc.enable()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
