@@ -8,6 +8,7 @@ from .. import storage
 from ..functions import text as x
 from ..operators import lines as ln
 from ..sources import tables as v
+from ..streaming import anchors
 from ..streaming import stream as st
 
 QUERIES: dict = {}
@@ -169,3 +170,18 @@ def _(spark, d):
 def _(spark, d):
     reads = st.events_stream(spark, d).select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat_ws("\n", F.lit("head"), F.col("props")).alias("content"))
     return streamed(spark, st.anchor_states(reads), "anchors")
+
+
+@query("z04_reconciled", """WITH c AS (SELECT event_type AS path, event_id AS pos, event_id % 3 AS k, event_id % 2 = 0 AS more, event_id % 5 AS t FROM events),
+p AS (SELECT *, lag(k) OVER w AS pk, lag(more) OVER w AS pmore, lag(t) OVER w AS pt FROM c WINDOW w AS (PARTITION BY path ORDER BY pos)),
+a AS (SELECT path, pos, 1 AS line, 1 AS now FROM p WHERE pk IS NOT NULL UNION ALL
+SELECT path, pos, 2, CASE WHEN k = pk THEN 2 END FROM p WHERE pk IS NOT NULL UNION ALL
+SELECT path, pos, 3, CASE WHEN more THEN 3 END FROM p WHERE pmore UNION ALL
+SELECT path, pos, 3 + pmore::INT, CASE WHEN t = pt THEN 3 + more::INT END FROM p WHERE pk IS NOT NULL)
+SELECT path, pos, line::BIGINT AS line, now::BIGINT AS now, CASE WHEN now = line THEN 'kept' WHEN now IS NULL THEN 'lost' ELSE 'moved' END AS fate FROM a""")
+def _(spark, d):
+    """Files that lose, gain and change lines between reads, one file an event type."""
+    tail = F.concat(F.lit("tail"), F.col("event_id") % 5)
+    content = F.concat_ws("\n", F.lit("top"), F.concat(F.lit("k"), F.col("event_id") % 3), F.when(F.col("event_id") % 2 == 0, "extra"), tail)
+    reads = st.events_stream(spark, d).select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), content.alias("content"))
+    return streamed(spark, anchors.reconciled(reads), "reconciled").drop("hash")
