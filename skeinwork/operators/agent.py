@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as p
 from . import context, retrieval, telemetry
+from .mentions import contained
 from .messages import last_messages
 
 #: What makes a prompt one about code.
@@ -36,8 +37,6 @@ FILE_TOOLS = ("read", "write", "edit", "bash", "grep", "search", "ripgrep", "fd"
 PATH_KEYS = ("path", "filePath", "file", "target", "destination", "source", "src", "dst")
 TOOL_PATH_KEYS = ("path", "filePath", "file", "target", "file_path", "relativePath")
 ANCHORED_LINE = r"\b\d+[a-z]{2}\|"
-#: Names of a graph that are sent to tasks; more are joined as Spark sees fit.
-SENT_NAMES = 10_000
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -103,8 +102,8 @@ def mentioned_communities(messages: DataFrame, nodes: DataFrame) -> DataFrame:
     stem = F.regexp_replace(p.base_name(x.node_path(F.col("node_id"))), r"\.[^.]+$", "")
     names = F.array(F.col("label"), F.col("community"), F.when(F.length(stem) > 3, stem), F.when(F.length(x.node_symbol(F.col("node_id"))) >= 4, x.node_symbol(F.col("node_id"))))
     wanted = nodes.select("community", F.explode(names).alias("name")).filter("name IS NOT NULL AND name <> ''").select("community", F.lower("name").alias("name")).distinct()
-    wanted = F.broadcast(wanted) if wanted.limit(SENT_NAMES + 1).count() <= SENT_NAMES else wanted
-    return messages.join(wanted, F.lower("content").contains(F.col("name"))).select("conv_id", "community").distinct()
+    said = messages.select(F.col("conv_id").alias("id"), F.lower("content").alias("text"))
+    return contained(said, wanted).join(wanted, "name").select(F.col("id").alias("conv_id"), "community").distinct()
 
 
 def call_paths(calls: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import paths as p
 from ..functions import text as x
-from ..operators import agent, analysis, graph, lifecycle, lines, messages, navigation, reports, retrieval
+from ..operators import agent, analysis, graph, lifecycle, lines, mentions, messages, navigation, reports, retrieval
 from ..sources import parsers, store
 from ..sources import tables as v
 from ..streaming import stream as st
@@ -192,6 +192,14 @@ def _(spark, d):
     return agent.mentioned_communities(said, nodes.withColumn("community", F.col("community"))).filter("community IS NOT NULL")
 
 
+@query("m11_named_parts", "SELECT DISTINCT conv_id, p_partkey FROM (SELECT conv_id, turn, lower(text) || ' on ' || turn || '/' || conv_id || '.ts' AS text FROM conversations WHERE text <> '') c JOIN part ON contains(c.text, '/' || p_partkey || '.') OR contains(c.text, lower(split_part(p_name, ' ', 1)) || ' on ' || (p_partkey % 7) || '/')")
+def _(spark, d):
+    """What of all parts' names messages contain: a file named by key, and a word of the name before a path."""
+    named = parts(spark, d).select("p_partkey", F.explode(F.array(F.concat(F.lit("/"), "p_partkey", F.lit(".")), F.concat(F.lower(F.substring_index("p_name", " ", 1)), F.lit(" on "), F.col("p_partkey") % 7, F.lit("/")))).alias("name"))
+    said = v.chat(spark, d).filter("content <> ''").select(F.col("conv_id").alias("id"), F.concat(F.lower("content"), F.lit(" on "), "pos", F.lit("/"), "conv_id", F.lit(".ts")).alias("text"))
+    return mentions.contained(said, named).join(named, "name").select(F.col("id").alias("conv_id"), "p_partkey").distinct()
+
+
 @query("m13_insights", _tail + """, e AS (SELECT conv_id, count(*) AS errors FROM (SELECT DISTINCT conv_id, regexp_extract(content, 'src/a.ts|src/b.rs') AS path FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM m) WHERE r <= 15 AND contains(lower(content), 'error') AND role = 'assistant' AND regexp_matches(content, 'error TS2304')) GROUP BY 1),
 a AS (SELECT conv_id, string_agg(pattern, ',' ORDER BY pattern) AS suggestions FROM s GROUP BY 1)
 SELECT m.conv_id, count(*) AS messages, bool_or(""" + _words + """) AS about_code, coalesce(any_value(suggestions), '') AS suggestions, coalesce(any_value(errors), 0)::BIGINT AS errors FROM m LEFT JOIN a USING (conv_id) LEFT JOIN e USING (conv_id) GROUP BY 1""")
