@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import postings
 from ..operators import retrieval as r
 from ..sources import tables as v
 
@@ -71,6 +72,23 @@ def _(spark, d):
     return r.top_files(tokens(spark), files, v.part_symbols(spark, d), 20, files.filter("pos <= 5"))
 
 
+@query("r06_topk_of_each", FILES + """, q AS (SELECT p_partkey AS query_id, unnest(list_distinct([lower(w) FOR w IN string_split(p_name, ' ') || [substr(string_split(p_name, ' ')[1], 1, 3 + p_partkey % 2), (p_partkey % 97)::VARCHAR] IF length(w) > 1])) AS token FROM part),
+x AS (SELECT query_id, path, count(DISTINCT token) AS n, arg_min(symbol, s.pos) AS symbol FROM q JOIN s ON symbol = token GROUP BY ALL),
+y AS (SELECT query_id, path, arg_min(symbol, s.pos) AS symbol FROM q JOIN s ON length(token) > 2 AND contains(lower(symbol), token) GROUP BY ALL),
+z AS (SELECT query_id, path, min(token) AS token FROM q JOIN f ON contains(lower(stem), token) GROUP BY ALL),
+a AS (SELECT query_id, path FROM x UNION SELECT query_id, path FROM y UNION SELECT query_id, path FROM z),
+g AS (SELECT a.*, 3 * coalesce(n, 0) + CASE WHEN n IS NULL AND y.symbol IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN z.token IS NOT NULL THEN 2 ELSE 0 END AS score, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS phase,
+ list_sort(list_filter([CASE WHEN n IS NOT NULL THEN 'symbol:' || x.symbol ELSE 'partial-symbol:' || y.symbol END, 'filename:' || z.token], lambda t: t IS NOT NULL)) AS signals
+ FROM a LEFT JOIN x USING (query_id, path) LEFT JOIN y USING (query_id, path) LEFT JOIN z USING (query_id, path))
+SELECT query_id, path, score::BIGINT AS score, array_to_string(signals, ',') AS signals, place::INTEGER AS place FROM (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, phase, pos) AS place FROM g JOIN f USING (path)) WHERE place <= 5""")
+def _(spark, d):
+    """Every part asks a question of its own: its name's words, the beginning of one, and a number."""
+    part = v.table(spark, d, "part")
+    start = F.substring(F.substring_index("p_name", " ", 1), F.lit(1), (F.lit(3) + F.col("p_partkey") % 2).cast("int"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", start, F.col("p_partkey") % 97).alias("text"))
+    return postings.top_files_of_each(asked, v.part_files(spark, d), v.part_symbols(spark, d), 5)
+
+
 @query("r07_boosts", NAMES + """, g AS (SELECT path, sum(score)::BIGINT AS score FROM (SELECT path, score FROM exact UNION ALL SELECT path, score FROM partial UNION ALL SELECT path, score FROM names) GROUP BY 1)
 SELECT g.path, score + CASE WHEN pos % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN g.path IN (SELECT path FROM s WHERE lower(symbol) = 'red') THEN 2 ELSE 0 END + CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS score FROM g JOIN f USING (path)""")
 def _(spark, d):
