@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import text as x
 from ..operators import lines as ln
+from ..operators import previews
 from ..sources import tables as v
 from ..streaming import anchors
 from ..streaming import stream as st
@@ -119,6 +120,21 @@ def _(spark, d):
     return ln.previews(kinds)
 
 
+@query("h07_previews", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '-1  |' || event_type || chr(10) || ' ... 3 more unchanged lines' WHEN 1 THEN '-7  |' || event_type || chr(10) || '-8  |' || props ELSE '' END AS preview, CASE event_id % 3 WHEN 2 THEN user_id % 5 ELSE 0 END::BIGINT AS added, CASE WHEN event_id % 3 < 2 THEN 2 ELSE user_id % 5 END::BIGINT AS removed FROM events")
+def _(spark, d):
+    """Of a diff for each event: a deletion before a long unchanged run, two deletions, or as many changed pairs as its user has over."""
+    e = v.table(spark, d, "events")
+    kind, n = F.col("event_id") % 3, (F.col("user_id") % 5).cast("int")
+    same = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.concat(F.lit(" "), i, F.lit("|u"))), "\n")
+    signed = lambda sign, text: F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(sign), i, F.lit("|"), text)), "\n")
+    diff = F.when(kind == 0, F.concat(F.lit("-1|"), "event_type", F.lit("\n"), same, F.lit("\n-8|"), "props")).when(kind == 1, F.concat(F.lit("-7|"), "event_type", F.lit("\n-8|"), "props")).otherwise(F.concat_ws("\n", F.nullif(signed("-", F.col("event_type")), F.lit("")), F.nullif(signed("+", F.col("props")), F.lit(""))))
+    out = previews.compact(e.select(F.col("event_id").alias("id"), diff.alias("diff")))
+    # anchors have letters that SQL cannot make: of the first kind the lines without, of the last one the counts
+    lines = F.filter(F.split("preview", "\n"), lambda x: x.startswith("-1 ") | x.startswith(" ... "))
+    short = F.when(F.col("id") % 3 == 0, F.array_join(lines, "\n")).when(F.col("id") % 3 == 1, F.col("preview")).otherwise("")
+    return out.select("id", short.alias("preview"), "added", "removed")
+
+
 @query("z03_chunks", LINES + "SELECT doc_id, (line_no - 1) // 5 AS chunk, min(line_no) AS first_line, count(*) AS n_lines FROM lines GROUP BY 1, 2")
 def _(spark, d):
     return ln.chunks(v.document_lines(spark, d), 5, 1 << 30).select("doc_id", "chunk", "first_line", "n_lines")
