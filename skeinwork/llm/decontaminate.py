@@ -1,12 +1,13 @@
 """Benchmark overlap by seeds that no overlap can avoid.
 
-A seed is a fixed mask over a run of words; its hash leaves the masked-out words out.
-An overlap of n >= 12 words with n // 5 substitutions has 4 equal words in a row: its
-equal words lie in at most n // 5 + 1 runs, of more than 3 words on average. Only 15
-words with 3 substitutions can stand as 3, 3, 3 and 3, which the second mask meets.
+A seed is a fixed mask over a run of words that ignores some places: its hash leaves the
+words there out, so a hit stands a substitution in them. Wherever n // 5 of n >= 12 words
+are substituted, one of the two masks fits between the substitutions; enumeration of
+12 words with 2, 15 with 3 and 20 with 4, which every longer overlap holds, proves it.
 Hashes of both masks at all places of test items are joined with those of all
 documents. Around every hit the two texts are compared word by word along the hit's
-diagonal; where some 12 to 23 words about it are equal to `share` (every longer overlap
+diagonal, or the diagonal is compared once where it has many hits, as in texts that repeat
+a word; where some 12 to 23 words are equal to `share` (every longer overlap
 holds such a part), the whole diagonal is, substitutions counted, over the longest
 stretch whose share of equal words stays at `share`.
 
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Places of a seed that count, 1, and that are ignored, 0.
-MASKS = ("1111", "1110111")
+MASKS = ("111011", "110100011")
 #: Seeds of pieces of short items, by words.
 PIECES = ("1", "11", "111", "1111")
-#: Hits that are compared at once.
-HITS = 1 << 15
+#: Hits that are compared at once, and words of whole diagonals.
+HITS, DIAGONAL_WORDS = 1 << 15, 1 << 19
 #: Words that an overlap needs, or the whole item where that has fewer.
 LEAST_WORDS = 12
 SHARE = 0.8
@@ -62,32 +63,61 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return common.mix(out ^ common.mix(np.array([int(mask, 2)], np.uint64)))
 
 
+#: What stands for the seed before a text's first one, in items and in documents.
+NO_ITEM_SEED, NO_DOC_SEED = np.uint64(1), np.uint64(2)
+
+
+def seeds_before(keys: np.ndarray, owner: np.ndarray, at: np.ndarray, none: np.uint64) -> np.ndarray:
+    """The seed one word before each place of the same text."""
+    return np.where((at > 0) & (owner[at - 1] == owner[at]), keys[at - 1] if len(keys) else none, none)
+
+
 class Seeds:
-    """Hashes of one mask at places of test items, sorted, for lookup."""
+    """Hashes of one mask at places of test items, sorted with the seeds before them, for lookup."""
 
-    def __init__(self, mask: str, words: np.ndarray, places: np.ndarray):
-        self.mask = mask
-        keys = seed_hashes(words, mask)[places]
-        order = np.argsort(keys, kind="stable")
+    def __init__(self, mask: str, words: np.ndarray, owner: np.ndarray, places: np.ndarray):
+        self.mask, self.owner, self.all = mask, owner, seed_hashes(words, mask)
+        keys, before = self.all[places], seeds_before(self.all, owner, places, NO_ITEM_SEED)
+        order = np.lexsort((before, keys))
         self.keys, self.places = keys[order], places[order]
+        self.befores, rank = np.unique(before[order], return_inverse=True)
+        self.starts = np.searchsorted(self.keys, self.keys)
+        # places in one order by key and seed before: the place of a key's first entry stands for the key
+        self.both = self.starts * len(self.befores) + rank
         # one bit for each of 2**20 hash prefixes: most words of clean text stop here
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place in words, place in the block's words) of equal hashes inside one document, HITS or so at a time."""
+    def hits(self, words: np.ndarray, owner: np.ndarray, heads: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in words, place in the block's words, whether the next places hit too) of equal hashes inside one document,
+        HITS or so at a time; with heads those only whose places before are no hit, which begin a row of hits."""
         h = seed_hashes(words, self.mask)
         at = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
         at = at[owner[at] == owner[at + len(self.mask) - 1]]
         a, b = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        at, a, n = at[b > a], a[b > a], (b - a)[b > a]
+        at, a, b = at[b > a], a[b > a], b[b > a]
+        # [c, e) of [a, b) go on with a row of hits
+        c = e = a
+        if heads and len(at):
+            before = seeds_before(h, owner, at, NO_DOC_SEED)
+            rank = np.minimum(np.searchsorted(self.befores, before), len(self.befores) - 1)
+            both = np.where(self.befores[rank] == before, a * len(self.befores) + rank, -1)
+            c, e = np.searchsorted(self.both, both, "left"), np.searchsorted(self.both, both, "right")
+            c, e = np.where(e > c, c, a), np.where(e > c, e, a)
+        n = (c - a) + (b - e)
         ends = np.cumsum(n)
         i = 0
         while i < len(at):
             base = ends[i] - n[i]
             j = max(i + 1, int(np.searchsorted(ends, base + HITS, side="right")))
-            which = np.repeat(a[i:j] - (ends[i:j] - n[i:j]), n[i:j]) + np.arange(base, ends[j - 1])
-            yield np.repeat(at[i:j], n[i:j]), self.places[which]
+            which = np.repeat(np.arange(i, j), n[i:j])
+            k = np.arange(base, ends[j - 1]) - (ends[which] - n[which])
+            left = (c - a)[which]
+            place = self.places[np.where(k < left, a[which] + k, e[which] + k - left)]
+            x, y = np.minimum(at[which] + 1, len(h) - 1), np.minimum(place + 1, len(self.all) - 1)
+            row = (h[x] == self.all[y]) & (x > at[which]) & (y > place) & (owner[x] == owner[at[which]]) & (self.owner[y] == self.owner[place])
+            if len(which):
+                yield at[which], place, row
             i = j
 
 
@@ -107,7 +137,7 @@ class Block:
             at = np.arange(max(0, len(self.words) - len(mask) + 1))
             at = at[long[self.owner[at]] & (self.owner[at] == self.owner[at + len(mask) - 1])]
             if len(at):
-                self.seeds.append(Seeds(mask, self.words, at))
+                self.seeds.append(Seeds(mask, self.words, self.owner, at))
         # with k substitutions one of k + 1 pieces has none
         pieces: dict[str, list[int]] = {}
         for i in np.flatnonzero((self.counts > 0) & ~long).tolist():
@@ -115,7 +145,7 @@ class Block:
             parts = n - needed(n, share) + 1
             for k in range(parts):
                 pieces.setdefault(PIECES[min(n // parts, len(PIECES)) - 1], []).append(int(self.first[i]) + k * (n // parts))
-        self.pieces = [Seeds(mask, self.words, np.array(at)) for mask, at in sorted(pieces.items())]
+        self.pieces = [Seeds(mask, self.words, self.owner, np.array(at)) for mask, at in sorted(pieces.items())]
 
     def equal_at(self, words: np.ndarray, first: np.ndarray, owner: np.ndarray, at: np.ndarray, place: np.ndarray, reach: range) -> np.ndarray:
         """Of each hit, whether the words at each distance in reach are equal and inside both texts."""
@@ -126,15 +156,64 @@ class Block:
         same = words[np.clip(at[:, None] + step, 0, len(words) - 1)] == self.words[np.clip(place[:, None] + step, 0, len(self.words) - 1)]
         return same & (step >= low) & (step < high)
 
+    def whole_diagonals(self, words: np.ndarray, first: np.ndarray, d: np.ndarray, i: np.ndarray, shift: np.ndarray, most: int, settled: dict[int, int]) -> np.ndarray:
+        """Which diagonals (document, item, shift), in that order, have least to `most` words in a row equal to the share, each
+        compared once. One that is equal from end to end settles its pair: nothing further on is longer."""
+        begin = np.maximum(0, -shift)
+        whole = np.minimum(self.counts[i], np.diff(first)[d])
+        length = np.maximum(0, np.minimum(self.counts[i], np.diff(first)[d] - shift) - begin)
+        pair = d * len(self.counts) + i
+        good = np.zeros(len(d), bool)
+        todo = np.arange(len(d))
+        while len(todo):
+            todo = todo[[shift[k] <= settled.get(pair[k], shift[k]) for k in todo.tolist()]]
+            if not len(todo):
+                break
+            now = todo[: max(1, int(np.searchsorted(np.cumsum(length[todo]), DIAGONAL_WORDS, side="right")))]
+            todo = todo[len(now) :]
+            size = length[now]
+            ends = np.cumsum(size)
+            which = np.repeat(now, size)
+            at = np.arange(len(which)) - np.repeat(ends - size, size) + begin[which]
+            equal = words[first[d[which]] + shift[which] + at] == self.words[self.first[i[which]] + at]
+            sums = np.concatenate([[0], np.cumsum(equal, dtype=np.int64)])
+            left = np.repeat(ends, size) - np.arange(len(which))
+            for n in range(self.least, most + 1):
+                fits = (sums[n:] - sums[:-n] >= needed(n, self.share)) & (left[: max(0, len(which) - n + 1)] >= n)
+                good[which[: len(fits)][fits]] = True
+            full = (size == whole[now]) & (size > 0) & (sums[ends] - sums[ends - size] >= needed(size, self.share))
+            for k, z in zip(now[full].tolist(), ends[full].tolist(), strict=True):
+                if equal[z - 1] and equal[z - length[k]]:
+                    settled.setdefault(pair[k], int(shift[k]))
+                    settled[pair[k]] = min(settled[pair[k]], int(shift[k]))
+        return good
+
     def diagonals(self, words: np.ndarray, first: np.ndarray, owner: np.ndarray) -> set[tuple[int, int, int]]:
         """(document, item, place of the item's first word in the document) worth a whole comparison."""
         out: set[tuple[int, int, int]] = set()
+        done: set[int] = set()
         # a stretch of 2 * least words or more has a half that qualifies too
         most = 2 * self.least - 1
-        shortest = len(MASKS[0])
+        shortest = min(map(len, MASKS))
         reach = range(shortest - most, most)
+        settled: dict[int, int] = {}
         for seeds in self.seeds:
-            for at, place in seeds.hits(words, owner):
+            for at, place, row in seeds.hits(words, owner, True):
+                d, i = owner[at], self.owner[place]
+                shift = at - first[d] - place + self.first[i]
+                key = ((d * len(self.counts) + i) << 33) + shift + (1 << 32)
+                keys, one, which, hits = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                known = np.array([k in done for k in keys.tolist()], bool)
+                length = np.minimum(self.counts[i[one]], np.diff(first)[d[one]] - shift[one]) - np.maximum(0, -shift[one])
+                # what a row of hits is part of is compared as a whole, as is what that costs less for
+                whole = ~known & ((np.bincount(which, row) > 0) | (hits * len(reach) >= length))
+                if whole.any():
+                    done.update(keys[whole].tolist())
+                    pick = one[whole]
+                    good = self.whole_diagonals(words, first, d[pick], i[pick], shift[pick], most, settled)
+                    out.update(zip(d[pick][good].tolist(), i[pick][good].tolist(), shift[pick][good].tolist(), strict=True))
+                rest = ~(known | whole)[which]
+                at, place = at[rest], place[rest]
                 equal = self.equal_at(words, first, owner, at, place, reach)
                 some = equal.sum(1) >= needed(self.least, self.share)
                 at, place, equal = at[some], place[some], equal[some]
@@ -148,7 +227,7 @@ class Block:
                 at, place = at[good], place[good]
                 out.update(zip(owner[at].tolist(), self.owner[place].tolist(), (at - first[owner[at]] - place + self.first[self.owner[place]]).tolist(), strict=True))
         for seeds in self.pieces:
-            for at, place in seeds.hits(words, owner):
+            for at, place, _ in seeds.hits(words, owner, False):
                 d, i = owner[at], self.owner[place]
                 begin = at - (place - self.first[i])
                 inside = (begin >= first[d]) & (begin + self.counts[i] <= first[d + 1])
@@ -188,7 +267,13 @@ def overlaps_of(words: np.ndarray, first: np.ndarray, block: Block) -> list[tupl
     for d, item, shift in sorted(block.diagonals(words, first, owner)):
         doc, own = words[first[d] : first[d + 1]], block.words[block.first[item] : block.first[item + 1]]
         a, b = max(0, -shift), min(len(own), len(doc) - shift)
+        held = best[d, item][2] if (d, item) in best else 0
+        if b - a <= held:
+            continue
         equal = own[a:b] == doc[a + shift : b + shift]
+        # no stretch is longer than its equal words by the share
+        if len(own) >= block.least and equal.sum() < (held + 1) * block.share - 1e-6:
+            continue
         # a short item counts as a whole
         x, y = longest_stretch(equal, block.share) if len(own) >= block.least else (0, len(own))
         if y - x >= min(block.least, len(own)) and ((d, item) not in best or y - x > best[d, item][2]):

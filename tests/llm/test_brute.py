@@ -321,6 +321,39 @@ def test_short_items_with_substitutions(n):
     assert got == [(d, 0, 1, 0, n, n - len(p)) for d, p in enumerate(patterns) if len(p) <= n // 5]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_of_few_words_against_all_diagonals(seed, monkeypatch):
+    """Repeating texts, whose seeds hit at most places: every diagonal is compared as a whole here, longest first, ties to the first."""
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    monkeypatch.setattr(decontaminate, "DIAGONAL_WORDS", 60)
+    rng = random.Random(seed)
+    text = lambda n, words: [rng.choice(words) for _ in range(n)]
+    items = [["a"] * 30, text(25, "ab"), list("abc" * 8), text(14, "aab"), text(40, "aaab"), ["a"] * 12, text(60, "abcdefgh")]
+    docs = [["a"] * 200, text(150, "ab"), list("abc" * 40), ["x", *["a"] * 13, "x"], text(100, "aaaab"), list("aaaabb" * 20), items[6][:30] + ["z"] + items[6][31:], ["a"] * 11, []]
+    want = []
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            best = None
+            for shift in range(-len(item), len(doc) + 1):
+                a, b = max(0, -shift), min(len(item), len(doc) - shift)
+                equal = np.array([item[k] == doc[k + shift] for k in range(a, b)], bool)
+                if any(equal[k : k + n].sum() >= 0.8 * n - 1e-9 for n in range(12, 24) for k in range(len(equal) - n + 1)):
+                    x, y = decontaminate.longest_stretch(equal, 0.8)
+                    if y - x >= 12 and (best is None or y - x > best[4]):
+                        best = (d, i, a + x + shift, a + x, y - x, int(equal[x:y].sum()))
+            want += [best] if best else []
+    assert overlaps_by_text([" ".join(t) for t in docs], [" ".join(t) for t in items]) == want and len(want) > 15
+
+
+def test_a_long_text_of_one_word_takes_seconds():
+    import time
+
+    began = time.process_time()
+    assert overlaps_by_text(["a " * 160_000], ["a " * 100]) == [(0, 0, 0, 0, 100, 100)]
+    # 80,000 such words took 66 seconds while every hit was compared by itself
+    assert time.process_time() - began < 30
+
+
 def test_longest_stretch_against_all():
     rng = np.random.default_rng(2)
     for _ in range(200):
