@@ -74,13 +74,23 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return store(df, name)[0]
 
 
+#: Bits of a row's place in its file, and file names that are sent to tasks; more are joined.
+PLACE_BITS, SENT_FILES = 36, 100_000
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """df with a number for each row that stays the same however often and by whatever splits it is read: a hash of file
-    and place in it. What does not come from files is stored with numbers first."""
+    """df with a number for each row that no other row has and that stays the same however often and by whatever splits it
+    is read: the number of its file, of all names in order, and the place in it. What does not come from files is stored
+    with numbers first. The driver gets a row a file, as it does when it lists them."""
     try:
-        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        files = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias("file")).distinct().collect())
     except AnalysisException:
         return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbers = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "`file of row` string, `number of file` long")
+    numbers = F.broadcast(numbers) if len(files) <= SENT_FILES else numbers
+    placed = df.select("*", F.col("_metadata.file_path").alias("file of row"), F.col("_metadata.row_index").alias("place of row")).join(numbers, "file of row")
+    key = F.shiftleft("number of file", PLACE_BITS).bitwiseOR(F.col("place of row"))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], key.alias(name))
 
 
 def free_shuffles(spark: SparkSession) -> None:
