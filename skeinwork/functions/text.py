@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,15 +37,67 @@ def line_hash(line_no: int, text: str) -> str:
     return PAIRS[xxhash.xxh32_intdigest(text.encode("utf-8", "replace"), 0 if told else line_no) % len(PAIRS)]
 
 
-def line_hash_column(line_no: Column, text: Column) -> Column:
-    """line_hash of every row. Spark has no xxHash32 and no seed that varies by row, so lines go to Python in Arrow
-    batches; the hash itself is C."""
+#: The primes of XXH32.
+P1, P2, P3, P4, P5 = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393))
+#: Stripes of 16 bytes that all rows go through together; the few rows that are longer are hashed one by one.
+STRIPES = 128
+
+
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def xxh32(column: pa.Array, seeds: np.ndarray) -> np.ndarray:
+    """XXH32 of every string, each with a seed of its own, over the Arrow buffer of all of them."""
+    column = column.cast(pa.large_string())
+    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = column.buffers()[2]
+    raw = np.frombuffer((data.to_pybytes() if data is not None else b"") + bytes(4), np.uint8)
+    # four bytes from any place on
+    words = np.ndarray((len(raw) - 3,), "<u4", raw.data, strides=(1,))
+    size, seed = np.diff(off), seeds.astype(np.uint32)
+    stripes = np.minimum(size // 16, STRIPES)
+    order = np.argsort(-stripes, kind="stable")
+    start, s = off[:-1][order], seed[order]
+    lanes = [s + P1 + P2, s + P2, s.copy(), s - P1]
+    for k in range(int(stripes.max(initial=0))):
+        n = int(np.searchsorted(-stripes[order], -k, side="left"))
+        for i, v in enumerate(lanes):
+            v[:n] = rotated(v[:n] + words[start[:n] + (16 * k + 4 * i)] * P2, 13) * P1
+    long = rotated(lanes[0], 1) + rotated(lanes[1], 7) + rotated(lanes[2], 12) + rotated(lanes[3], 18)
+    h = np.empty(len(size), np.uint32)
+    h[order] = np.where(stripes[order] > 0, long, s + P5)
+    h += size.astype(np.uint32)
+    at, end = off[:-1] + 16 * stripes, off[1:]
+    for _ in range(3):
+        own = np.flatnonzero(at + 4 <= end)
+        h[own] = rotated(h[own] + words[at[own]] * P3, 17) * P4
+        at = np.where(at + 4 <= end, at + 4, at)
+    for _ in range(3):
+        own = np.flatnonzero(at < end)
+        h[own] = rotated(h[own] + raw[at[own]] * P5, 11) * P1
+        at = np.where(at < end, at + 1, at)
+    h = (h ^ (h >> np.uint32(15))) * P2
+    h = (h ^ (h >> np.uint32(13))) * P3
+    h ^= h >> np.uint32(16)
+    for i in np.flatnonzero(size // 16 > STRIPES).tolist():
+        h[i] = xxhash.xxh32_intdigest(raw[off[i] : off[i + 1]].tobytes(), int(seed[i]))
+    return h
 
-    @F.pandas_udf("string")
-    def run(n: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else line_hash(int(x), y) for x, y in zip(n, t, strict=True)])
 
-    return run(line_no, text)
+def line_hash_column(line_no: Column, text: Column) -> Column:
+    """line_hash of every row. Spark trims and looks at the lines; XXH32 with a seed by row runs over Arrow buffers in numpy."""
+
+    def run(lines: pa.Array, seeds: pa.Array) -> pa.Array:
+        made = np.array(PAIRS, object)[xxh32(pc.fill_null(lines, ""), pc.fill_null(seeds, 0).to_numpy()) % len(PAIRS)]
+        return pa.array(made, pa.string())
+
+    line = F.rtrim(F.replace(text, F.lit("\r"), F.lit("")), F.lit(JS_BLANKS))
+    bare = F.translate(line, JS_BLANKS + "{}", "") == ""
+    tens, units = line_no % 100, line_no % 10
+    ending = F.when(tens.isin(11, 12, 13), "th").when(units == 1, "st").when(units == 2, "nd").when(units == 3, "rd").otherwise("th")
+    seed = F.when(line.rlike(r"[\p{L}\p{N}]"), 0).otherwise(line_no).cast("long")
+    return F.when(line_no.isNotNull() & text.isNotNull(), F.when(bare, ending).otherwise(F.arrow_udf(run, "string")(line, seed)))
 
 
 def anchored(line_no: Column, text: Column) -> Column:

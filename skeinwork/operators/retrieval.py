@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first
+from .ranking import first, placed
 
 DELIMITERS = r"[\s,.;:!?()\[\]{}\"'`<>=+*/\\|&^%$#@~-]+"
 
@@ -39,8 +39,8 @@ def filename_hits(tokens: DataFrame, files: DataFrame) -> DataFrame:
     return hits.select("path", F.lit(2).cast("long").alias("score"), F.concat(F.lit("filename:"), "token").alias("signal"))
 
 
-def top_files(tokens: DataFrame, files: DataFrame, symbols: DataFrame, k: int, active: DataFrame | None = None) -> DataFrame:
-    """(path, score, signals, place) of the k best files; files with symbol hits come first among equals, then by position.
+def top_files(tokens: DataFrame, files: DataFrame, symbols: DataFrame, k: int | None, active: DataFrame | None = None) -> DataFrame:
+    """(path, score, signals, place) of the k best files, or of all; files with symbol hits come first among equals, then by position.
 
     tokens is one query's set, at most a few dozen rows.
     """
@@ -50,8 +50,9 @@ def top_files(tokens: DataFrame, files: DataFrame, symbols: DataFrame, k: int, a
         near = active.select("path", F.lit(1).cast("long").alias("score"), F.lit("dep-proximity").alias("signal"))
         hits = hits.unionByName(near)
     scored = hits.groupBy("path").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_list("signal")), ",").alias("signals"), F.min(F.when(F.col("signal").startswith("symbol:"), 0).otherwise(1)).alias("phase"))
-    ranked = first(scored.join(files.select("path", "pos"), "path"), k, "place", F.desc("score"), F.col("phase"), F.col("pos"))
-    return ranked.select("path", "score", "signals", "place")
+    found, order = scored.join(files.select("path", "pos"), "path"), (F.desc("score"), F.col("phase"), F.col("pos"))
+    ranked = placed(found, "place", *order) if k is None else first(found, k, "place", *order)
+    return ranked.select("path", "score", "signals", F.col("place").cast("int").alias("place"))
 
 
 def boosted(scored: DataFrame, god_files: DataFrame, god_symbols: DataFrame, symbols: DataFrame, active: DataFrame) -> DataFrame:

@@ -480,7 +480,7 @@ def _(spark, d):
 @query("r09_explained", NAME_HITS + ", h AS (SELECT path, score, 'symbol:' || symbol AS signal FROM exact UNION ALL SELECT path, score, 'partial-symbol:' || symbol FROM partial UNION ALL SELECT path, score, 'filename:' || token FROM names) SELECT path, 'score ' || sum(score) || ': ' || string_agg(signal, ', ' ORDER BY signal) AS explanation FROM h GROUP BY 1")
 def _(spark, d):
     files = v.part_files(spark, d)
-    return analysis.explained(retrieval.top_files(tokens(spark), files, v.part_symbols(spark, d), files.count()))
+    return analysis.explained(retrieval.top_files(tokens(spark), files, v.part_symbols(spark, d), None))
 
 
 def scratch(spark, name):
@@ -569,7 +569,7 @@ def _(spark, d):
     o = v.table(spark, d, "orders")
     good = o.select("o_orderkey", F.lit(0).alias("j"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("session_id"), (F.col("o_custkey") % 7).alias("dep_context_triggers"))).alias("value"))
     broken = o.select("o_orderkey", F.lit(1).alias("j"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise('{"session_id": "x').alias("value"))
-    good.unionByName(broken).orderBy("o_orderkey", "j").select("value").coalesce(1).write.text(at)
+    good.unionByName(broken).orderBy("o_orderkey", "j").select("value").write.text(at)
     return store.recent_sessions(spark, at, 25).select("session_id", "dep_context_triggers")
 
 

@@ -9,6 +9,7 @@ from ..functions import text as x
 from ..operators import context as c
 from ..operators import graph as g
 from ..operators import messages as m
+from ..operators.ranking import placed
 from ..sources import tables as v
 from .graph_queries import PROFILES, RANKS, TRADE, degrees, profiles
 from .index_queries import FILES
@@ -59,7 +60,7 @@ def _(spark, d):
 
 @query("t01_stable_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey)::INTEGER AS place FROM part")
 def _(spark, d):
-    return v.table(spark, d, "part").select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).alias("place"))
+    return placed(v.table(spark, d, "part").select("p_partkey", "p_size"), "place", F.desc("p_size"), "p_partkey").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("t02_last_reversed", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 10")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import budget as b
 from ..operators import messages as m
 from ..operators import telemetry as t
+from ..operators.ranking import placed
 from ..sources import tables as v
 
 QUERIES: dict = {}
@@ -224,7 +225,5 @@ def _(spark, d):
 
 @query("t09_dir_then_recent", "SELECT p_brand AS dir, p_partkey AS pos, row_number() OVER (ORDER BY p_brand, p_size DESC, p_partkey)::INTEGER AS place FROM part")
 def _(spark, d):
-    from pyspark.sql.window import Window
-
-    p = v.table(spark, d, "part")
-    return p.select(F.col("p_brand").alias("dir"), F.col("p_partkey").alias("pos"), F.row_number().over(Window.orderBy("p_brand", F.desc("p_size"), "p_partkey")).alias("place"))
+    p = placed(v.table(spark, d, "part").select("p_brand", "p_size", "p_partkey"), "place", "p_brand", F.desc("p_size"), "p_partkey")
+    return p.select(F.col("p_brand").alias("dir"), F.col("p_partkey").alias("pos"), F.col("place").cast("int").alias("place"))

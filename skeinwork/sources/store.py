@@ -66,10 +66,13 @@ SESSION = T.StructType([T.StructField("session_id", T.StringType()), T.StructFie
 
 
 def recent_sessions(spark: SparkSession, path: str, n: int, schema: T.StructType = SESSION) -> DataFrame:
-    """The last n well-formed lines of JSON logs, latest first; blank and broken lines are skipped."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value").filter("trim(value) <> ''")
-    parsed = lines.select("file", "at", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    good = parsed.filter("r._corrupt_record IS NULL").orderBy(F.desc("file"), F.desc("at")).limit(n)
+    """The last n well-formed lines of JSON logs, latest first, logs in the order of their names; blank and broken lines are skipped.
+
+    A line's place is the part of the file that its task read, which stands in the file's order, and its number there.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value").filter("trim(value) <> ''")
+    parsed = lines.select("file", "block", "at", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    good = parsed.filter("r._corrupt_record IS NULL").orderBy(F.desc("file"), F.desc("block"), F.desc("at")).limit(n)
     return good.select("r.*").drop("_corrupt_record")
 
 

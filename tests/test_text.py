@@ -131,3 +131,21 @@ def test_chunks(spark):
     rows = spark.createDataFrame([(1, i + 1, "x" * n) for i, n in enumerate([3, 3, 50, 2, 2])], "doc_id long, line_no long, text string")
     got = [(r.first_line, r.n_lines, r.n_bytes) for r in lines.chunks(rows, 2, 10).orderBy("chunk").collect()]
     assert got == [(1, 2, 7), (3, 1, 50), (4, 2, 5)]
+
+
+def test_hashes_of_whole_columns(spark):
+    """xxHash32 with a seed by row, and the lines that get an ordinal's ending, against one line at a time."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choice("aZ9é日 {}\t\r🙂-_  　²Ⅷ") for _ in range(rng.choice([0, 1, 2, 3, 5, 15, 16, 17, 31, 47, 80, 2500])))
+    rows = [line() for _ in range(1500)] + ["", "}", " {\r", " ", "---", "a" * 70_000]
+    seeds = np.array([rng.randrange(2**32) for _ in rows])
+    assert x.xxh32(pa.array(rows).slice(3), seeds[3:]).tolist() == [xxhash.xxh32_intdigest(r.encode(), int(s)) for r, s in zip(rows[3:], seeds[3:], strict=True)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows, 1)] + [(None, "x"), (1, None)], "n long, t string")
+    got = {(r.n, r.t): r.h for r in df.select("n", "t", x.line_hash_column(df.n, df.t).alias("h")).collect()}
+    assert got == {**{(i, r): x.line_hash(i, r) for i, r in enumerate(rows, 1)}, (None, "x"): None, (1, None): None}
