@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as x
 from ..operators import context as c
 from ..operators import graph as g
+from ..operators import guidance
 from ..operators import messages as m
 from ..operators.ranking import placed
 from ..sources import tables as v
@@ -207,3 +208,27 @@ def _(spark, d):
 @query("j19_link_paths", "SELECT count(*) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS path FROM pages)")
 def _(spark, d):
     return v.web(spark, d)[1].select("dst").distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+MODELS, PROVIDERS, DEFAULTS = [("b*-7", ["deep.md"]), ("B*", ["b.md", "AGENTS.md"])], {"BUILDING": ["house.md", "b.md"]}, {"BUILDING": ["never.md"], "MACHINERY": ["b.md"]}
+
+
+@query("s13_guidance", """WITH asked AS (SELECT c_custkey AS id, '/n' || c_nationkey || '/c' || c_custkey AS cwd, CASE WHEN c_custkey % 4 = 1 AND c_custkey % 10 = 7 THEN ['deep.md'] WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN ['b.md', 'AGENTS.md'] WHEN c_mktsegment = 'BUILDING' THEN ['house.md', 'b.md'] WHEN c_mktsegment = 'MACHINERY' THEN ['b.md'] END AS names FROM customer),
+files AS (SELECT '/home' AS folder, 'b.md' AS name, 'home' AS content UNION ALL SELECT '/', 'house.md', 'root' UNION ALL SELECT '/', 'b.md', 'stand-in'
+UNION ALL SELECT '/n' || n_nationkey, unnest(['AGENTS.md', 'b.md']), unnest(['core', CASE WHEN n_nationkey % 2 = 0 THEN 'core' ELSE n_name END]) FROM nation
+UNION ALL SELECT '/n' || c_nationkey || '/c' || c_custkey, 'house.md', c_name FROM customer WHERE c_custkey % 5 = 0),
+kept AS (SELECT * FROM files f WHERE NOT (folder = '/' AND name = 'b.md') AND NOT (folder = '/home' AND name = 'b.md') AND name <> 'AGENTS.md' AND content <> 'core'),
+tries AS (SELECT id, unnest(['/home', '/', split_part(cwd, '/c', 1), cwd]) AS folder, unnest([1, 2, 3, 4]) AS step, names FROM asked WHERE names IS NOT NULL),
+named AS (SELECT id, folder, step, unnest(names) AS name, unnest(range(1, len(names) + 1)) AS nth FROM tries)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY step, nth)::INTEGER AS place, folder, name, content FROM named JOIN kept USING (folder, name)""")
+def _(spark, d):
+    """What customers' folders hold for their models and providers; b.md is the stand-in of the core file."""
+    c_, n_ = v.table(spark, d, "customer"), v.table(spark, d, "nation")
+    k = F.col("c_custkey")
+    model = F.when((k % 4 == 1) & (k % 10 == 7), "Big-7").when((k % 2 == 0) & (k % 3 == 0), "bright")
+    cwd = F.concat(F.lit("/n"), "c_nationkey", F.lit("/c"), "c_custkey")
+    asked = c_.select(k.alias("id"), cwd.alias("cwd"), F.col("c_mktsegment").alias("provider"), model.alias("model"))
+    fixed = n_.limit(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("folder"), F.lit(b).alias("name"), F.lit(t).alias("content")) for a, b, t in (("/home", "b.md", "home"), ("/", "house.md", "root"), ("/", "b.md", "stand-in"))])).alias("f")).select("f.*")
+    own = n_.select(F.concat(F.lit("/n"), "n_nationkey").alias("folder"), F.explode(F.create_map(F.lit("AGENTS.md"), F.lit("core"), F.lit("b.md"), F.when(F.col("n_nationkey") % 2 == 0, "core").otherwise(F.col("n_name")))).alias("name", "content"))
+    deep = c_.filter("c_custkey % 5 = 0").select(cwd.alias("folder"), F.lit("house.md").alias("name"), F.col("c_name").alias("content"))
+    return guidance.guidance_files(asked, fixed.unionByName(own).unionByName(deep), "/home", MODELS, PROVIDERS, DEFAULTS, "b.md")
