@@ -65,6 +65,30 @@ def definitions(cursors: DataFrame, lines: DataFrame, symbols: DataFrame) -> Dat
     return word.join(symbols.select("symbol", F.col("path").alias("target")).distinct(), "symbol").select("path", "line", "character", "symbol", "target")
 
 
+def scoped_definitions(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, symbol, at, how, target, target_at) of every use in names (path, kind, symbol, at, start, end, source, original).
+
+    A use means the declaration of its name whose scope holds it most closely; else the import of the name, in the file that
+    targets (path, source, target) resolve its source to, at that file's own outermost declaration if there is one; else,
+    where just one file declares the name at its top, that one. All joins are on a name within a file, or on a name.
+    """
+    uses = names.filter("kind = 'used'").select("path", "symbol", "at")
+    declared = names.filter("kind = 'declared'").select("path", "symbol", F.col("at").alias("target_at"), "start", "end")
+    inside = uses.join(declared, ["path", "symbol"]).filter("start <= at AND at < end")
+    near = inside.groupBy("path", "symbol", "at").agg(F.max(F.struct("start", (-F.col("end")).alias("end"), F.col("target_at").alias("t"))).alias("d"))
+    local = near.select("path", "symbol", "at", F.lit("scope").alias("how"), F.col("path").alias("target"), F.col("d.t").alias("target_at"))
+    rest = uses.join(near.select("path", "symbol", "at"), ["path", "symbol", "at"], "left_anti")
+    tops = declared.filter("start = 0").groupBy("path", "symbol").agg(F.min("target_at").alias("target_at"))
+    imports = names.filter("kind = 'imported'").select("path", "symbol", "source", "original").join(targets, ["path", "source"]).dropDuplicates(["path", "symbol"])
+    there = imports.join(tops.select(F.col("path").alias("target"), F.col("symbol").alias("original"), "target_at"), ["target", "original"], "left")
+    brought = rest.join(there.select("path", "symbol", "target", "target_at"), ["path", "symbol"]).select("path", "symbol", "at", F.lit("import").alias("how"), "target", "target_at")
+    # what is imported from outside the index is nobody's global
+    left = rest.join(names.filter("kind = 'imported'").select("path", "symbol").distinct(), ["path", "symbol"], "left_anti")
+    only = tops.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.first("path").alias("target"), F.first("target_at").alias("target_at")).filter("n = 1").drop("n")
+    elsewhere = left.join(only, "symbol").select("path", "symbol", "at", F.lit("index").alias("how"), "target", "target_at")
+    return local.unionByName(brought).unionByName(elsewhere)
+
+
 def batch_definitions(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """(request, symbol, path) of requests (request, symbols array): the first file by position that has each, or null."""
     each = requests.select("request", F.explode(F.array_distinct("symbols")).alias("symbol"))

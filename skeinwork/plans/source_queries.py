@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import lifecycle
-from ..sources import changes, parsers, store
+from ..operators import lifecycle, navigation
+from ..sources import changes, parsers, scopes, store
 from ..sources import tables as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,27 @@ def _(spark, d):
     for root, stream in changed_tree(spark, d):
         out = lifecycle.rebuilt(stream, f"{root}-index", *lifecycle.file_index(spark, root, ["txt"], lambda path: F.concat(path, F.lit(".ts"))))
     return out.select(folder("path").alias("folder"), "skeleton")
+
+
+#: A file for each part: # is its key, & that of the file that it imports from, ! that of one whose function it uses. The file's name, a parameter and a local shadow one another.
+SCOPED = "import { top as far } from './f&'\nexport const top = 1\nexport function only#(top) {\n  { const top = 2; use(top) }\n  return top + far + only!\n}\nconst end = top\n"
+_scoped = "'" + SCOPED.replace("'", "''") + "'"
+
+
+@query("l01_scoped", f"""WITH p AS (SELECT p_partkey AS k, greatest(p_partkey - 1, (SELECT min(p_partkey) FROM part)) AS b, (SELECT max(p_partkey) + min(p_partkey) FROM part) - p_partkey AS o FROM part),
+t AS (SELECT 'f' || k AS path, k, b, o, replace(replace(replace({_scoped}, '#', k::VARCHAR), '&', b::VARCHAR), '!', o::VARCHAR) AS c FROM p),
+a AS (SELECT *, strpos(c, 'const top = 1') + 5 AS outer_at, strpos(c, '(top)') AS param_at, strpos(c, 'const top = 2') + 5 AS inner_at, strpos(c, 'use(top)') + 3 AS u1, strpos(c, 'return top') + 6 AS u2, strpos(c, ' far + ') AS u3, strpos(c, ' + only' || o || chr(10)) + 2 AS u4, strpos(c, 'end = top') + 5 AS u5, strpos(c, 'function only') + 8 AS own FROM t),
+r AS (SELECT path, 'top' AS symbol, u1 AS at_, 'scope' AS how, path AS target, inner_at AS target_at FROM a UNION ALL SELECT path, 'top', u2, 'scope', path, param_at FROM a UNION ALL SELECT path, 'top', u5, 'scope', path, outer_at FROM a
+UNION ALL SELECT a.path, 'far', a.u3, 'import', b.path, b.outer_at FROM a JOIN a b ON b.k = a.b
+UNION ALL SELECT a.path, 'only' || a.o, a.u4, CASE WHEN a.k = a.o THEN 'scope' ELSE 'index' END, b.path, b.own FROM a JOIN a b ON b.k = a.o)
+SELECT path, symbol, at_ AS "at", how, target, target_at FROM r""")
+def _(spark, d):
+    """Where each name of each part's file is declared: locals before parameters before the file's, then imports, then the index."""
+    part = v.table(spark, d, "part")
+    ends = part.agg(F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+    told = lambda c, mark, x: F.replace(c, F.lit(mark), x.cast("string"))
+    text = told(told(told(F.lit(SCOPED), "#", F.col("p_partkey")), "&", F.greatest(F.col("p_partkey") - 1, F.col("first"))), "!", F.col("first") + F.col("last") - F.col("p_partkey"))
+    files = part.join(F.broadcast(ends)).select(F.concat(F.lit("f"), "p_partkey").alias("path"), text.alias("content"))
+    names = storage.cut(scopes.names_of_files(files), "names")
+    targets = names.filter("kind = 'imported'").select("path", "source").distinct().withColumn("target", F.substring("source", 3, 99))
+    return navigation.scoped_definitions(names, targets.join(files.select(F.col("path").alias("target")), "target", "left_semi"))
