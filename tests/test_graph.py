@@ -120,7 +120,7 @@ def test_back_edges_by_recursion(spark, seed):
     assert [r.members for r in got] == cycles_by_recursion(names, pairs)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_back_edges_by_strong_components(spark, monkeypatch, seed):
     """Many strong components in a row and beside each other, with strangers as endpoints; entered where the whole search enters them."""
     rng = random.Random(seed)
