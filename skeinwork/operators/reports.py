@@ -18,15 +18,15 @@ def several(n: Column, one: str) -> Column:
     return F.when(n > 0, F.concat(text(n), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s")))
 
 
-def quality_line(score: Column, communities: Column, gods: Column, cycles: Column, cached: Column, ms: Column) -> Column:
-    """One line on a graph's quality."""
+def quality_line(score: Column, communities: Column, gods: Column, cycles: Column, cached: Column, ms: Column, command: str = "/scope graph") -> Column:
+    """One line on a graph's quality, with the command that tells more where it is poor."""
     parts = [
         F.concat(F.lit("Graph quality "), text(score), F.lit("/100")),
         F.when(communities > 1, F.concat(text(communities), F.lit(" communities"))),
         several(gods, "god node"),
         several(cycles, "cycle"),
         F.when(cached, "(from cache)").otherwise(F.concat(F.lit("— "), text(ms), F.lit("ms"))),
-        F.when((cycles > 0) | (score < 70), "— run /scope graph"),
+        F.when((cycles > 0) | (score < 70), f"— run {command}"),
     ]
     return F.concat_ws(" · ", *parts)
 
