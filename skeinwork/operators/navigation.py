@@ -58,11 +58,24 @@ def word_at(text: Column, character: Column) -> Column:
     return F.nullif(F.concat(left, right), F.lit(""))
 
 
-def definitions(cursors: DataFrame, lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, line, character, symbol, target): where the word under each cursor (0-based) is exported."""
+def words_under(cursors: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, line, character, symbol): the word under each cursor (0-based)."""
     at = cursors.join(lines.select("path", F.col("line_no").alias("_no"), "text"), "path").filter("_no = line + 1")
-    word = at.select("path", "line", "character", word_at(F.col("text"), F.col("character")).alias("symbol"))
-    return word.join(symbols.select("symbol", F.col("path").alias("target")).distinct(), "symbol").select("path", "line", "character", "symbol", "target")
+    return at.select("path", "line", "character", word_at(F.col("text"), F.col("character")).alias("symbol"))
+
+
+def definitions(cursors: DataFrame, lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line, character, symbol, target): where the word under each cursor is exported."""
+    return words_under(cursors, lines).join(symbols.select("symbol", F.col("path").alias("target")).distinct(), "symbol").select("path", "line", "character", "symbol", "target")
+
+
+def definition_counts(cursors: DataFrame, lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line, character, symbol, n, first): in how many files the word under each cursor is exported, and the first by path.
+
+    Files are counted once a symbol, so a word that many cursors and many files share makes no pairs of them.
+    """
+    per = symbols.select("symbol", "path").distinct().groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+    return words_under(cursors, lines).join(per, "symbol").select("path", "line", "character", "symbol", "n", "first")
 
 
 def scoped_definitions(names: DataFrame, targets: DataFrame) -> DataFrame:
