@@ -185,7 +185,7 @@ def _(spark, d):
 @query("z04_anchor_state", "SELECT event_type AS path, 2 AS n_lines, CASE WHEN p IS NULL THEN 2 WHEN p = props THEN 0 ELSE 1 END AS n_changed FROM (SELECT *, lag(props) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events)")
 def _(spark, d):
     reads = st.events_stream(spark, d).select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat_ws("\n", F.lit("head"), F.col("props")).alias("content"))
-    return streamed(spark, st.anchor_states(reads), "anchors")
+    return st.anchor_states(reads, stream_path(spark, "anchors"))
 
 
 @query("z04_reconciled", """WITH c AS (SELECT event_type AS path, event_id AS pos, event_id % 3 AS k, event_id % 2 = 0 AS more, event_id % 5 AS t FROM events),
@@ -200,4 +200,4 @@ def _(spark, d):
     tail = F.concat(F.lit("tail"), F.col("event_id") % 5)
     content = F.concat_ws("\n", F.lit("top"), F.concat(F.lit("k"), F.col("event_id") % 3), F.when(F.col("event_id") % 2 == 0, "extra"), tail)
     reads = st.events_stream(spark, d).select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), content.alias("content"))
-    return streamed(spark, anchors.reconciled(reads), "reconciled").drop("hash")
+    return anchors.reconciled_whole(reads, stream_path(spark, "reconciled")).drop("hash")

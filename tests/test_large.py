@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from skeinwork import storage
 from skeinwork.operators import navigation, postings
+from skeinwork.streaming import anchors
+from skeinwork.streaming import stream as st
 
 
 def rows_out(df):
@@ -58,3 +60,31 @@ def test_trees_of_blocks_give_the_same_files(spark):
     asked = spark.createDataFrame([(i, " ".join(word() for _ in range(4))) for i in range(30)], "query_id long, text string")
     deep, flat = (set(map(tuple, postings.top_files_of_each(asked, files, symbols, 4, *at).collect())) for at in ((3, 3), (1000, 64)))
     assert deep == flat
+
+
+def test_reads_of_one_file_spread_over_tasks(spark, tmp_path):
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(900)] + [None]
+    rng.shuffle(order := list(range(len(texts))))
+    at, out, places = str(tmp_path / "in"), str(tmp_path / "out"), []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for stop in (300, 901):
+            rows = [("f", i, texts[i]) for i in order if (i < 300) == (stop == 300)] + [(f"g{stop}", 1, "x"), (None, stop, "a")]
+            spark.createDataFrame(rows, "path string, pos long, content string").repartition(3).write.mode("append").parquet(at)
+            stream = spark.readStream.schema("path string, pos long, content string").parquet(at)
+            got = anchors.reconciled_whole(stream, out)
+        lines = st.anchor_states(spark.readStream.schema("path string, pos long, content string").parquet(at), str(tmp_path / "lines"))
+        n = sorted((r.n_lines, r.n_changed) for r in lines.filter("path = 'f'").collect())
+        near, _ = st.with_previous(spark.read.parquet(at).filter("path = 'f'"))
+        places = near.filter("pos > 0 AND NOT seen").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    texts = [t or "" for t in texts]
+    want = [(i, line, now, fate) for i in range(1, len(texts)) for line, _, now, fate in anchors.fates(anchors.hashes_of(texts[i - 1]), anchors.hashes_of(texts[i]))]
+    assert sorted(((r.pos, r.line, r.now, r.fate) for r in got.filter("path = 'f'").collect()), key=repr) == sorted(want, key=repr)
+    assert got.filter("path IS NULL").select("pos", "fate").collect() == [(901, "kept")] and got.filter("path LIKE 'g%'").isEmpty()
+    changed = [st.changed_lines(texts[i - 1] if i else None, texts[i]).iloc[0] for i in range(len(texts))]
+    assert n == sorted((r.n_lines, r.n_changed) for r in changed) and places == 0
