@@ -10,6 +10,8 @@ from . import context, retrieval, telemetry
 from .mentions import contained
 from .messages import last_messages
 
+#: An edge of a word of ASCII letters, digits and underscores; Java's own \\b counts other letters too.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 #: What makes a prompt one about code.
 CODE_PATTERNS = (
     r"\.[a-zA-Z]+/[\w./-]+\.(?:ts|tsx|py|rs|js|jsx|go|md)",
@@ -42,10 +44,14 @@ ANCHORED_LINE = r"\b\d+[a-z]{2}\|"
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for x in patterns:
-        out = out | text.rlike(x)
+        out = out | signs(text, x)
     return out
 
 
+def signs(text: Column, pattern: str) -> Column:
+    return text.rlike(pattern.replace(r"\b", EDGE))
+
+
 def names_any(text: Column, words: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for x in words:
@@ -61,8 +67,8 @@ def tool_suggestions(messages: DataFrame, n: int = 15) -> DataFrame:
     """(conv_id, pattern, confidence, tool) of the rules that a conversation's last n messages call for."""
     c = F.lower(F.coalesce("content", F.lit("")))
     flags = {
-        "edits": c.rlike(PLAIN_EDIT),
-        "anchors": c.contains("hashline") | c.rlike(ANCHOR_WORD),
+        "edits": signs(c, PLAIN_EDIT),
+        "anchors": c.contains("hashline") | signs(c, ANCHOR_WORD),
         "asks": names_any(c, FILE_QUESTIONS),
         "errors": any_of(c, ERROR_SIGNS),
         "hubs": names_any(c, HUB_WORDS),
