@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,18 +126,18 @@ def apply_edits(lines: list[str], edits: list[dict]) -> tuple[list[str], int | N
 
 
 def edited(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """(doc_id, text, first_changed) of documents with edits (doc_id, idx, op, line, end, lines); one document is one group."""
+    """(doc_id, text, first_changed) of documents with edits (doc_id, idx, op, line, end, lines)."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty:
-            return pd.DataFrame({"doc_id": [], "text": [], "first_changed": []})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = lambda x: None if pd.isna(x) else int(x)
-        todo = [{"op": r.op, "line": whole(r.line), "end": whole(r.end), "lines": list(r.lines) if r.lines is not None else []} for r in right.sort_values("idx").itertuples()]
-        out, first = apply_edits(left.sort_values("line_no").text.tolist(), todo)
-        return pd.DataFrame({"doc_id": [key[0]], "text": ["\n".join(out)], "first_changed": [first]})
+        edit = lambda e: {"op": e["op"], "line": whole(e["line"]), "end": whole(e["end"]), "lines": list(e["lines"]) if e["lines"] is not None else []}
+        for pdf in batches:
+            out = [apply_edits(list(old), [edit(e) for e in todo]) for old, todo in zip(pdf.old, pdf.todo, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "text": ["\n".join(x) for x, _ in out], "first_changed": pd.array([first for _, first in out], "Int64")})
 
-    own = lines.join(edits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "line_no", "text")
-    return own.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInPandas(run, "doc_id long, text string, first_changed long")
+    whole = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text).alias("old"))
+    todo = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "op", "line", "end", "lines"))).alias("todo"))
+    return whole.join(todo, "doc_id").select("doc_id", "old", "todo").mapInPandas(run, "doc_id long, text string, first_changed long")
 
 
 def line_diff(a: list[str], b: list[str]) -> list[tuple[str, int, str]]:
