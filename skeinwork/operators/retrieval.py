@@ -13,8 +13,11 @@ DELIMITERS = r"[\s,.;:!?()\[\]{}\"'`<>=+*/\\|&^%$#@~-]+"
 def query_tokens(text: Column) -> Column:
     """Distinct lower-case words longer than one letter, with their camel-case and underscore parts."""
     words = F.filter(F.split(text, DELIMITERS), lambda w: F.length(w) > 1)
-    camel = F.flatten(F.transform(words, lambda w: F.split(w, "(?=[A-Z])")))
-    snake = F.flatten(F.transform(words, lambda w: F.split(w, "_")))
+    # the others are their own only part, and most words come often
+    words = F.array_distinct(words)
+    made = F.filter(words, lambda w: w.rlike("[A-Z_]"))
+    camel = F.flatten(F.transform(made, lambda w: F.split(w, "(?=[A-Z])")))
+    snake = F.flatten(F.transform(made, lambda w: F.split(w, "_")))
     parts = F.filter(F.concat(camel, snake), lambda w: F.length(w) > 1)
     return F.array_distinct(F.transform(F.concat(words, parts), lambda w: F.lower(w)))
 
@@ -100,7 +103,9 @@ def god_matches(gods: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(src, target) of (src, raw, candidates): the first candidate path that is an indexed file."""
-    each = imports.select("src", "raw", F.posexplode("candidates").alias("i", "path"))
+    # dealt out before they grow: a scan's task is as large as its part of the file, a dealt one is not
+    dealt = imports.select("src", "raw", "candidates").repartition("src", "raw")
+    each = dealt.select("src", "raw", F.posexplode("candidates").alias("i", "path"))
     hits = each.join(files.select("path"), "path").groupBy("src", "raw").agg(F.min_by("path", "i").alias("target"))
     return hits.select("src", "target").distinct()
 
