@@ -15,6 +15,8 @@ WORD = r"[\w$]+"
 def god_files(gods: DataFrame, files: DataFrame) -> DataFrame:
     """(node_id, path): files that a god node (node_id, label) stands for, by the whole path or its end; a symbol's node
     counts where the file's stem, or the label, is the symbol."""
+    # dealt out before they grow: a scan's task is as large as its part of the file, a dealt one is not
+    gods, files = gods.repartition("node_id"), files.select("path").repartition("path")
     parsed = gods.select("node_id", F.lower(x.node_path(F.col("node_id"))).alias("end"), F.lower(x.node_symbol(F.col("node_id"))).alias("symbol"), F.lower("label").alias("label"))
     rel = F.lower(F.replace(F.col("path"), F.lit("\\"), F.lit("/")))
     each = files.select("path", F.regexp_replace(p.base_name(rel), r"\.[^.]+$", "").alias("stem"), F.explode(p.suffixes(rel)).alias("end"))
