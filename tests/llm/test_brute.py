@@ -158,6 +158,19 @@ def test_repeats(spark, hot, alphabet, width, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(mask), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_leave_texts(spark, tmp_path):
+    """op10_suffix gives out the texts that are left, of which its digests are."""
+    rng = random.Random(5)
+    words = lambda n: "".join(f"{rng.randrange(10**9)} " for _ in range(n))
+    passage = words(80)
+    texts = [words(60) + "<" + passage + ">" + words(60), words(30) + "(" + passage, words(90), passage, "kürzer", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in suffix.op10_suffix(spark, str(tmp_path)).collect()}
+    assert rows[0].text == texts[0].replace(passage, "") and rows[1].text == texts[1].replace(passage, "") and rows[3].text == ""
+    assert all(rows[d].text == (texts[d] or "") for d in (2, 4, 5, 6))
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 and len(r.text.encode()) == r.n_bytes - r.n_removed for r in rows.values())
+
+
 def test_pack_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
