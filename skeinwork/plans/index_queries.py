@@ -157,7 +157,7 @@ def _(spark, d):
 @query("a10_dir_coverage", DEPS + "SELECT dir, count(*) AS files, sum((SELECT count(*) FROM s WHERE s.path = f.path))::BIGINT AS symbols, sum((SELECT count(*) FROM deps WHERE src = f.path))::BIGINT AS edges FROM f GROUP BY 1")
 def _(spark, d):
     files = v.part_files(spark, d)
-    s = v.part_symbols(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("ns"))
+    s = v.part_symbols(spark, d, dealt=True).groupBy("path").agg(F.count(F.lit(1)).alias("ns"))
     e = dependencies(spark, d).groupBy(F.col("src").alias("path")).agg(F.count(F.lit(1)).alias("ne"))
     return files.join(s, "path", "left").join(e, "path", "left").groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("ns", F.lit(0))).alias("symbols"), F.sum(F.coalesce("ne", F.lit(0))).alias("edges"))
 

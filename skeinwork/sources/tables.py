@@ -79,9 +79,11 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("pos"), F.concat_ws("/", F.col("p_brand"), F.concat(stem, F.lit("_"), F.col("p_partkey"), F.lit(".ts"))).alias("path"), F.concat(stem, F.lit("_"), F.col("p_partkey")).alias("stem"), F.col("p_brand").alias("dir"), "p_name")
 
 
-def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, path, pos): words of part names as exported symbols."""
+def part_symbols(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """(symbol, path, pos): words of part names as exported symbols, dealt out by path where they are counted by it."""
     f = part_files(spark, sf_dir)
+    # before they grow: tasks of a scan are as large as a file's row groups, and would count all that is in one
+    f = f.select("path", "pos", "p_name").repartition("path") if dealt else f
     return f.select("path", "pos", F.posexplode(F.split("p_name", " ")).alias("i", "symbol")).select("symbol", "path", (F.col("pos") * 100 + F.col("i")).alias("pos"))
 
 

@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input, and results that hang on no batch or partition."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,11 @@ def test_imports_and_god_files_are_dealt_before_they_are_grouped(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_COL" in plan and df.count() == 50
     assert {(r.src, r.target) for r in retrieval.resolve_imports(imports, files).collect()} == {(f"d/f{i}.ts",) * 2 for i in range(50)}
+
+
+def test_symbols_are_dealt_before_they_are_counted_by_file(spark, sf_dir):
+    """Else a task of the scan counts all files of a row group, however many those are."""
+    a10 = registry.QUERIES["a10_dir_coverage"]
+    plan = a10(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(path#\d+, \d+\), REPARTITION_BY_COL", plan)
+    same(spark, sf_dir, a10, registry.ORACLES["a10_dir_coverage"])
