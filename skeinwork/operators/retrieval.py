@@ -101,13 +101,27 @@ def god_matches(gods: DataFrame, symbols: DataFrame) -> DataFrame:
     return equal.select("label", "symbol").unionByName(inside.select("label", "symbol")).unionByName(around.select("label", "symbol")).distinct()
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, target) of (src, raw, candidates): the first candidate path that is an indexed file."""
+#: Imports that a task resolves, about.
+TASK_IMPORTS = 30_000
+
+
+def tasks_for(n: int) -> int:
+    return max(1, -(-n // TASK_IMPORTS))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(src, target) of (src, raw, candidates): the first candidate path that is an indexed file.
+
+    tasks: into how many the work is dealt; counted from the imports if not given.
+    """
+    tasks = tasks or tasks_for(imports.count())
     # dealt out before they grow: a scan's task is as large as its part of the file, a dealt one is not
     dealt = imports.select("src", "raw", "candidates").repartition("src", "raw")
     each = dealt.select("src", "raw", F.posexplode("candidates").alias("i", "path"))
-    hits = each.join(files.select("path"), "path").groupBy("src", "raw").agg(F.min_by("path", "i").alias("target"))
-    return hits.select("src", "target").distinct()
+    # numbered tasks: Spark would merge shuffled partitions up to a size at which a task sorts several times as much
+    hits = each.repartition(tasks, "path").join(files.select("path").repartition(tasks, "path"), "path")
+    found = hits.select("src", "raw", "i", "path").repartition(tasks, "src", "raw").groupBy("src", "raw").agg(F.min_by("path", "i").alias("target"))
+    return found.select("src", "target").repartition(tasks, "src", "target").distinct()
 
 
 def symbol_graph(files: DataFrame, symbols: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:

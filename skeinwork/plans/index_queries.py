@@ -121,10 +121,12 @@ DEPS = FILES + ", c AS (SELECT path AS src, 'x' || pos AS raw, list_value('none/
 
 def dependencies(spark, d):
     files = v.part_files(spark, d)
-    a, b = files.select(F.col("pos").alias("p3"), F.col("path").alias("a")), files.select(F.col("pos").alias("p1"), F.col("path").alias("b"))
-    raw = files.join(a, F.col("pos") * 3 == F.col("p3"), "left").join(b, F.col("pos") + 1 == F.col("p1"), "left")
+    tasks = r.tasks_for(files.count())
+    a, b = files.select(F.col("pos").alias("p3"), F.col("path").alias("a")).repartition(tasks, "p3"), files.select(F.col("pos").alias("p1"), F.col("path").alias("b")).repartition(tasks, "p1")
+    own = files.select("path", "pos", (F.col("pos") * 3).alias("third"), (F.col("pos") + 1).alias("next"))
+    raw = own.repartition(tasks, "third").join(a, F.col("third") == F.col("p3"), "left").repartition(tasks, "next").join(b, F.col("next") == F.col("p1"), "left")
     cands = raw.select(F.col("path").alias("src"), F.concat(F.lit("x"), "pos").alias("raw"), F.array(F.concat(F.lit("none/"), "pos"), F.col("a"), F.col("b")).alias("candidates"))
-    return r.resolve_imports(cands, files)
+    return r.resolve_imports(cands, files, tasks)
 
 
 @query("j01_import_resolution", DEPS + "SELECT src, target FROM deps")

@@ -123,3 +123,13 @@ def test_symbols_are_dealt_before_they_are_counted_by_file(spark, sf_dir):
     plan = a10(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(path#\d+, \d+\), REPARTITION_BY_COL", plan)
     same(spark, sf_dir, a10, registry.ORACLES["a10_dir_coverage"])
+
+
+def test_imports_are_resolved_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    """Spark merges shuffled partitions by bytes; a task's sorts must not grow with what it merges."""
+    monkeypatch.setattr(retrieval, "TASK_IMPORTS", 10)
+    files = spark.range(50).select(F.concat(F.lit("d/f"), "id", F.lit(".ts")).alias("path"))
+    imports = files.select(F.col("path").alias("src"), F.lit("x").alias("raw"), F.array(F.lit("no"), "path", F.lit("d/f1.ts")).alias("candidates"))
+    got = retrieval.resolve_imports(imports, files)
+    assert got.rdd.getNumPartitions() == 5 and {(r.src, r.target) for r in got.collect()} == {(f"d/f{i}.ts",) * 2 for i in range(50)}
+    same(spark, sf_dir, registry.QUERIES["j01_import_resolution"], registry.ORACLES["j01_import_resolution"])
