@@ -101,12 +101,12 @@ def god_matches(gods: DataFrame, symbols: DataFrame) -> DataFrame:
     return equal.select("label", "symbol").unionByName(inside.select("label", "symbol")).unionByName(around.select("label", "symbol")).distinct()
 
 
-#: Imports that a task resolves, about.
-TASK_IMPORTS = 30_000
+#: Imports that a task resolves, about; beyond so many partitions, where Spark's writers sort in memory what they deal out, up to so many.
+TASK_IMPORTS, PLAIN_TASKS, MOST_IMPORTS = 30_000, 200, 150_000
 
 
 def tasks_for(n: int) -> int:
-    return max(1, -(-n // TASK_IMPORTS))
+    return max(1, min(-(-n // TASK_IMPORTS), PLAIN_TASKS), -(-n // MOST_IMPORTS))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:

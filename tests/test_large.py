@@ -133,3 +133,5 @@ def test_imports_are_resolved_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatc
     got = retrieval.resolve_imports(imports, files)
     assert got.rdd.getNumPartitions() == 5 and {(r.src, r.target) for r in got.collect()} == {(f"d/f{i}.ts",) * 2 for i in range(50)}
     same(spark, sf_dir, registry.QUERIES["j01_import_resolution"], registry.ORACLES["j01_import_resolution"])
+    monkeypatch.undo()
+    assert [retrieval.tasks_for(n) for n in (0, 1_200_000, 7_200_000, 72_000_000)] == [1, 40, 200, 480]
